@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, line_dedup, quality_rules
+from caseloom.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash
 from caseloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -29,6 +29,18 @@ def op1_line_dedup(spark, sf_dir):
     return d.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+@query
+def op5_license_scan(spark, sf_dir):
+    d = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query
+def op6_simhash(spark, sf_dir):
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     d = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
