@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash
+from caseloom.llm import bpe, decontaminate, langid, license_scan, line_dedup, quality_rules, simhash
 from caseloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -41,6 +41,19 @@ def op6_simhash(spark, sf_dir):
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    dicts = langid.dictionaries(docs.filter(~langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()))
+    d = langid.identify(docs, dicts)
+    return d.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op9_decontamination(spark, sf_dir):
     d = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
