@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, decontaminate, langid, license_scan, line_dedup, quality_rules, simhash
+from caseloom.llm import bpe, decontaminate, kn_quality, langid, license_scan, line_dedup, quality_rules, simhash
 from caseloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op1_line_dedup(spark, sf_dir):
     return d.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+@query
+def op4_quality_classifier(spark, sf_dir):
+    d = kn_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "lang", "n_chars_scored", "perplexity", "threshold", "kept")
+
+
 @query
 def op5_license_scan(spark, sf_dir):
     d = license_scan.license_scan(table(spark, sf_dir, "documents"))
