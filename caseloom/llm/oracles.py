@@ -58,3 +58,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND word_chars / nw >= 2.0 AND word_chars / nw <= 20.0 AND n_symbols / nw <= 0.3 AND n_letter_words / nw >= 0.5 AND n_stop_words / nw >= 0.01
   AND n_dup_lines / nl <= 0.5 AND n_ellipsis / nl <= 0.3 AND n_bullet / nl <= 0.9 AS kept
 FROM v"""
+
+_BITS = ", ".join(f"('0x' || substr(h, {5 * i + 1}, 5))::BIGINT" for i in range(8))
+ORACLES["op3_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> 15) & 31) + 1)::BIGINT, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> 10) & 31) + 1)::BIGINT, 1),
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> 5) & 31) + 1)::BIGINT, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v & 31) + 1)::BIGINT, 1)] for v in [{_BITS}]]), '') AS payload_digest,
+  min(page_id) OVER (PARTITION BY h, html) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d"""
