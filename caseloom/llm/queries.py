@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, decontaminate, kn_quality, langid, license_scan, line_dedup, quality_rules, simhash, warc
+from caseloom.llm import bpe, decontaminate, kn_quality, langid, license_scan, line_dedup, quality_rules, simhash, suffix_dedup, warc
 from caseloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op1_line_dedup(spark, sf_dir):
     return d.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+@query
+def op2_suffix_dedup(spark, sf_dir):
+    d = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op3_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
