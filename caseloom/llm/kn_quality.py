@@ -275,3 +275,10 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     d = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))  # one row
     limit = F.coalesce("own", "all_langs") * slack
     return d.select("doc_id", "text_key", "lang", F.col("n").alias("n_chars_scored"), "perplexity", limit.alias("threshold"), F.coalesce((F.col("n") < least_chars) | (F.col("perplexity") <= limit), F.lit(True)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns."""
+    bad = classify(docs, labels, **kw).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")

@@ -12,7 +12,7 @@ empty table gives an empty result; other columns are left alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import SPACE_CHARS, ascii_lower, keyed, same_document
@@ -34,15 +34,28 @@ def dropped_positions(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
+def _kept(lines: Column, gone: Column) -> Column:
+    """The lines that stay. A run of them lies between two dropped positions; slices keep this linear in the lines."""
+    ends = F.concat(F.array(F.lit(-1)), gone, F.array(F.size(lines)))
+    runs = F.transform(F.arrays_zip(F.slice(ends, 1, F.size(ends) - 1).alias("a"), F.slice(ends, 2, F.size(ends) - 1).alias("b")), lambda x: F.slice(lines, x["a"] + 2, x["b"] - x["a"] - 1))
+    return F.when(gone.isNull(), lines).otherwise(F.flatten(runs))
+
+
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: n_lines, n_dropped and the kept lines joined by a newline (``kept_text``)."""
     gone = dropped_positions(docs, min_docs, min_chars, id_col, text_col)
     d = keyed(docs, id_col, text_col)
     d = d.join(gone, same_document(d, gone), "left").select(d["doc_id"], d["text_key"], F.split("text", "\n", -1).alias("lines"), "gone")
-    # A run of kept lines lies between two dropped positions; slices keep this linear in the lines.
-    ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines")))
-    d = d.withColumn("ends", F.when(F.col("gone").isNotNull(), ends))
-    runs = F.transform(F.sequence(F.lit(1), F.size("ends") - 1), lambda j: F.slice("lines", F.get("ends", j - 1) + 2, F.get("ends", j) - F.get("ends", j - 1) - 1))
-    kept = F.when(F.col("ends").isNull(), F.col("lines")).otherwise(F.flatten(runs))
     n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
-    return d.select("doc_id", "text_key", F.size("lines").cast("long").alias("n_lines"), n_gone.cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+    return d.select("doc_id", "text_key", F.size("lines").cast("long").alias("n_lines"), n_gone.cast("long").alias("n_dropped"), F.array_join(_kept(F.col("lines"), F.col("gone")), "\n").alias("kept_text"))
+
+
+def rewrite(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """The documents with their kept lines as ``text``, and ``n_chars`` to match; other columns as they are."""
+    gone = dropped_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone")
+    d = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_key"]), "left")
+    d = d.withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1))
+    d = d.withColumn("text", F.array_join(_kept(F.col("_lines"), F.col("gone")), "\n"))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.length("text").cast("long"))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -269,3 +269,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed:
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(lowest, "root").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, **kw) -> DataFrame:
+    """Of each component the document with the smallest id, with all its columns; of rows that repeat that id, one."""
+    kept = near_duplicates(docs, shingle, max_bits, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
