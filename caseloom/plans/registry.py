@@ -1,30 +1,19 @@
-"""Name -> query and name -> DuckDB SQL, gathered from the operator families."""
+"""Name -> query and name -> DuckDB SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
 def register(name, sql=None):
-    """Decorator: adds a query function (spark, sf_dir) under ``name``."""
+    """Decorator: adds a query function (spark, sf_dir) under ``name``, with its SQL if there is any."""
 
     def add(f):
+        assert name not in QUERIES, name
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
         return f
 
     return add
-
-
-@register(
-    "a6_accounts_in_cases",
-    "SELECT l_suppkey AS account, count(DISTINCT l_orderkey) AS case_count FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_orderkey) >= 3",
-)
-def accounts_in_cases(spark, sf_dir):
-    """Accounts that appear in three or more cases."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct()
-    return lines.groupBy(F.col("l_suppkey").alias("account")).agg(F.count("*").alias("case_count")).filter("case_count >= 3")
