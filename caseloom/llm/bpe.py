@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import keyed
+from caseloom.llm.common import keyed, text_blocks
 
 #: Words encoded by the library at a time, and bytes of text whose words are tabled at a time.
 WORDS, BLOCK = 20_000, 16 << 20
@@ -78,17 +78,6 @@ class Codec:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), self.pieces.take(pa.array(ids))), " ")
 
 
-def _blocks(batch: pa.RecordBatch, size: int = BLOCK):
-    """Slices of a batch with about ``size`` bytes of text each."""
-    total = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).fill_null(0).to_numpy(zero_copy_only=False))
-    start = 0
-    while start < batch.num_rows:
-        base = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, base + size, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) of every row."""
     d = keyed(docs, id_col, text_col).select("doc_id", "text")
@@ -97,7 +86,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches):
         codec = Codec(path or default_path())
         for b in batches:
-            for part in _blocks(b):
+            for part in text_blocks(b, "text", BLOCK):
                 ids, bounds = codec.encode(part.column(1).cast(pa.string()))
                 out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), out], ["doc_id", "ids"])
@@ -130,7 +119,7 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     def run(batches):
         codec = Codec(path or default_path())
         for b in batches:
-            for part in _blocks(b):
+            for part in text_blocks(b, "text", BLOCK):
                 ids, bounds = codec.encode(part.column(1).cast(pa.string()))
                 runs = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(

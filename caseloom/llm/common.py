@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_blocks(batch: pa.RecordBatch, column: str, size: int):
+    """Slices of an Arrow batch with about ``size`` bytes of text each, so that a task's memory does not follow its batches."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, base + size, "right")))
+        yield batch.slice(start, end - start)
+        start = end

@@ -32,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import staged
+from caseloom.llm.common import staged, text_blocks
 
 U = np.uint64
 #: Marks before and after a word.
 BEGIN, END = "\ufdd0", "\ufdd1"
 ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, LEAST_CHARS = 5, 4_000_000, 0.995, 1.2, 30, 80
 BROADCAST_IDS = 2_000_000
+#: Bytes of text whose words are tabled at a time.
+BLOCK = 4 << 20
 MULTIPLIER, MIXER = np.array([0x9E3779B97F4A7C15], U), U(0xD6E8FEB86659FD93)
 
 
@@ -108,7 +110,7 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, c): of each word's places the longest n-gram that ends there, summed over all of ``texts`` (column text)."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in text_blocks(batch, "text", BLOCK)):
             found = pc.ascii_split_whitespace(b.column(0).cast(pa.string())).flatten().value_counts()
             w = Words(found.field(0))
             if not len(w.points):
@@ -239,7 +241,7 @@ def score(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
             p, b = (Table.__new__(Table) for _ in range(2))
             for t, (t.keys, t.values) in zip((p, b), sent.value):
                 pass
-            for batch in batches:
+            for batch in (part for whole in batches for part in text_blocks(whole, "text", BLOCK)):
                 split = pc.ascii_split_whitespace(batch.column("text").cast(pa.string()))
                 words = split.flatten().dictionary_encode()
                 at = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
