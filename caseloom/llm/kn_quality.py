@@ -37,7 +37,7 @@ from caseloom.llm.common import staged, text_blocks
 U = np.uint64
 #: Marks before and after a word.
 BEGIN, END = "\ufdd0", "\ufdd1"
-ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, LEAST_CHARS = 5, 4_000_000, 0.995, 1.2, 30, 80
+ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, LEAST_CHARS = 5, 4_000_000, 0.995, 1.3, 30, 80
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose words are tabled at a time.
 BLOCK = 4 << 20
