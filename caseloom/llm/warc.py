@@ -22,12 +22,13 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseloom.llm.common import shared_dir, staged
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
-PAGES_PER_ARCHIVE, GAP, MAX_RANGE = 8192, 64 << 10, 32 << 20
+PAGES_PER_ARCHIVE, GAP, MAX_RANGE = 8192, 64 << 10, 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -81,22 +82,18 @@ def _packed(rows: DataFrame, length_only: bool) -> DataFrame:
     return rows.select(*kept, "payload").mapInArrow(run, schema)
 
 
-def _revisit(length_only: bool):
-    kind = "long" if length_only else "binary"
+@F.arrow_udf(T.LongType())
+def revisit_length(page_id: pa.Array, url: pa.Array, digest: pa.Array, refers_to: pa.Array) -> pa.Array:
+    return pa.array([len(record(*x[:3], None, x[3])) for x in zip(*(c.to_pylist() for c in (page_id, url, digest, refers_to)))], pa.int64())
 
-    @F.pandas_udf(kind)
-    def revisit(page_id, url, digest, refers_to):
-        import pandas as pd
 
-        members = [record(p, u, d, None, r) for p, u, d, r in zip(page_id.tolist(), url, digest, refers_to.tolist())]
-        return pd.Series([len(m) for m in members], dtype="int64") if length_only else pd.Series(members, dtype=object)
-
-    return revisit
+def _count(pages: DataFrame, pages_per_archive: int) -> int:
+    return max(1, -(-pages.count() // pages_per_archive))
 
 
 def build_index(pages: DataFrame, min_bytes: int = 0, pages_per_archive: int = PAGES_PER_ARCHIVE, **cols) -> DataFrame:
     """(page_id, url, payload_digest, payload_bytes, record_type, refers_to, archive, offset, length) of every record."""
-    archives = max(1, -(-pages.count() // pages_per_archive))
+    archives = _count(pages, pages_per_archive)
     rows = page_rows(pages, **cols)
     key = ["page_id", "url", "payload_digest", "payload_bytes"]
     found = _packed(rows, True).groupBy(*key).agg(F.max("packed").alias("packed"))
@@ -105,33 +102,59 @@ def build_index(pages: DataFrame, min_bytes: int = 0, pages_per_archive: int = P
     found = found.join(first, ["payload_digest", "payload_bytes"], "left")
     again = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("page_id").isNull() & F.col("first_id").isNotNull(), F.lit(False))
     found = found.withColumn("refers_to", F.when(again, F.col("first_id"))).withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-    archive = F.pmod(F.xxhash64("page_id", "url", "payload_digest"), F.lit(archives)).cast("int")
-    size = _revisit(True)("page_id", "url", "payload_digest", "refers_to")
+    size = revisit_length("page_id", "url", "payload_digest", "refers_to")
     plain, revisits = found.filter("record_type = 'response'"), found.filter("record_type = 'revisit'")
-    found = plain.withColumn("length", F.col("packed")).unionByName(revisits.withColumn("length", size)).withColumn("archive", archive)
+    found = plain.withColumn("length", F.col("packed")).unionByName(revisits.withColumn("length", size)).withColumn("archive", _archive(archives))
     before = Window.partitionBy("archive").orderBy("page_id", "url", "payload_digest").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0))
     return staged(found.select(*key, "record_type", "refers_to", "archive", offset.alias("offset"), "length"), "index")
 
 
-def write_archives(pages: DataFrame, index: DataFrame, path: str | None = None, **cols) -> DataFrame:
-    """Writes the archives that ``index`` describes, below ``path``; returns (archive, file)."""
+def _archive(archives: int) -> Column:
+    return F.pmod(F.xxhash64("page_id", "url", "payload_digest"), F.lit(archives)).cast("int")
+
+
+def write_archives(pages: DataFrame, index: DataFrame, path: str | None = None, pages_per_archive: int = PAGES_PER_ARCHIVE, **cols) -> DataFrame:
+    """Writes the archives that ``index`` describes, below ``path``; returns (archive, file).
+
+    Index rows and compressed pages meet in one shuffle, by archive: sorted by key, an index row comes
+    before its page, so a task merges them as they stream by.
+    """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/archives"
-    archives = index.agg(F.max("archive")).first()[0]
-    rows = _packed(page_rows(pages, **cols), False)
-    at = index.select(F.col("page_id").alias("i"), F.col("url").alias("u"), F.col("payload_digest").alias("d"), "record_type", "refers_to", "archive", "offset")
-    full = at.filter("record_type = 'response'")
-    plain = rows.join(full, rows["page_id"].eqNullSafe(full["i"]) & (rows["url"] == full["u"]) & (rows["payload_digest"] == full["d"])).select("archive", "offset", "packed")
-    again = at.filter("record_type = 'revisit'").select("archive", "offset", _revisit(False)("i", "u", "d", "refers_to").alias("packed"))
-    rows = plain.unionAll(again).repartition((archives or 0) + 1, "archive").dropDuplicates(["archive", "offset"]).sortWithinPartitions("archive", "offset")
-    rows.select("archive", F.col("packed").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", "\0").text(path)
+    archives = _count(pages, pages_per_archive)
+    key = ["page_id", "url", "payload_digest"]
+    ours = index.select("archive", *key, F.lit(0).alias("kind"), "offset", "refers_to", F.lit(None).cast("binary").alias("packed"), (F.col("record_type") == "revisit").alias("again"))
+    theirs = _packed(page_rows(pages, **cols), False).select(_archive(archives).alias("archive"), *key, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast(index.schema["refers_to"].dataType).alias("refers_to"), "packed", F.lit(False).alias("again"))
+    rows = ours.unionAll(theirs).repartition(archives, "archive").sortWithinPartitions("archive", *key, "kind")
+
+    def merge(batches):
+        waiting = None  # the index row whose page is still to come
+        for b in batches:
+            out = []
+            for archive, page_id, url, digest, kind, offset, refers_to, packed, again in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == 0:
+                    waiting = None if again else (archive, page_id, url, digest, offset)
+                    if again:
+                        out.append((archive, offset, record(page_id, url, digest, None, refers_to)))
+                elif waiting and waiting[:4] == (archive, page_id, url, digest):
+                    out.append((archive, waiting[4], packed))
+                    waiting = None
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["archive", "offset", "packed"])
+
+    merged = rows.mapInArrow(merge, "archive int, offset long, packed binary").sortWithinPartitions("archive", "offset")
+    merged.select("archive", F.col("packed").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", "\0").text(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", r"archive=(\d+)/", 1).cast("int").alias("archive"), F.col("path").alias("file"))
 
 
-def read_records(selected: DataFrame, files: DataFrame, gap: int = GAP, max_range: int = MAX_RANGE) -> DataFrame:
-    """(archive, offset, record_type, page, digest, payload) of the selected index rows, by merged byte ranges."""
+def read_records(selected: DataFrame, files: DataFrame, gap: int = GAP, max_range: int = MAX_RANGE, tasks: int | None = None) -> DataFrame:
+    """(archive, offset, record_type, page, digest, payload) of the selected index rows, by merged byte ranges.
+
+    ``tasks`` is how many tasks read; as many as the session's shuffle partitions if it is not given, since ranges are
+    a few bytes before they are read and megabytes after.
+    """
+    tasks = tasks or int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = selected.select("archive", "offset", "length").join(files, "archive")
     order = Window.partitionBy("archive").orderBy("offset")
     apart = F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(order) > gap
@@ -158,7 +181,7 @@ def read_records(selected: DataFrame, files: DataFrame, gap: int = GAP, max_rang
                     out.append((archive, c["offset"], fields["WARC-Type"], fields["WARC-Record-ID"][10:-1], fields["WARC-Payload-Digest"][5:], payload))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()))], ["archive", "offset", "record_type", "page", "digest", "payload"])
 
-    return ranges.repartition("archive", "range").mapInArrow(run, "archive int, offset long, record_type string, page string, digest string, payload binary")
+    return ranges.repartition(max(1, tasks), "archive", "range").mapInArrow(run, "archive int, offset long, record_type string, page string, digest string, payload binary")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, **cols) -> DataFrame:

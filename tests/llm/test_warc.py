@@ -6,12 +6,12 @@ from caseloom.llm import warc
 
 def test_round_trip_with_copies_nulls_and_repeated_rows(spark):
     big = "<p>" + "x y " * 50_000
-    rows = [(5, "http://a/5", "same"), (2, "http://a/2", "same"), (9, "http://a/9", "same"), (3, "http://b", None), (4, None, ""), (7, "http://c\r\n", "é\r\n\r\nWARC/1.1"), (7, "http://c\r\n", "é\r\n\r\nWARC/1.1"), (8, "http://d", big)]
+    rows = [(5, "http://a/5", "same"), (2, "http://a/2", "same"), (9, "http://a/9", "same"), (3, "http://b", None), (4, None, ""), (7, "http://c\r\n", "é\r\n\r\nWARC/1.1"), (7, "http://c\r\n", "é\r\n\r\nWARC/1.1"), (8, "http://d", big), (None, "http://e", "same")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, offset string")
     got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
-    assert len(got) == 7
+    assert len(got) == 8
     first = {}
-    for i, _, h in sorted(rows, key=lambda r: r[0]):
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         raw = (h or "").encode()
         first.setdefault(raw, i)
         r = got[i]
@@ -24,7 +24,7 @@ def test_small_payloads_stay_responses_and_ranges_select(spark):
     pages = spark.createDataFrame([(i, f"http://a/{i}", "same" if i < 3 else "long payload" if i < 5 else str(i)) for i in range(40)], "page_id long, url string, html string")
     index = warc.build_index(pages, min_bytes=5, pages_per_archive=10)
     assert {r["page_id"] for r in index.filter("record_type = 'revisit'").collect()} == {4}
-    files = warc.write_archives(pages, index)
+    files = warc.write_archives(pages, index, pages_per_archive=10)
     want = index.filter("page_id % 7 = 0")
     read = warc.read_records(want, files, gap=0).collect()
     assert sorted(int(r["page"]) for r in read) == [i for i in range(40) if i % 7 == 0]
