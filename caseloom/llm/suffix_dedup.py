@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import keyed, same_document, staged
+from caseloom.llm.common import keyed, staged, text_blocks
 
 U = np.uint64
-GRAM, STEP, BLOCK = 24, 32, 1 << 21
+GRAM, STEP, BLOCK = 24, 32, 1 << 19
 BROADCAST_DOCS = 1_000_000
 
 
@@ -149,9 +149,7 @@ def blocks(slices: DataFrame, length: int) -> DataFrame:
     schema = T.StructType([slices.schema["doc_id"], *[T.StructField(x, T.IntegerType() if x in ("a", "s", "k", "lo", "hi") else T.LongType()) for x in names[1:]]])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for batch in batches for part in text_blocks(batch, "piece", BLOCK)):
             data, base = _pieces(b)
             h = Rolling(data)
             a, s, e = _numbers(b, "a", "s", "e")
@@ -176,9 +174,7 @@ def starts(slices: DataFrame, length: int) -> DataFrame:
     schema = T.StructType([slices.schema["doc_id"], *[T.StructField(x, T.IntegerType() if x in ("p", "d") else T.LongType()) for x in names[1:]]])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (part for batch in batches for part in text_blocks(batch, "piece", BLOCK)):
             data, base = _pieces(b)
             h = Rolling(data)
             a, s, lo, hi = _numbers(b, "a", "s", "lo", "hi")
@@ -196,7 +192,10 @@ DOC = ["doc_id", "text_key"]
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
-    """(doc_id, text_key, start, end): spans, not merged, that cover exactly the bytes of repeated strings."""
+    """(doc_id, text_key, start, end): spans, not merged, that cover exactly the bytes of repeated strings.
+
+    ``docs`` is (doc_id, text_key, raw), a document known by both keys; neither is null.
+    """
     found = staged(anchors(docs, length), "anchors")
     several = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     found = staged(found.join(several, "bucket", "left_semi").dropDuplicates([*DOC, "a", "s"]), "repeated")
@@ -211,12 +210,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BRO
     per_doc = open_.groupBy(*DOC).agg(F.collect_list(F.struct("bucket", "a", "s", "e")).alias("places"))
     per_doc = staged(per_doc, "places")
     if per_doc.count() <= broadcast_docs:  # only the ids and places of documents that take part, a bounded count of them
-        ids = F.broadcast(per_doc.select(*DOC))
-        touched = docs.join(ids, same_document(docs, ids), "left_semi")
+        touched = docs.join(F.broadcast(per_doc.select(*DOC)), DOC, "left_semi")
     else:
         touched = docs
     touched = touched.dropDuplicates(DOC)
-    cut = touched.join(per_doc, same_document(touched, per_doc)).select(touched["doc_id"], touched["text_key"], "raw", F.explode("places").alias("x"))
+    cut = touched.join(per_doc, DOC).select(*DOC, "raw", F.explode("places").alias("x"))
     cut = cut.select(*DOC, "x.*", F.expr(f"substring(raw, x.s + 1, x.e - x.s + {length})").alias("piece"))
     cut = staged(cut, "slices")
 
@@ -229,7 +227,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BRO
 
     mixed = covers.groupBy("bucket", "k", "core").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").drop("m", "least")
     last = covers.join(mixed, ["bucket", "k", "core"], "left_semi").select("bucket", "lo", "hi", F.col("one.doc_id").alias("i"), F.col("one.text_key").alias("t"), F.col("one.a").alias("o"), F.col("one.s").alias("f"))
-    last = last.join(cut, last["i"].eqNullSafe(cut["doc_id"]) & (last["t"] == cut["text_key"]) & (last["o"] == cut["a"]) & (last["f"] == cut["s"]) & (last["bucket"] == cut["bucket"])).select(*DOC, "a", "s", cut["bucket"], "lo", "hi", "piece")
+    last = last.join(cut, (last["i"] == cut["doc_id"]) & (last["t"] == cut["text_key"]) & (last["o"] == cut["a"]) & (last["f"] == cut["s"]) & (last["bucket"] == cut["bucket"])).select(*DOC, "a", "s", cut["bucket"], "lo", "hi", "piece")
     single = staged(starts(last, length), "starts")
     again = single.groupBy("bucket", "d", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     few = single.join(again, ["bucket", "d", "string"], "left_semi").select(*DOC, F.col("p").alias("start"), (F.col("p") + length).alias("end"))
@@ -237,11 +235,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BRO
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, broadcast_docs: int = BROADCAST_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text_key, n_bytes, n_removed, n_spans, kept (binary)."""
-    d = keyed(docs, id_col, text_col).select("doc_id", "text_key", F.encode("text", "utf-8").alias("raw"))
-    spans = repeated_spans(d, length, broadcast_docs).groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    rows = d.join(spans, same_document(d, spans), "left").select(d["doc_id"], d["text_key"], "raw", "spans")
-    schema = T.StructType([d.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept (binary)."""
+    # Two hashes of id and text make a document's key: never null, so joins and groups on it share one shuffle.
+    d = keyed(docs, id_col, text_col).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("doc_id"), F.xxhash64(F.lit(7), "text", "doc_id").alias("text_key"), F.encode("text", "utf-8").alias("raw"))
+    spans = repeated_spans(d.drop("id"), length, broadcast_docs).groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    rows = d.join(spans, DOC, "left").select("id", "raw", "spans")
+    schema = T.StructType([T.StructField("doc_id", d.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def cut(raw, spans):
         if not spans:
@@ -258,8 +257,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, broadcast_docs: int = BROAD
 
     def run(batches):
         for b in batches:
-            found = [cut(r, s) for r, s in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            found = [cut(r, s) for r, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             columns = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if found else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], schema.names)
 
     return rows.mapInArrow(run, schema)
