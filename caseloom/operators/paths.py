@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.operators.graph import undirected
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder named in spark.checkpoint.dir (a temporary one only where that is unset) and read again."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder below the one named in spark.checkpoint.dir; a temporary one only where that is unset."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_caseloom_stage", None)
     if not top:
         top = spark._caseloom_stage = "file://" + tempfile.mkdtemp(prefix="caseloom-")
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to a shared folder and read again."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shortest(edges: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
