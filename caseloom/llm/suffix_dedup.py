@@ -191,21 +191,27 @@ def starts(slices: DataFrame, length: int) -> DataFrame:
 DOC = ["doc_id", "text_key"]
 
 
+def _several(*member: str):
+    """Whether a group has two places or more; rows that repeat a document repeat its places and do not count."""
+    place = F.xxhash64(*member)
+    return (F.min(place) != F.max(place)).alias("several")
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """(doc_id, text_key, start, end): spans, not merged, that cover exactly the bytes of repeated strings.
 
     ``docs`` is (doc_id, text_key, raw), a document known by both keys; neither is null.
     """
     found = staged(anchors(docs, length), "anchors")
-    several = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    found = staged(found.join(several, "bucket", "left_semi").dropDuplicates([*DOC, "a", "s"]), "repeated")
+    shared = found.groupBy("bucket").agg(_several(*DOC, "a")).filter("several").select("bucket")
+    found = staged(found.join(shared, "bucket", "left_semi"), "repeated")
     same = ["bucket", "before", "after", "context"]
     found = found.withColumn("before", F.col("a") - F.col("s")).withColumn("after", F.col("a") - F.col("e"))
     one = F.min(F.struct("doc_id", "text_key", "a", "s", "e")).alias("one")
-    contexts = staged(found.groupBy(*same).agg(F.count("*").alias("n"), one), "contexts")
-    whole = found.join(contexts.filter("n > 1").select(*same), same, "left_semi").select(*DOC, F.col("s").alias("start"), (F.col("e") + length).alias("end"))
+    contexts = staged(found.groupBy(*same).agg(_several(*DOC, "a"), one), "contexts")
+    whole = found.join(contexts.filter("several").select(*same), same, "left_semi").select(*DOC, F.col("s").alias("start"), (F.col("e") + length).alias("end"))
 
-    mixed = contexts.groupBy("bucket").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("bucket")
+    mixed = contexts.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_and("several").alias("settled")).filter("m > 1 and not settled").select("bucket")
     open_ = contexts.join(mixed, "bucket", "left_semi").select("bucket", "one.*")
     per_doc = open_.groupBy(*DOC).agg(F.collect_list(F.struct("bucket", "a", "s", "e")).alias("places"))
     per_doc = staged(per_doc, "places")
@@ -213,23 +219,22 @@ def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BRO
         touched = docs.join(F.broadcast(per_doc.select(*DOC)), DOC, "left_semi")
     else:
         touched = docs
-    touched = touched.dropDuplicates(DOC)
     cut = touched.join(per_doc, DOC).select(*DOC, "raw", F.explode("places").alias("x"))
     cut = cut.select(*DOC, "x.*", F.expr(f"substring(raw, x.s + 1, x.e - x.s + {length})").alias("piece"))
     cut = staged(cut, "slices")
 
     parts = staged(blocks(cut, length), "blocks")
-    shared = parts.groupBy("bucket", "k", "core").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = parts.groupBy("bucket", "k", "core").agg(_several(*DOC, "a", "s")).filter("several").drop("several")
     parts = parts.join(shared, ["bucket", "k", "core"], "left_semi")
     same = ["bucket", "k", "core", "lo", "hi", "cover"]
-    covers = staged(parts.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "a", "s")).alias("one")), "covers")
-    some = parts.join(covers.filter("n > 1").select(*same), same, "left_semi").select(*DOC, (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end"))
+    covers = staged(parts.groupBy(*same).agg(_several(*DOC, "a", "s"), F.min(F.struct("doc_id", "text_key", "a", "s")).alias("one")), "covers")
+    some = parts.join(covers.filter("several").select(*same), same, "left_semi").select(*DOC, (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end"))
 
-    mixed = covers.groupBy("bucket", "k", "core").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").drop("m", "least")
+    mixed = covers.groupBy("bucket", "k", "core").agg(F.count("*").alias("m"), F.bool_and("several").alias("settled")).filter("m > 1 and not settled").drop("m", "settled")
     last = covers.join(mixed, ["bucket", "k", "core"], "left_semi").select("bucket", "lo", "hi", F.col("one.doc_id").alias("i"), F.col("one.text_key").alias("t"), F.col("one.a").alias("o"), F.col("one.s").alias("f"))
     last = last.join(cut, (last["i"] == cut["doc_id"]) & (last["t"] == cut["text_key"]) & (last["o"] == cut["a"]) & (last["f"] == cut["s"]) & (last["bucket"] == cut["bucket"])).select(*DOC, "a", "s", cut["bucket"], "lo", "hi", "piece")
     single = staged(starts(last, length), "starts")
-    again = single.groupBy("bucket", "d", "string").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = single.groupBy("bucket", "d", "string").agg(_several(*DOC, "p")).filter("several").drop("several")
     few = single.join(again, ["bucket", "d", "string"], "left_semi").select(*DOC, F.col("p").alias("start"), (F.col("p") + length).alias("end"))
     return whole.unionAll(some).unionAll(few)
 
