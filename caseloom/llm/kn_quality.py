@@ -111,7 +111,8 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches):
         for b in (part for batch in batches for part in text_blocks(batch, "text", BLOCK)):
-            found = pc.ascii_split_whitespace(b.column(0).cast(pa.string())).flatten().value_counts()
+            words = pc.ascii_split_whitespace(b.column(0).cast(pa.string())).flatten()
+            found = words.filter(pc.not_equal(words, "")).value_counts()  # white space at an end leaves an empty word
             w = Words(found.field(0))
             if not len(w.points):
                 continue
@@ -248,7 +249,8 @@ def score(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
                 offsets = split.offsets.to_numpy(zero_copy_only=False)
                 offsets = offsets - offsets[0]
                 each = word_scores(words.dictionary, p, b, unknown, order, shards, s) if len(words.dictionary) else np.zeros(0)
-                n = pc.utf8_length(words.dictionary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                n = pc.utf8_length(words.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+                n, each = np.where(n > 0, n + 1, 0), np.where(n > 0, each, 0.0)  # white space at an end leaves an empty word
                 sums = [np.diff(np.concatenate(([0], np.cumsum(x[at])))[offsets]) for x in (n, each)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float))], schema.names)
 
@@ -260,7 +262,9 @@ def score(docs: DataFrame, model: DataFrame, unknown: float, order: int = ORDER,
         found = found.unionAll(x)
     if shards > 1:
         found = found.groupBy(*[f.name for f in kept], "n").agg(F.sum("logp").alias("logp"), F.count("*").alias("rows"))
-        found = found.withColumn("rows", F.explode(F.array_repeat(F.lit(1), (F.col("rows") / shards).cast("int")))).withColumn("logp", F.col("logp")).drop("rows")
+        # Rows that repeat a document were summed together: each gets its share, and its row back.
+        found = found.withColumn("rows", (F.col("rows") / shards).cast("int")).withColumn("logp", F.col("logp") / F.col("rows"))
+        found = found.withColumn("rows", F.explode(F.array_repeat(F.lit(1), F.col("rows")))).drop("rows")
     return found.select(*[f.name for f in kept], "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
 
 

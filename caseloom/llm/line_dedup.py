@@ -52,10 +52,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
 def rewrite(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """The documents with their kept lines as ``text``, and ``n_chars`` to match; other columns as they are."""
-    gone = dropped_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone")
+    gone = dropped_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("__gone"))
     d = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_key"]), "left")
-    d = d.withColumn("_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1))
-    d = d.withColumn("text", F.array_join(_kept(F.col("_lines"), F.col("gone")), "\n"))
+    d = d.withColumn("__lines", F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n", -1))
+    d = d.withColumn("text", F.array_join(_kept(F.col("__lines"), F.col("__gone")), "\n"))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast("long"))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])
