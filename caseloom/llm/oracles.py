@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from caseloom.llm.license_scan import BASE_PHRASES, PASSAGES
 from caseloom.llm.quality_rules import STOP_WORDS
 
 ORACLES: dict = {}
@@ -66,3 +67,29 @@ d AS (SELECT page_id, strlen(html) AS payload_bytes, array_to_string(flatten([[s
   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v >> 5) & 31) + 1)::BIGINT, 1), substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v & 31) + 1)::BIGINT, 1)] for v in [{_BITS}]]), '') AS payload_digest,
   min(page_id) OVER (PARTITION BY h, html) AS first_id FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d"""
+
+
+def _template_rows():
+    rows = []
+    for exact, templates in (("true", BASE_PHRASES), ("false", PASSAGES)):
+        for label, phrase in templates:
+            w = phrase.split()
+            rows += [f"('{w[i]} {w[i + 1]}', '{label}', {exact}, {i}, {len(w) - 1})" for i in range(len(w) - 1)]
+    return ", ".join(rows)
+
+
+ORACLES["op5_license_scan"] = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_PLAIN}) AS w FROM documents),
+grams AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM dw WHERE len(w) >= 2)),
+t(gram, label, exact, tpos, n) AS (VALUES {_template_rows()}),
+hit AS (SELECT DISTINCT doc_id, label, exact, n, pos, tpos FROM grams JOIN t USING (gram)),
+v AS (SELECT doc_id, label, exact, n, pos - tpos AS diagonal, min(pos) AS f, max(pos) AS l, list(tpos) AS ts, count(*) AS votes FROM hit GROUP BY doc_id, label, exact, n, pos - tpos),
+base AS (SELECT doc_id, true AS base, label, diagonal AS s, diagonal + n + 1 AS e, 1.0::DOUBLE AS share FROM v WHERE exact AND votes = n),
+m0 AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, label ORDER BY diagonal, f) <= 3 THEN 0 ELSE 1 END AS fresh FROM v WHERE NOT exact),
+m1 AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY diagonal, f ROWS UNBOUNDED PRECEDING) AS g FROM m0),
+m2 AS (SELECT doc_id, label, n, min(f) AS s, max(l) + 2 AS e, len(list_distinct(flatten(list(ts)))) AS got FROM m1 GROUP BY doc_id, label, n, g),
+p AS (SELECT doc_id, false AS base, label, s, e, got::DOUBLE / n AS share FROM m2 WHERE got::DOUBLE / n >= 0.85 AND e - s <= 2 * (n + 1)),
+a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, list_sort(list(DISTINCT label) FILTER (base)) AS bl, list_sort(list(DISTINCT label)) AS ls, max(share) AS score
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(ls, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM dw LEFT JOIN a USING (doc_id)"""
