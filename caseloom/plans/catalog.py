@@ -1,4 +1,4 @@
 """All registered queries of the investigation operators."""
 
-from caseloom.plans import build, graph, relational, rules, text  # noqa: F401
+from caseloom.plans import build, graph, loads, relational, rules, text  # noqa: F401
 from caseloom.plans.registry import ORACLES, QUERIES  # noqa: F401
