@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 
 def pattern_scores(case_edges: DataFrame, patterns: DataFrame, required: DataFrame, optional: DataFrame) -> DataFrame:
-    """(case_id, pattern, matched, found_optional, score) where every required label is present.
+    """(case_id, pattern, matched, found_optional, score, least, labels) where every required label is present.
 
     ``case_edges`` is (case_id, edge, label, node). A slot of a label binds to the case's smallest vertex of it,
-    as one lookup per label would; its edge counts if that vertex has it.
+    as one lookup per label would; its edge counts if that vertex has it. An edge binds if its own smallest
+    vertex is the label's, so a case is a handful of minima, and all patterns are matched inside its row.
     """
-    node = case_edges.groupBy("case_id", "label").agg(F.min("node").alias("node"))
-    bound = case_edges.join(node, ["case_id", "label", "node"], "left_semi").select("case_id", "label", "edge").distinct()
-    need = required.groupBy("pattern").agg(F.countDistinct("label").alias("labels"), F.count("*").alias("edges"))
-    present = node.join(F.broadcast(required.select("pattern", "label").distinct()), "label").groupBy("case_id", "pattern").agg(F.count("*").alias("present"))
-    matched = bound.join(F.broadcast(required), ["edge", "label"]).groupBy("case_id", "pattern").agg(F.count("*").alias("matched"))
-    extra = node.join(F.broadcast(optional), "label").groupBy("case_id", "pattern").agg(F.count("*").alias("found"))
-    options = optional.groupBy("pattern").agg(F.count("*").alias("options"))
-    s = present.join(F.broadcast(need), "pattern").filter("present = labels").join(matched, ["case_id", "pattern"], "left").join(extra, ["case_id", "pattern"], "left")
-    s = s.join(F.broadcast(patterns), "pattern").join(F.broadcast(options), "pattern", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    score = zero("matched") / F.col("edges") * F.col("w_required") + F.when(zero("options") > 0, zero("found") / F.col("options")).otherwise(0.0) * F.col("w_optional")
-    return s.select("case_id", "pattern", zero("matched").alias("matched"), zero("found").alias("found_optional"), F.round(score, 3).alias("score"), "least")
+    low = case_edges.groupBy("case_id", "label", "edge").agg(F.min("node").alias("node"))
+    case = low.groupBy("case_id").agg(F.collect_list(F.struct("label", "edge", "node")).alias("x"))
+    first = lambda e: F.array_min(F.transform(F.filter("x", lambda y: y["label"] == e["label"]), lambda y: y["node"]))
+    bound = F.transform(F.filter("x", lambda e: e["node"] == first(e)), lambda e: F.concat_ws("|", e["edge"], e["label"]))
+    case = case.select("case_id", F.array_distinct(F.transform("x", lambda e: e["label"])).alias("labels"), bound.alias("bound"))
+    need = required.groupBy("pattern").agg(F.collect_set("label").alias("req_labels"), F.collect_list(F.concat_ws("|", "edge", "label")).alias("req_edges"))
+    need = patterns.join(need, "pattern").join(optional.groupBy("pattern").agg(F.collect_set("label").alias("opt_labels")), "pattern", "left")
+    s = case.crossJoin(F.broadcast(need)).filter(F.size(F.array_except("req_labels", "labels")) == 0)  # a handful of patterns
+    n_opt = F.coalesce(F.size("opt_labels"), F.lit(0))
+    found = F.when(n_opt > 0, F.size(F.array_intersect("opt_labels", "labels"))).otherwise(0)
+    s = s.withColumn("matched", F.size(F.array_intersect("req_edges", "bound")).cast("long")).withColumn("found_optional", found.cast("long"))
+    score = F.col("matched") / F.size("req_edges") * F.col("w_required") + F.when(n_opt > 0, F.col("found_optional") / n_opt).otherwise(0.0) * F.col("w_optional")
+    return s.select("case_id", "pattern", "matched", "found_optional", F.round(score, 3).alias("score"), "least", "labels")
 
 
 def best_patterns(scores: DataFrame) -> DataFrame:
@@ -32,11 +34,10 @@ def best_patterns(scores: DataFrame) -> DataFrame:
     return scores.filter("score >= least").withColumn("place", F.row_number().over(w)).withColumn("primary", F.col("place") == 1)
 
 
-def checklist(case_labels: DataFrame, chosen: DataFrame, required: DataFrame, optional: DataFrame) -> DataFrame:
-    """(case_id, pattern, kind, label, weight, done): what each case's pattern asks for, and whether it is there."""
+def checklist(chosen: DataFrame, required: DataFrame, optional: DataFrame) -> DataFrame:
+    """(case_id, pattern, kind, label, weight, done): what each case's pattern asks for, and whether it is there; ``chosen`` has the case's labels."""
     items = required.select("pattern", F.lit("required").alias("kind"), "label", F.lit(1.0).alias("weight")).distinct().unionAll(optional.select("pattern", F.lit("optional").alias("kind"), "label", "weight"))
-    have = case_labels.select("case_id", "label").distinct().withColumn("done", F.lit(True))
-    return chosen.select("case_id", "pattern").join(F.broadcast(items), "pattern").join(have, ["case_id", "label"], "left").select("case_id", "pattern", "kind", "label", "weight", F.coalesce("done", F.lit(False)).alias("done"))
+    return chosen.select("case_id", "pattern", "labels").join(F.broadcast(items), "pattern").select("case_id", "pattern", "kind", "label", "weight", F.array_contains("labels", F.col("label")).alias("done"))
 
 
 def evidence_completeness(items: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from caseloom.plans import projection as p
 from caseloom.plans.dims import dim, dim_sql
 from caseloom.plans.projection import table
 from caseloom.plans.registry import register
-from caseloom.plans.rules import CASE_EDGES_SQL, SCORES_SQL, _checklist, case_edges, scores
+from caseloom.plans.rules import CASE_EDGES_SQL, SCORES_SQL, case_edges, scores
 
 
 @register("g14_mapped_load", "SELECT 'vt_psn:' || o_custkey::VARCHAR AS v_id, 'vt_psn' AS label, count(*) AS edges, arg_max(o_orderpriority, o_orderkey) AS last_priority FROM orders GROUP BY o_custkey")
@@ -52,10 +52,10 @@ done AS (SELECT case_id, count(*) FILTER (done) AS done, count(*) FILTER (NOT do
 SELECT b.case_id, b.pattern, b.score, n_laws, done, open, name || ' ' || done::VARCHAR || '/' || (done + open)::VARCHAR AS summary FROM best b JOIN patterns USING (pattern) JOIN laws USING (case_id) JOIN done USING (case_id) WHERE place = 1""")
 def case_context(spark, d):
     """Primary pattern, evidence and laws of each case in one row."""
-    e = case_edges(spark, d)
-    best = c.best_patterns(scores(spark, d)).filter("primary").select("case_id", "pattern", "score")
-    laws = e.select("case_id", "label").distinct().join(F.broadcast(dim(spark, "evidence_laws")), "label").groupBy("case_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.split("laws", ","))))).cast("long").alias("n_laws"))
-    done = _checklist(spark, d).groupBy("case_id").agg(F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("open"))
+    best = c.best_patterns(scores(spark, d)).filter("primary").select("case_id", "pattern", "score", "labels")
+    laws = F.broadcast(dim(spark, "evidence_laws").select("label", F.split("laws", ",").alias("l")))
+    laws = best.select("case_id", F.explode("labels").alias("label")).join(laws, "label").groupBy("case_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("l")))).cast("long").alias("n_laws"))
+    done = c.checklist(best, dim(spark, "pattern_edges"), dim(spark, "pattern_optional")).groupBy("case_id").agg(F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("open"))
     names = F.broadcast(dim(spark, "patterns").select("pattern", "name"))
     x = best.join(names, "pattern").join(laws, "case_id").join(done, "case_id")
     summary = F.concat_ws(" ", "name", F.concat_ws("/", F.col("done").cast("string"), (F.col("done") + F.col("open")).cast("string")))

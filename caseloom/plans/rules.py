@@ -55,14 +55,13 @@ def scores(spark, d):
 
 
 def _checklist(spark, d):
-    e = case_edges(spark, d)
-    return c.checklist(e, c.best_patterns(scores(spark, d)).filter("primary"), dim(spark, "pattern_edges"), dim(spark, "pattern_optional"))
+    return c.checklist(c.best_patterns(scores(spark, d)).filter("primary"), dim(spark, "pattern_edges"), dim(spark, "pattern_optional"))
 
 
 @register("r10_pattern_scores", f"WITH {SCORES_SQL} SELECT case_id, pattern, matched, found_optional, score FROM scores WHERE score >= least")
 def pattern_scores(spark, d):
     """Template scores that reach their threshold."""
-    return scores(spark, d).filter("score >= least").drop("least")
+    return scores(spark, d).filter("score >= least").drop("least", "labels")
 
 
 @register("w7_primary_pattern", f"WITH {SCORES_SQL} SELECT case_id, pattern, score FROM best WHERE place = 1")
