@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import SPACE_CHARS, ascii_lower, keyed, same_document
+from caseloom.llm.common import SPACE_CHARS, ascii_lower, keyed, same_document, staged
 
 
 def _lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -30,6 +30,8 @@ def dropped_positions(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, i
     """(doc_id, text_key, gone): per document with a common line, the sorted positions that go."""
     lines = _lines(docs, min_chars, id_col, text_col)
     common = lines.select("doc_id", "text_key", "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("a", "b")
+    # As a table of known size: Spark broadcasts it if it is small, and can split a hot line's rows if it is not.
+    common = staged(common, "common")
     gone = lines.join(common, ["a", "b"], "left_semi")
     return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
