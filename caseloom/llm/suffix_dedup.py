@@ -203,7 +203,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BRO
     ``docs`` is (doc_id, text_key, raw), a document known by both keys; neither is null.
     """
     found = staged(anchors(docs, length), "anchors")
-    shared = found.groupBy("bucket").agg(_several(*DOC, "a")).filter("several").select("bucket")
+    # As a table of its own, so that Spark can split the rows of a hot bucket in the join.
+    shared = staged(found.groupBy("bucket").agg(_several(*DOC, "a")).filter("several").select("bucket"), "shared")
     found = staged(found.join(shared, "bucket", "left_semi"), "repeated")
     same = ["bucket", "before", "after", "context"]
     found = found.withColumn("before", F.col("a") - F.col("s")).withColumn("after", F.col("a") - F.col("e"))
