@@ -68,7 +68,7 @@ def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     dicts = langid.dictionaries(docs.filter(~langid.held_out(F.col("doc_id")) & F.col("lang").isNotNull()))
     d = langid.identify(docs, dicts)
-    return d.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    return d.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 @query
