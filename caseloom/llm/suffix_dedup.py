@@ -70,7 +70,7 @@ class Rolling:
 
 def window_of(length: int) -> int:
     """Starts per window; what their strings have in common is length - window + 1 bytes."""
-    return max(1, min(256, length - GRAM + 1, length * 2 // 3))
+    return max(1, min(320, length - GRAM + 1, length * 4 // 5))
 
 
 def anchors_of(data: np.ndarray, valid: np.ndarray, length: int):
@@ -208,12 +208,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, broadcast_docs: int = BRO
     found = staged(found.join(shared, "bucket", "left_semi"), "repeated")
     same = ["bucket", "before", "after", "context"]
     found = found.withColumn("before", F.col("a") - F.col("s")).withColumn("after", F.col("a") - F.col("e"))
-    one = F.min(F.struct("doc_id", "text_key", "a", "s", "e")).alias("one")
+    one = F.min(F.struct("doc_id", "text_key", "a")).alias("one")
     contexts = staged(found.groupBy(*same).agg(_several(*DOC, "a"), one), "contexts")
     whole = found.join(contexts.filter("several").select(*same), same, "left_semi").select(*DOC, F.col("s").alias("start"), (F.col("e") + length).alias("end"))
 
     mixed = contexts.groupBy("bucket").agg(F.count("*").alias("m"), F.bool_and("several").alias("settled")).filter("m > 1 and not settled").select("bucket")
-    open_ = contexts.join(mixed, "bucket", "left_semi").select("bucket", "one.*")
+    open_ = contexts.join(mixed, "bucket", "left_semi").select("bucket", "one.*", (F.col("one.a") - F.col("before")).alias("s"), (F.col("one.a") - F.col("after")).alias("e"))
     per_doc = open_.groupBy(*DOC).agg(F.collect_list(F.struct("bucket", "a", "s", "e")).alias("places"))
     per_doc = staged(per_doc, "places")
     if per_doc.count() <= broadcast_docs:  # only the ids and places of documents that take part, a bounded count of them
