@@ -58,14 +58,14 @@ def fingerprint_of(text: bytes, size: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint as a long) of every row."""
-    d = keyed(docs, id_col, text_col).select("doc_id", F.encode("text", "utf-8").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    """(doc_id, text_key, fingerprint as a long) of every row."""
+    d = keyed(docs, id_col, text_col).select("doc_id", F.encode("text", "utf-8").alias("text"), "text_key")
+    schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint_of(x.as_buffer().to_pybytes(), shingle, seed) for x in b.column(1)], U).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
     return d.mapInArrow(run, schema)
 
@@ -261,17 +261,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 20_000) -> DataFrame:
-    """Per row: doc_id, fp (long), component_id (smallest id of the linked documents, itself included)."""
+    """Per row: doc_id, text_key, fp (long), root (the component), component_id (smallest id of the linked documents, itself included)."""
     fp = staged(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     nodes = staged(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     comp = components(links(nodes.select("fp"), max_bits, bucket_rows))
     named = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("fp", "component_id")
-    return fp.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = named.join(lowest, "root").select("fp", "root", "component_id")
+    return fp.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, **kw) -> DataFrame:
-    """Of each component the document with the smallest id, with all its columns; of rows that repeat that id, one."""
-    kept = near_duplicates(docs, shingle, max_bits, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """Of each component the document with the smallest id, with all its columns; of rows that repeat its id and text, one.
+
+    If several texts of a component have that id, or no document of it has an id, the smallest text key decides.
+    """
+    low = near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = low.groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_key")).drop("root")
+    d = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    d = d.join(kept, d[f"`{id_col}`"].eqNullSafe(kept["_id"]) & (d["_text_key"] == kept["_key"]), "left_semi")
+    return d.dropDuplicates([id_col, "_text_key"]).drop("_text_key")

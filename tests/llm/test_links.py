@@ -1,6 +1,7 @@
 """The Gray-order index against all pairs, and the pipeline against its parts."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from caseloom.llm import simhash
 
@@ -46,3 +47,13 @@ def test_components_of_a_chain_and_a_star(spark):
     pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert set(got.values()) == {0, 1000} and len(got) == 249
+
+
+def test_keep_one_knows_rows_by_id_and_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i * k % 97}" for i in range(60)) for x, k in (("river", 5), ("stone", 7), ("walk", 11), ("night", 13)))
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, d), (None, d), (None, b), (7, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_key", F.lit(1)).repartition(3)
+    out = simhash.keep_one(df)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=key) == sorted([(5, a), (3, b), (None, c), (None, d), (7, None)], key=key)
