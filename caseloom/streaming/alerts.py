@@ -64,6 +64,11 @@ def load_edges(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/edges")
 
 
-def read(spark: SparkSession, path: str, files_per_batch: int = 4) -> DataFrame:
-    """A stream over Parquet files with the schema that the table has; ``path`` may be a file or a folder."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")
+def read(spark: SparkSession, path: str, files_per_batch: int | None = 4) -> DataFrame:
+    """A stream over Parquet files with the schema that the table has; ``path`` may be a file or a folder.
+
+    None gives all files that are there to one batch. A finished table's files need not be in time order, so
+    steps that drop late events lose none of it only then.
+    """
+    files = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (files.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else files).parquet(f"{path}*")
