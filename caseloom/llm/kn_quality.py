@@ -11,10 +11,10 @@ Scoring sends the pairs of each block of documents to their part, where the coun
 come back; no row of the pair model reaches the driver. The model of characters is broadcast in shards of about ``shard_rows`` rows,
 by the last two characters of a context (rows with shorter contexts are in every shard).
 
-A document is kept if its perplexity is at most ``slack`` times a high quantile of the perplexities of
-trusted documents of its language that were held out of the training; languages without enough of those
-use the quantile of all languages. Texts of under ``least_chars`` characters say too little about
-themselves: they are kept, and left out of the quantiles.
+A document is kept if its perplexity is at most ``slack`` times a threshold, which is set by the trusted documents of its
+language that were held out of the training: the middle of their log perplexities plus a high quantile of how far above it they lie.
+A short text says less about itself, so that distance is measured, and allowed, in units that grow as sqrt(1 + short_chars / n).
+The figures of a language with few held-out documents lean on those of all languages: their weight is docs / (docs + least_docs).
 
 Defined cases: null, empty and wordless texts have no perplexity and are kept; a null language is
 a language of its own; without trusted rows nothing can be judged and everything is kept; repeated
@@ -37,7 +37,7 @@ from caseloom.llm.common import staged, text_blocks
 U = np.uint64
 #: Marks before and after a word.
 BEGIN, END = "\ufdd0", "\ufdd1"
-ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, LEAST_CHARS = 5, 4_000_000, 0.995, 1.0, 30, 80
+ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, SHORT_CHARS = 5, 4_000_000, 0.995, 1.0, 30, 80
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose words are tabled at a time.
 BLOCK = 4 << 20
@@ -418,7 +418,7 @@ def score(docs: DataFrame, counts: DataFrame, spelling: Spelling, bits: int = PA
     return found.select(*[f.name for f in kept], "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, shard_rows: int = SHARD_ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, least_docs: int = LEAST_DOCS, short_chars: int = SHORT_CHARS, shard_rows: int = SHARD_ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Per row: doc_id, text_key, lang, n_chars_scored, perplexity, threshold, kept."""
     d = with_trust(docs, labels, broadcast_ids)
     texts = d.filter(F.col("trusted") & ~held_back(F.col("doc_id")))
@@ -426,13 +426,26 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     d = d.withColumn("text_key", F.xxhash64("text"))
     bits = part_bits(d)
     scored = staged(score(d, staged(word_counts(texts, spelling, bits), "pairs"), spelling, bits), "scores")
-    fair = scored.filter(F.col("trusted") & held_back(F.col("doc_id")) & (F.col("n") >= least_chars))
-    at = F.percentile_approx("perplexity", quantile, 100_000)
-    by_lang = fair.groupBy("lang").agg(at.alias("own"), F.count("*").alias("docs")).filter(F.col("docs") >= least_docs).drop("docs")
-    overall = fair.agg(at.alias("all_langs"))
-    d = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))  # one row
-    limit = F.coalesce("own", "all_langs") * slack
-    return d.select("doc_id", "text_key", "lang", F.col("n").alias("n_chars_scored"), "perplexity", limit.alias("threshold"), F.coalesce((F.col("n") < least_chars) | (F.col("perplexity") <= limit), F.lit(True)).alias("kept"))
+    scored = scored.withColumn("size", F.log("perplexity")).withColumn("spread", F.sqrt(1 + short_chars / F.col("n")))
+    fair = scored.filter(F.col("trusted") & held_back(F.col("doc_id")) & F.col("perplexity").isNotNull())
+    own = F.col("docs") / (F.col("docs") + F.lit(float(least_docs)))
+
+    def level(df, value, share):
+        """``value`` at ``share`` of the held-out documents, of each language and of all."""
+        at = lambda name: F.percentile_approx(value, share, 100_000).alias(name)
+        return df.groupBy("lang").agg(at("own"), F.count("*").alias("docs")), df.agg(at("all_langs"))
+
+    def with_level(df, levels, name):
+        """A language's level counts the more, the more documents it is from."""
+        each, overall = levels
+        d = df.join(F.broadcast(each), "lang", "left").crossJoin(F.broadcast(overall))  # one row, and one a language
+        return d.withColumn(name, F.coalesce(own * F.col("own") + (1 - own) * F.col("all_langs"), "all_langs")).drop("own", "docs", "all_langs")
+
+    middle = level(fair, F.col("size"), 0.5)
+    fair = with_level(fair, middle, "middle").withColumn("off", (F.col("size") - F.col("middle")) / F.col("spread"))
+    d = with_level(with_level(scored, middle, "middle"), level(fair, F.col("off"), quantile), "most")
+    limit = F.exp(F.col("middle") + F.col("most") * F.col("spread") + 1e-9) * slack
+    return d.select("doc_id", "text_key", "lang", F.col("n").alias("n_chars_scored"), "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(True)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:

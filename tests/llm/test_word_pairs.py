@@ -55,3 +55,19 @@ def test_pairs_match_plain_python(spark):
             logp += math.log(max(0, c[v, w] - d[min(c[v, w], 3) - 1]) / total[v] * (c[v, w] > 0) + held[v] / total[v] * q if v in total else q)
         n = sum(len(w) + 1 for w in t)
         assert x["n"] == n and (x["perplexity"] is None if not n else abs(x["perplexity"] / math.exp(-logp / n) - 1) < 1e-5)
+
+
+def test_short_texts_and_small_languages_are_judged(spark):
+    texts, r = corpus(400)
+    texts = [t[: (6, 12, 80)[i % 3]] for i, t in enumerate(texts)]
+    rows = [(i, " ".join(t), "en" if i % 9 else "de") for i, t in enumerate(texts)] + [(1000, "%%% ### $$$ |||", "en"), (1001, "X9@@q", "de")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: x for x in kn_quality.classify(docs, labels).collect()}
+    assert not got[1000]["kept"] and not got[1001]["kept"]
+    assert sum(got[i]["kept"] for i in range(len(texts))) >= 0.95 * len(texts)  # the threshold is from about 40 documents, so 1 in 40 is to be expected
+    short, long = ([got[i]["threshold"] for i in range(len(texts)) if i % 9 and i % 3 == k] for k in (0, 2))
+    assert min(short) > max(long)
+    few = kn_quality.classify(docs, labels, least_docs=10**9).filter("doc_id in (1, 3, 9)").collect()
+    much = kn_quality.classify(docs, labels, least_docs=0).filter("doc_id = 9").first()["threshold"]
+    assert got[9]["threshold"] != much and got[9]["threshold"] != next(x["threshold"] for x in few if x["doc_id"] == 9)
