@@ -426,7 +426,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     d = d.withColumn("text_key", F.xxhash64("text"))
     bits = part_bits(d)
     scored = staged(score(d, staged(word_counts(texts, spelling, bits), "pairs"), spelling, bits), "scores")
-    scored = scored.withColumn("size", F.log("perplexity")).withColumn("spread", F.sqrt(1 + short_chars / F.col("n")))
+    scored = scored.withColumn("size", F.log("perplexity")).withColumn("spread", F.sqrt(1 + short_chars / F.greatest("n", F.lit(1))))
     fair = scored.filter(F.col("trusted") & held_back(F.col("doc_id")) & F.col("perplexity").isNotNull())
     own = F.col("docs") / (F.col("docs") + F.lit(float(least_docs)))
 
