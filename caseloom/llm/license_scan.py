@@ -2,11 +2,14 @@
 
 Every rolling word k-gram of a document is joined to the places of that k-gram in the license
 templates (a fixed table, far below any broadcast bound). A hit votes for its diagonal: document
-position minus template position. Exact templates need the votes of a whole diagonal; in long
-templates neighbouring diagonals are merged, so that inserted or lost words do not split a match,
-and a merged span is verified by the share of the template's grams that it has.
+position minus template position. Base phrases need the votes of their whole diagonal. For a passage
+each voted diagonal is merged with its neighbours, at most ``max_gap`` words to either side, so that
+inserted or lost words do not split a match; hits further away never enter it, so that what else a text
+repeats cannot swell it. A merged span is verified by the longest run of its hits that goes forward in
+both the text and the template: that run has to have ``min_share`` of the template's k-grams.
 
-The join compares the words themselves, so every vote is a real match of k words.
+The join compares the words themselves, so every vote is a real match of k words. Merging holds at
+most (2 * max_gap + 1) hits per k-gram of a template at a time, however long a text is.
 
 Defined cases: null or wordless text has no places and score 0; a repeated document row gets its
 result once per row; an empty table gives an empty result; other columns are ignored.
@@ -14,32 +17,14 @@ result once per row; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import ascii_lower, keyed, plain_words, same_document
+from caseloom.llm.common import ascii_lower, keyed, plain_words, same_document, staged
+from caseloom.llm.license_texts import BASE_PHRASES, PASSAGES
 
-K = 2
-
-#: Base phrases, whose every place counts, by label.
-BASE_PHRASES = (
-    ("gpl", "gnu general public license"),
-    ("apache", "apache license"),
-    ("cc-by", "cc by"),
-    ("mit", "mit license"),
-)
-
-#: Passages of public licenses; a span with enough of one adds its label.
-PASSAGES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-text", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("mpl-text", "this source code form is subject to the terms of the mozilla public license"),
-)
+K, MIN_SHARE, MAX_GAP = 2, 0.85, 3
+DOC = ["doc_id", "text_key"]
 
 
 def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
@@ -48,53 +33,109 @@ def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
     for exact, templates in ((True, BASE_PHRASES), (False, PASSAGES)):
         for label, phrase in templates:
             words = phrase.split()
-            rows += [(" ".join(words[i : i + k]), label, exact, i, len(words) - k + 1) for i in range(len(words) - k + 1)]
+            grams = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)]
+            rows += [(gram, label, exact, i, len(grams)) for i, gram in enumerate(grams)]
     return spark.createDataFrame(rows, "gram string, label string, exact boolean, tpos int, n_grams int")
 
 
-def votes(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, label, exact, n_grams, diagonal, first_pos, last_pos, tmin, tmax, votes): one row per voted diagonal."""
-    d = keyed(docs, id_col, text_col).select("doc_id", "text_key", plain_words(ascii_lower(F.col("text"))).alias("words"))
-    at = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, k), " ").alias("gram")))
-    d = d.select("doc_id", "text_key", F.explode(F.when(F.size("words") >= k, at)).alias("w"))
-    d = d.select("doc_id", "text_key", F.col("w.pos").alias("pos"), F.col("w.gram").alias("gram"))
-    hit = d.join(F.broadcast(template_grams(docs.sparkSession, k)), "gram").select("doc_id", "text_key", "label", "exact", "n_grams", "pos", "tpos").distinct()
-    return hit.groupBy("doc_id", "text_key", "label", "exact", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.collect_set("tpos").alias("tposs"), F.count("*").alias("votes")
-    )
-
+def hits(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, label, exact, n_grams, pos, tpos): where a k-gram of a document stands in a template.
 
-def license_scan(docs: DataFrame, min_share: float = 0.85, max_gap: int = 3, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    The hashes of a text's rolling k-grams are looked up in those of the templates, a fixed set; only places found
+    there are exploded and joined, by their words.
+    """
+    templates = template_grams(docs.sparkSession, k)
+
+    def rolling(hashes: Column, i: Column) -> Column:
+        return F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
+
+    one = templates.select("gram", F.transform(F.split("gram", " "), lambda w: F.xxhash64(w)).alias("hashes"))
+    known = [r[0] for r in one.select(rolling(F.col("hashes"), F.lit(0))).distinct().collect()]
+    words = plain_words(ascii_lower(F.col("text"))).alias("words")
+    d = keyed(docs, id_col, text_col).select(*DOC, words)
+    d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    every = F.when(F.size("words") >= k, F.sequence(F.lit(0), F.size("words") - k))
+    places = F.filter(every, lambda i: rolling(F.col("hashes"), i).isin(known))
+    at = F.transform(places, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, k), " ").alias("gram")))
+    d = d.select(*DOC, F.explode(at).alias("w"))
+    d = d.select(*DOC, F.col("w.pos").alias("pos"), F.col("w.gram").alias("gram"))
+    return d.join(F.broadcast(templates), "gram").select(*DOC, "label", "exact", "n_grams", "pos", "tpos").distinct()
+
+
+def longest_run(votes: Column) -> Column:
+    """The longest run of hits (tpos, pos) that rises in both: the smallest last position of a run of each length is kept."""
+    in_order = F.array_sort(F.transform(votes, lambda v: F.struct(v["tpos"].alias("tpos"), (-v["pos"]).alias("back"))))
+    rising = F.aggregate(
+        F.transform(in_order, lambda v: -v["back"]),
+        F.array().cast("array<int>"),
+        lambda last, x: F.concat(
+            F.filter(last, lambda y: y < x), F.array(x), F.slice(F.filter(last, lambda y: y >= x), 2, F.size(last) + 1)
+        ),
+    )
+    return F.size(rising)
+
+
+def base_matches(hit: DataFrame, k: int = K) -> DataFrame:
+    """(doc_id, text_key, base, label, start, end, share): each place of a base phrase."""
+    diagonal = (F.col("pos") - F.col("tpos")).alias("start")
+    whole = hit.filter("exact").groupBy(*DOC, "label", "n_grams", diagonal).agg(F.count("*").alias("votes")).filter("votes = n_grams")
+    end = (F.col("start") + F.col("n_grams") + k - 1).alias("end")
+    return whole.select(*DOC, F.lit(True).alias("base"), "label", "start", end, F.lit(1.0).alias("share"))
+
+
+def passage_matches(hit: DataFrame, min_share: float = MIN_SHARE, max_gap: int = MAX_GAP, k: int = K) -> DataFrame:
+    """(doc_id, text_key, base, label, start, end, share): each verified span of a passage."""
+    voted = hit.filter(~F.col("exact")).groupBy(*DOC, "label", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+    voted = voted.agg(F.collect_list(F.struct("tpos", "pos")).alias("votes"), F.count("*").alias("n"))
+    least = F.ceil(F.col("n_grams") * min_share - 1e-9)
+    one = Window.partitionBy(*DOC, "label")
+    voted = voted.withColumn("all", F.sum("n").over(one)).filter(F.col("all") >= least)
+    near = one.orderBy("diagonal").rangeBetween(-max_gap, max_gap)
+    merged = voted.withColumn("reach", F.sum("n").over(near)).withColumn("around", F.flatten(F.collect_list("votes").over(near)))
+    merged = merged.filter(F.col("reach") >= least).withColumn("run", longest_run(F.col("around"))).filter(F.col("run") >= least)
+    places = F.transform("around", lambda v: v["pos"])
+    merged = merged.select(
+        *DOC, "label", F.array_min(places).alias("start"), (F.array_max(places) + k).alias("end"), (F.col("run") / F.col("n_grams")).alias("share")
+    )
+    # Diagonals of one match each find it: spans that overlap are one.
+    order = one.orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int")
+    merged = merged.withColumn("fresh", fresh).withColumn("match", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = merged.groupBy(*DOC, "label", "match").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("share").alias("share"))
+    return merged.select(*DOC, F.lit(False).alias("base"), "label", "start", "end", "share")
+
+
+def license_scan(
+    docs: DataFrame, min_share: float = MIN_SHARE, max_gap: int = MAX_GAP, k: int = K, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted), score, spans.
 
     ``spans`` has (label, start, end, share) of every verified match, in words from 0.
     ``score`` is the largest share of a template that a match has; a base phrase is 1.
     """
-    v = votes(docs, k, id_col, text_col)
-    doc = ["doc_id", "text_key"]
-    base = v.filter(F.col("exact") & (F.col("votes") == F.col("n_grams"))).select(
-        *doc, F.lit(True).alias("base"), "label", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n_grams") + k - 1).alias("end"), F.lit(1.0).alias("share")
-    )
-    # Neighbouring diagonals of one template belong to one match while they are close together in the text too.
-    order = Window.partitionBy(*doc, "label").orderBy("diagonal", "first_pos")
-    near = ~F.col("exact") & (F.col("diagonal") - F.lag("diagonal").over(order) <= max_gap)
-    merged = v.filter(~F.col("exact")).withColumn("fresh", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
-    merged = merged.withColumn("match", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = merged.groupBy(*doc, "label", "n_grams", "match").agg(F.min("first_pos").alias("start"), (F.max("last_pos") + k).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("tposs")))).alias("got"))
-    merged = merged.withColumn("share", F.col("got") / F.col("n_grams"))
-    passages = merged.filter((F.col("share") >= min_share) & (F.col("end") - F.col("start") <= 2 * (F.col("n_grams") + k - 1))).select(*doc, F.lit(False).alias("base"), "label", "start", "end", "share")
-    found = base.unionByName(passages).groupBy(*doc).agg(
-        F.count(F.when(F.col("base"), 1)).alias("n_base"),
-        F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
-        F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
-        F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
+    hit = staged(hits(docs, k, id_col, text_col), "hits")  # texts are cut into k-grams once
+    base = F.col("base")
+    found = base_matches(hit, k).unionByName(passage_matches(hit, min_share, max_gap, k)).groupBy(*DOC).agg(
+        F.count(F.when(base, 1)).alias("n_base"),
+        F.min(F.when(base, F.col("start"))).alias("first_word"),
+        F.max(F.when(base, F.col("start"))).alias("last_word"),
+        F.sort_array(F.collect_set(F.when(base, F.col("label")))).alias("base_labels"),
         F.sort_array(F.collect_set("label")).alias("labels"),
         F.max("share").alias("score"),
         F.sort_array(F.collect_list(F.struct("start", "end", "label", "share"))).alias("spans"),
     )
-    d = keyed(docs, id_col, text_col).select(*doc, F.size(plain_words(ascii_lower(F.col("text")))).cast("long").alias("n_words"))
+    d = keyed(docs, id_col, text_col).select(*DOC, F.size(plain_words(ascii_lower(F.col("text")))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return d.join(found, same_document(d, found), "left").select(
-        d["doc_id"], d["text_key"], "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),
-        F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "spans",
+        d["doc_id"],
+        d["text_key"],
+        "n_words",
+        F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
+        F.col("first_word").cast("long").alias("first_word"),
+        F.col("last_word").cast("long").alias("last_word"),
+        F.coalesce("base_labels", none).alias("base_labels"),
+        F.coalesce("labels", none).alias("labels"),
+        F.coalesce("score", F.lit(0.0)).alias("score"),
+        "spans",
     )
