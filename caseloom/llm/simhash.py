@@ -7,9 +7,10 @@ Links are fingerprints that differ in at most ``max_bits`` bits. The 64 bits are
 two linked fingerprints agree on some b - max_bits of them (pigeonhole), so each fingerprint is sent
 to one bucket per choice of blocks and no link is lost. b grows with the count of fingerprints, which
 keeps the expected bucket small at any size. In a bucket the fingerprints are sorted by Gray rank and
-indexed as a hierarchy: a node holds the bits that all below it share (mask and pattern), and a pair of
-nodes whose shared bits already differ too much is pruned with everything below it. Buckets above
-``bucket_rows`` are split into parts, and every pair of parts is a bucket of its own.
+indexed as a hierarchy: a node holds the bits that all below it share (mask and pattern), a pair of nodes adds
+the differences in the bits that are shared only from its level on to those found above it, and is pruned with
+everything below it once they are too many. Every bucket is searched this way, all buckets of a task at once.
+Buckets above ``bucket_rows`` are split into parts, and every pair of parts is a bucket of its own.
 
 A bucket returns a spanning set of its links, not all pairs. Components are then found by
 alternating large-star and small-star steps, staged in the shared folder.
@@ -78,86 +79,99 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray | None, max_bits: int, fan: int = 16):
-    """Yields index arrays (i, j) of linked fingerprints of ``a``, or of ``a`` against ``b``; both sorted by Gray rank.
+#: Children of a node, and node pairs that are tested at a time.
+FAN, PIECE = 16, 1 << 12
 
-    The hierarchy is built from the leaves: each upper node has the mask and pattern of the bits that its
-    ``fan`` children share. Node pairs are tested from the top; only pairs within ``max_bits`` go down.
+
+def hierarchies(tree: np.ndarray, fps: np.ndarray, fan: int = FAN):
+    """The levels of one hierarchy per tree, leaves first; ``fps`` are sorted by tree and, in a tree, by Gray rank.
+
+    A level is (mask, pattern, above, first, count): the bits that all below a node share, the mask of its parent, and
+    its children in the level below. The last level has one node per tree.
     """
+    mask, pattern, owner = np.full(len(fps), ~U(0)), fps, tree
+    out = [[mask, pattern, None, None, None]]
+    while True:
+        start = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        size = np.diff(np.append(start, len(owner)))
+        if size.max(initial=0) <= 1:
+            break
+        first = np.flatnonzero((np.arange(len(owner)) - np.repeat(start, size)) % fan == 0)
+        count = np.diff(np.append(first, len(owner)))
+        ones, zeros = np.bitwise_and.reduceat(pattern, first), np.bitwise_and.reduceat(~pattern & mask, first)
+        mask, pattern, owner = ones | zeros, ones, owner[first]
+        out[-1][2] = np.repeat(mask, count)
+        out.append([mask, pattern, None, first, count])
+    out[-1][2] = np.zeros(len(mask), U)
+    return out
+
 
-    def levels(x):
-        out = [(np.full(len(x), ~U(0)), x)]
-        while len(out[-1][1]) > fan:
-            mask, pat = out[-1]
-            at = np.arange(0, len(pat), fan)
-            ones, zeros = np.bitwise_and.reduceat(pat & mask, at), np.bitwise_and.reduceat(~pat & mask, at)
-            out.append((ones | zeros, ones))
-        return out
-
-    left = levels(a)
-    right = left if b is None else levels(b)
-    while len(left) < len(right):
-        left.append(left[-1])
-    while len(right) < len(left):
-        right.append(right[-1])
-
-    def close(k, i, j):
-        (ma, pa_), (mb, pb) = left[k], right[k]
-        return np.bitwise_count((pa_[i] ^ pb[j]) & ma[i] & mb[j]) <= max_bits
-
-    def children(k, i, side):
-        """Rows of the level below: same length lists of (parent place, child)."""
-        same = k > 0 and len(side[k][1]) == len(side[k - 1][1])
-        width = 1 if same else fan
-        child = i[:, None] * width + np.arange(width)
-        return np.where(child < len(side[k - 1][1]), child, -1)
-
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(left[-1][1])), np.arange(len(right[-1][1])), indexing="ij"))
-    stack = [(len(left) - 1, i, j)]
+def linked_pairs(levels, left: np.ndarray, right: np.ndarray, max_bits: int):
+    """Yields index arrays (i, j) of linked leaves of the tree pairs (left, right).
+
+    A pair of nodes carries the differences found above it and adds those in the bits that are shared only from here on;
+    it is dropped with all below it once they are over ``max_bits``. A tree is paired with itself to find its own links.
+    """
+    stack = [(len(levels) - 1, left, right, np.zeros(len(left), np.uint8))]
     while stack:
-        k, i, j = stack.pop()
-        if len(i) > 1 << 12 and k > 0:  # depth first in pieces, so that the front stays small
-            stack += [(k, i[s : s + (1 << 12)], j[s : s + (1 << 12)]) for s in range(0, len(i), 1 << 12)]
-            continue
-        ok = (i <= j) if b is None else np.ones(len(i), bool)
-        ok &= close(k, i, j)
-        i, j = i[ok], j[ok]
-        if not len(i):
+        k, i, j, found = stack.pop()
+        if len(i) > PIECE:  # depth first in pieces, so that the front stays small
+            stack += [(k, i[s : s + PIECE], j[s : s + PIECE], found[s : s + PIECE]) for s in range(0, len(i), PIECE)]
             continue
+        mask, pattern, above, first, count = levels[k]
+        fresh = mask[i] & mask[j] & ~(above[i] & above[j])
+        found = found + np.bitwise_count((pattern[i] ^ pattern[j]) & fresh)
+        ok = found <= max_bits
+        i, j, found = i[ok], j[ok], found[ok]
         if k == 0:
-            if b is None:
-                i, j = i[i != j], j[i != j]
-            yield i, j
-            continue
-        ci, cj = children(k, i, left), children(k, j, right)
-        ii, jj = np.repeat(ci, cj.shape[1], 1).ravel(), np.tile(cj, (1, ci.shape[1])).ravel()
-        ok = (ii >= 0) & (jj >= 0)
-        stack.append((k - 1, ii[ok], jj[ok]))
+            yield i[i != j], j[i != j]
+        elif len(i):
+            n = count[i] * count[j]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            width = np.repeat(count[j], n)
+            a, b = np.repeat(first[i], n) + at // width, np.repeat(first[j], n) + at % width
+            ok = a <= b  # equal only below a node paired with itself; trees of a pair are in order
+            stack.append((k - 1, a[ok], b[ok], np.repeat(found, n)[ok]))
+
+
+class Groups:
+    """Labels of linked rows, the smallest row of each group."""
+
+    def __init__(self, size: int):
+        self.label = np.arange(size)
+
+    def join(self, i: np.ndarray, j: np.ndarray):
+        while True:
+            a, b = self.label[i], self.label[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while True:
+                short = self.label[self.label]
+                if np.array_equal(short, self.label):
+                    break
+                self.label = short
+
+
+def forest_links(tree: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray, max_bits: int) -> np.ndarray:
+    """A spanning set of links, (n, 2), of the tree pairs; ``tree`` numbers the trees from 0, in order, ``left`` < ``right`` or equal."""
+    order = np.lexsort((gray_rank(fps), tree))
+    fps = fps[order]
+    groups = Groups(len(fps))
+    for i, j in linked_pairs(hierarchies(tree[order], fps), left, right, max_bits):
+        groups.join(i, j)
+    moved = np.flatnonzero(groups.label != np.arange(len(fps)))
+    return np.stack((fps[moved], fps[groups.label[moved]]), 1)
 
 
 def bucket_links(fps: np.ndarray, other: np.ndarray | None, max_bits: int) -> np.ndarray:
     """A spanning set of links, (n, 2), of one bucket or of two parts of one."""
-    fps = fps[np.argsort(gray_rank(fps), kind="stable")]
-    if other is not None:
-        other = other[np.argsort(gray_rank(other), kind="stable")]
-    nodes = fps if other is None else np.concatenate((fps, other))
-    parent = list(range(len(nodes)))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for i, j in linked_pairs(fps, other, max_bits):
-        shift = 0 if other is None else len(fps)
-        for x, y in zip(i.tolist(), (j + shift).tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    root = np.array([find(x) for x in range(len(nodes))], np.int64)
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return np.stack((nodes[moved], nodes[root[moved]]), 1)
+    if other is None:
+        return forest_links(np.zeros(len(fps), np.int64), fps, np.zeros(1, np.int64), np.zeros(1, np.int64), max_bits)
+    tree = np.repeat([0, 1], [len(fps), len(other)])
+    return forest_links(tree, np.concatenate((fps, other)), np.zeros(1, np.int64), np.ones(1, np.int64), max_bits)
 
 
 def blocks_for(n: int, max_bits: int, bucket: int = 64) -> int:
@@ -198,33 +212,21 @@ def links(fps: DataFrame, max_bits: int = 4, bucket_rows: int = 20_000, blocks:
             if not held:
                 return None
             c = [np.concatenate(x) for x in zip(*held)]
-            key = np.stack(c[:4])
-            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            starts = np.concatenate(([0], cut, [key.shape[1]]))
-            upto = len(starts) - 1 if final else len(starts) - 2
-            out = []
-            fp, second = c[5].view(U), c[4]
-            sizes = np.diff(starts[: upto + 1])
-            small = sizes <= 16
-            # Small buckets: every row against the one d places on, for all of them at once.
-            end = starts[upto]
-            last = np.repeat(starts[1 : upto + 1], sizes)
-            tiny = np.repeat(small & (key[2, starts[:upto]] == key[3, starts[:upto]]), sizes)
-            for d in range(1, 16):
-                i = np.flatnonzero(tiny[: max(0, end - d)] & (np.arange(max(0, end - d)) + d < last[: max(0, end - d)]))
-                if not len(i):
-                    break
-                i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= max_bits]
-                out.append(np.stack((fp[i], fp[i + d]), 1))
-            for k in np.flatnonzero(~(small & (key[2, starts[:upto]] == key[3, starts[:upto]]))):
-                s = slice(starts[k], starts[k + 1])
-                if key[2, starts[k]] == key[3, starts[k]]:
-                    out.append(bucket_links(np.unique(fp[s]), None, max_bits))
-                elif second[s].any() and not second[s].all():
-                    out.append(bucket_links(np.unique(fp[s][~second[s]]), np.unique(fp[s][second[s]]), max_bits))
-            rest = starts[upto]
-            held = [] if final else [[x[rest:] for x in c]]
-            return np.concatenate(out) if out else None
+            new = np.concatenate(([True], np.any([x[1:] != x[:-1] for x in c[:4]], 0)))
+            upto = len(new) if final else int(np.flatnonzero(new)[-1])
+            held = [] if final else [[x[upto:] for x in c]]
+            if not upto:
+                return None
+            lo, hi, second, fp = c[2][:upto], c[3][:upto], c[4][:upto], c[5][:upto].view(U)
+            bucket = np.cumsum(new[:upto]) - 1
+            # A bucket is one tree, or the trees of its two parts; all buckets are searched at once.
+            side = bucket * 2 + second
+            trees, tree = np.unique(side, return_inverse=True)
+            own = np.flatnonzero(new[:upto])
+            single = lo[own] == hi[own]
+            a, b = np.arange(len(own)) * 2, np.arange(len(own)) * 2 + ~single
+            there = np.isin(a, trees) & np.isin(b, trees)
+            return forest_links(tree, fp, np.searchsorted(trees, a[there]), np.searchsorted(trees, b[there]), max_bits)
 
         size = 0
         for b_ in batches:
