@@ -24,8 +24,6 @@ result; other columns are ignored. The kept bytes need not be valid UTF-8, so th
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,14 +38,22 @@ GRAM, STEP, BLOCK = 24, 32, 1 << 19
 BROADCAST_DOCS = 1_000_000
 
 
-@lru_cache(maxsize=4)
+#: Tables of powers of this process, by function and size. A plain dictionary, which travels (empty) with the functions that use it.
+_TABLES: dict = {}
+
+
 def _powers(which: int, size: int):
     """A random value per byte, the powers of an odd base, and those of its inverse; modulo 2^64."""
+    if (which, size) in _TABLES:
+        return _TABLES[which, size]
+    if len(_TABLES) >= 4:
+        _TABLES.clear()
     rng = np.random.default_rng(20_240_101 + which)
     values = rng.integers(0, 1 << 63, 256, dtype=U) * U(2) + rng.integers(0, 2, 256, dtype=U)
     base = int(rng.integers(0, 1 << 62)) * 4 + 3
     row = lambda b: np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(size, b, U))))
-    return values, row(base), row(pow(base, -1, 1 << 64))
+    _TABLES[which, size] = values, row(base), row(pow(base, -1, 1 << 64))
+    return _TABLES[which, size]
 
 
 class Rolling:
@@ -248,23 +254,26 @@ def suffix_dedup(docs: DataFrame, length: int = 400, broadcast_docs: int = BROAD
     rows = d.join(spans, DOC, "left").select("id", "raw", "spans")
     schema = T.StructType([T.StructField("doc_id", d.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
-    def cut(raw, spans):
-        if not spans:
+    def cut(raw, start, end):
+        """Sizes and what is left of one text; its spans are merged first."""
+        if not len(start):
             return len(raw), 0, 0, raw
-        view, at, out, gone, n = memoryview(raw), 0, [], 0, 0
-        for x, y in sorted((s["start"], s["end"]) for s in spans):
-            if x > at or not n:
-                out.append(view[at:x])
-                n += 1
-            gone += max(0, y - max(x, at))
-            at = max(at, y)
-        out.append(view[at:])
-        return len(raw), gone, n, b"".join(out)
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate(end[order])
+        fresh = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+        start, end = start[fresh], end[np.append(fresh[1:] - 1, len(end) - 1)]
+        left = b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)]))
+        return len(raw), int((end - start).sum()), len(start), left
 
     def run(batches):
         for b in batches:
-            found = [cut(r, s) for r, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            columns = [pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))] if found else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            spans = b.column(2)
+            flat = spans.flatten()
+            start, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            at = np.concatenate(([0], np.cumsum(pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False))))
+            found = [cut(memoryview(r.as_buffer()), start[x:y], end[x:y]) for r, x, y in zip(b.column(1), at[:-1], at[1:])]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -70,12 +70,12 @@ def repeats(docs, size=400):
     raw = {d: (t or "").encode() for d, t in docs}
     for b in raw.values():
         for i in range(len(b) - size + 1):
-            seen[b[i : i + size]] += 1
+            seen[hash(b[i : i + size])] += 1
     out = {}
     for d, b in raw.items():
         gone = bytearray(len(b))
         for i in range(len(b) - size + 1):
-            if seen[b[i : i + size]] > 1:
+            if seen[hash(b[i : i + size])] > 1:
                 gone[i : i + size] = b"\x01" * size
         runs = len(re.findall(b"\x01+", bytes(gone)))
         out[d] = (len(b), sum(gone), runs, sha(bytes(x for x, g in zip(b, gone) if not g)))
