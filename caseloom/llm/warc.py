@@ -9,10 +9,14 @@ Of records with equal payloads the one with the smallest page id is the response
 Reading takes index rows, sorts their byte ranges by archive and offset, merges ranges that are close
 together, reads each merged range once, and cuts the records out of it.
 
-Defined cases: null html is an empty payload and a null URL an empty one; rows that repeat a page id, URL
-and payload are one record; rows that share a page id but not the rest are records of their own; a null
-page id is a page id (the smallest of its payload only if it has no other); an empty table gives an empty
-index; other columns are ignored.
+Every row of pages is a record. Rows that repeat a page id, URL and payload differ in their ``copy`` number;
+the further copies stand in archives of their own (numbers from ``archives`` on), where they are spread by copy,
+so that a row that was delivered very often is no large archive.
+
+Defined cases: null html is an empty payload and a null URL an empty one; rows that repeat a page id and payload,
+with one URL or several, are all responses if that id is the payload's smallest, and all revisits if not; rows that
+share a page id only are records of their own; a null page id is a page id (the smallest of its payload only if
+it has no other); an empty table gives an empty index; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from caseloom.llm.common import shared_dir, staged
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 PAGES_PER_ARCHIVE, GAP, MAX_RANGE = 8192, 64 << 10, 4 << 20
+#: Compressed bytes that a task reads back.
+TASK_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -92,11 +98,12 @@ def _count(pages: DataFrame, pages_per_archive: int) -> int:
 
 
 def build_index(pages: DataFrame, min_bytes: int = 0, pages_per_archive: int = PAGES_PER_ARCHIVE, **cols) -> DataFrame:
-    """(page_id, url, payload_digest, payload_bytes, record_type, refers_to, archive, offset, length) of every record."""
+    """(page_id, url, payload_digest, payload_bytes, record_type, refers_to, copy, archive, offset, length) of every record."""
     archives = _count(pages, pages_per_archive)
     rows = page_rows(pages, **cols)
     key = ["page_id", "url", "payload_digest", "payload_bytes"]
-    found = _packed(rows, True).groupBy(*key).agg(F.max("packed").alias("packed"))
+    found = _packed(rows, True).groupBy(*key).agg(F.max("packed").alias("packed"), F.count("*").alias("n"))
+    found = found.select(*key, "packed", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
     # The smallest page id of each payload, over partial minima: a payload that a third of all pages share is one row per task.
     first = rows.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
     found = found.join(first, ["payload_digest", "payload_bytes"], "left")
@@ -104,10 +111,12 @@ def build_index(pages: DataFrame, min_bytes: int = 0, pages_per_archive: int = P
     found = found.withColumn("refers_to", F.when(again, F.col("first_id"))).withColumn("record_type", F.when(again, "revisit").otherwise("response"))
     size = revisit_length("page_id", "url", "payload_digest", "refers_to")
     plain, revisits = found.filter("record_type = 'response'"), found.filter("record_type = 'revisit'")
-    found = plain.withColumn("length", F.col("packed")).unionByName(revisits.withColumn("length", size)).withColumn("archive", _archive(archives))
-    before = Window.partitionBy("archive").orderBy("page_id", "url", "payload_digest").rowsBetween(Window.unboundedPreceding, -1)
+    found = plain.withColumn("length", F.col("packed")).unionByName(revisits.withColumn("length", size))
+    spread = F.pmod(F.xxhash64("page_id", "url", "payload_digest", "copy"), F.lit(archives)).cast("int") + archives
+    found = found.withColumn("archive", F.when(F.col("copy") == 0, _archive(archives)).otherwise(spread))
+    before = Window.partitionBy("archive").orderBy("page_id", "url", "payload_digest", "copy").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0))
-    return staged(found.select(*key, "record_type", "refers_to", "archive", offset.alias("offset"), "length"), "index")
+    return staged(found.select(*key, "record_type", "refers_to", "copy", "archive", offset.alias("offset"), "length"), "index")
 
 
 def _archive(archives: int) -> Column:
@@ -124,7 +133,7 @@ def write_archives(pages: DataFrame, index: DataFrame, path: str | None = None,
     path = path or f"{shared_dir(spark)}/archives"
     archives = _count(pages, pages_per_archive)
     key = ["page_id", "url", "payload_digest"]
-    ours = index.select("archive", *key, F.lit(0).alias("kind"), "offset", "refers_to", F.lit(None).cast("binary").alias("packed"), (F.col("record_type") == "revisit").alias("again"))
+    ours = index.filter(F.col("copy") == 0).select("archive", *key, F.lit(0).alias("kind"), "offset", "refers_to", F.lit(None).cast("binary").alias("packed"), (F.col("record_type") == "revisit").alias("again"))
     theirs = _packed(page_rows(pages, **cols), False).select(_archive(archives).alias("archive"), *key, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast(index.schema["refers_to"].dataType).alias("refers_to"), "packed", F.lit(False).alias("again"))
     rows = ours.unionAll(theirs).repartition(archives, "archive").sortWithinPartitions("archive", *key, "kind")
 
@@ -142,19 +151,47 @@ def write_archives(pages: DataFrame, index: DataFrame, path: str | None = None,
                     waiting = None
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["archive", "offset", "packed"])
 
-    merged = rows.mapInArrow(merge, "archive int, offset long, packed binary").sortWithinPartitions("archive", "offset")
-    merged.select("archive", F.col("packed").cast("string").alias("value")).write.partitionBy("archive").option("lineSep", "\0").text(path)
+    _write(rows.mapInArrow(merge, "archive int, offset long, packed binary").sortWithinPartitions("archive", "offset"), path)
+    further = index.filter(F.col("copy") > 0)
+    if not further.isEmpty():
+        _write(_copies(pages, further, **cols).repartition(archives, "archive").sortWithinPartitions("archive", "offset"), path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", r"archive=(\d+)/", 1).cast("int").alias("archive"), F.col("path").alias("file"))
 
 
+def _write(merged: DataFrame, path: str) -> None:
+    """Archives of rows (archive, offset, packed), which are in order; each archive comes from one task."""
+    merged.select("archive", F.col("packed").cast("string").alias("value")).write.mode("append").partitionBy("archive").option("lineSep", "\0").text(path)
+
+
+def _copies(pages: DataFrame, further: DataFrame, **cols) -> DataFrame:
+    """(archive, offset, packed) of the further copies of repeated rows, by a join of their index rows to one page row each."""
+    key = ["page_id", "url", "payload_digest"]
+    rows = page_rows(pages, **cols)
+    wanted = further.select(*key).distinct()
+    same = [rows[c].eqNullSafe(wanted[c]) for c in key]
+    one = rows.join(wanted, same, "left_semi").groupBy(*key).agg(F.min("payload").alias("payload"))
+    same = [further[c].eqNullSafe(one[c]) for c in key]
+    found = further.join(one, same).select("archive", "offset", *[further[c] for c in key], "refers_to", (F.col("record_type") == "revisit").alias("again"), "payload")
+
+    def pack(batches):
+        for b in batches:
+            archive, offset, *rest = b.columns
+            packed = [record(p, u, d, None if again else x, r) for p, u, d, r, again, x in zip(*(c.to_pylist() for c in rest))]
+            yield pa.RecordBatch.from_arrays([archive, offset, pa.array(packed, pa.binary())], ["archive", "offset", "packed"])
+
+    return found.mapInArrow(pack, "archive int, offset long, packed binary")
+
+
 def read_records(selected: DataFrame, files: DataFrame, gap: int = GAP, max_range: int = MAX_RANGE, tasks: int | None = None) -> DataFrame:
     """(archive, offset, record_type, page, digest, payload) of the selected index rows, by merged byte ranges.
 
-    ``tasks`` is how many tasks read; as many as the session's shuffle partitions if it is not given, since ranges are
-    a few bytes before they are read and megabytes after.
+    ``tasks`` is how many tasks read; if it is not given, one for TASK_BYTES of the selected records, and the session's
+    shuffle partitions at least, since ranges are a few bytes before they are read and megabytes after.
     """
-    tasks = tasks or int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not tasks:
+        size = selected.agg(F.sum("length")).first()[0] or 0
+        tasks = max(-(-size // TASK_BYTES), int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = selected.select("archive", "offset", "length").join(files, "archive")
     order = Window.partitionBy("archive").orderBy("offset")
     apart = F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(order) > gap

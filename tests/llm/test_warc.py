@@ -32,3 +32,16 @@ def test_small_payloads_stay_responses_and_ranges_select(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_every_row_is_a_record(spark):
+    """Repeated rows, one page with two URLs, and copies of a null id; each row comes back, and so do its bytes."""
+    rows = [(1, "http://a", "same")] * 5 + [(1, "http://b", "same"), (4, "http://a", "same"), (4, "http://a", "same"), (6, "http://c", "z"), (None, "http://d", "z"), (None, "http://d", "z"), (7, None, None), (7, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0, r["payload_bytes"]) for r in warc.round_trip(pages).collect()))
+    want = [(1, "response", 0, 4)] * 6 + [(4, "revisit", 1, 4)] * 2 + [(6, "response", 0, 1)] + [(0, "revisit", 6, 1)] * 2 + [(7, "response", 0, 0)] * 2
+    assert got == sorted(want)
+    index = warc.build_index(pages, pages_per_archive=4)
+    files = warc.write_archives(pages, index, pages_per_archive=4)
+    read = warc.read_records(index, files).collect()
+    assert len(read) == len(rows) and sum(bytes(r["payload"]) == b"same" for r in read) == 6
