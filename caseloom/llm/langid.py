@@ -1,14 +1,14 @@
 """Language identification by compression.
 
-For each language a raw-content dictionary is cut from training texts. Texts are reduced to lower-case
+For each language a raw-content dictionary is made of whole training texts. Texts are reduced to lower-case
 letters and single spaces on both sides, so that junk symbols and capitals say nothing. A text is compressed with the
 dictionary of each language; the smallest result names the language, and a narrow margin to the second
-is reported as a rejection. The dictionaries hold a bounded sample of labelled rows: at most
-``sample_docs`` documents per language, those with the smallest hash of their id, and at most
-``dict_bytes`` bytes; every text is scored whole.
+is reported as a rejection. The dictionaries hold a bounded sample of labelled rows: in the order of a hash of their
+ids, whole texts of at most ``dict_bytes`` / 4 bytes, as many as ``sample_docs`` and ``dict_bytes`` allow. Every text to
+predict is scored whole.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; a language with no training
-text is unknown; with no training rows at all everything is ``und``; ties go to the language with most training rows, then
+text of that size is unknown; a null id is not held out; with no training rows at all everything is ``und``; ties go to the language with most training rows, then
 to the first name; repeated
 rows each get their own result row; an empty table gives an empty result.
 """
@@ -35,20 +35,20 @@ def letters(text: str) -> bytes:
 
 def held_out(id_col: Column) -> Column:
     """The fold that is never learned from."""
-    return F.crc32(id_col.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
 def dictionaries(train: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Language -> raw content, the language with most training rows first; ``train`` has the rows that may be learned from."""
-    t = train.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("lang is not null and text is not null and length(text) > 0")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    t = train.select(*[F.col(f"`{c}`").cast(kind).alias(n) for c, kind, n in ((lang_col, "string", "lang"), (id_col, "string", "id"), (text_col, "string", "text"))])
+    t = t.filter("lang is not null and length(text) > 0").withColumn("size", F.octet_length("text"))
     totals = {r["lang"]: r["count"] for r in t.groupBy("lang").count().collect()}
-    t = t.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs)
-    # An even share of the dictionary for each sampled document: the sample is bounded, texts to score are not cut.
-    share = max(1, dict_bytes // sample_docs)
-    t = t.select("lang", "rank", F.substring("text", 1, share).alias("text"))
-    rows = t.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("text")).collect()
-    return {r["lang"]: letters(r["text"])[-dict_bytes:] for r in sorted(rows, key=lambda r: (-totals[r["lang"]], r["lang"]))}
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    t = t.filter(F.col("size") <= dict_bytes // 4).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs)
+    t = t.withColumn("total", F.sum(F.col("size") + 1).over(Window.partitionBy("lang").orderBy("rank"))).filter(F.col("total") <= dict_bytes)
+    in_order = F.sort_array(F.collect_list(F.struct("rank", "text")))
+    rows = t.groupBy("lang").agg(F.array_join(F.transform(in_order, lambda x: x["text"]), "\n").alias("text")).collect()
+    return {r["lang"]: letters(r["text"]) for r in sorted(rows, key=lambda r: (-totals[r["lang"]], r["lang"]))}
 
 
 def identify(docs: DataFrame, dicts: dict[str, bytes], level: int = LEVEL, margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
