@@ -51,9 +51,12 @@ def plain_words(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir. Unset, that is an error on a cluster; on one machine a temporary one."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_caseloom_shared", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark._caseloom_shared = "file://" + tempfile.mkdtemp(prefix="caseloom-")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 

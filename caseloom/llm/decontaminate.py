@@ -2,10 +2,11 @@
 
 A window is ten consecutive words of an item, or the whole item if it is shorter. Windows are
 compared as their words, joined, so a hit is a verified one. The benchmark's windows are broadcast
-while their count is below ``broadcast_rows``; beyond that the same join is shuffled.
+while there are at most ``broadcast_rows`` of them and their words and item ids take at most BROADCAST_BYTES; beyond that
+the same join is shuffled.
 
 Defined cases: null or wordless text has no windows and is never contaminated; items without
-words are ignored; repeated item texts all count as items; a repeated document row gets the
+words are ignored; repeated item texts all count as items; item ids of any type are taken as text, a null one counts for no item; a repeated document row gets the
 result once per row; an empty benchmark leaves every document clean.
 """
 
@@ -14,16 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import ascii_lower, keyed, plain_words, same_document
+from caseloom.llm.common import ascii_lower, keyed, plain_words, same_document, staged
 
-#: Ten words of at most some hundred bytes: 200,000 windows are about 20 MB.
-BROADCAST_ROWS = 200_000
+#: The benchmark's windows are broadcast up to so many of them and so many bytes of words and item ids, with ROW_BYTES for what a row takes besides.
+BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 200_000, 32 << 20, 64
 
 
 def item_windows(benchmark: DataFrame, window: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(gram, n, items): each distinct window of the benchmark, its words and the items that have it."""
     words = plain_words(ascii_lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
-    b = benchmark.select(F.col(f"`{item_col}`").alias("item_id"), words.alias("words")).filter(F.size("words") > 0)
+    b = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), words.alias("words")).filter(F.size("words") > 0)
     b = b.withColumn("n", F.least(F.size("words"), F.lit(window)))
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.array_join(F.slice("words", i, F.col("n")), " "))
     return b.select("item_id", "n", F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram", "n").agg(F.collect_set("item_id").alias("items"))
@@ -31,9 +32,11 @@ def item_windows(benchmark: DataFrame, window: int = 10, item_col: str = "item_i
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, p, n, items): each place in a document where a benchmark window stands."""
-    known = item_windows(benchmark, window)
+    known = staged(item_windows(benchmark, window), "windows")
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # at most ``window`` numbers
-    if known.count() <= broadcast_rows:
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    rows, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram") + ids + ROW_BYTES), F.lit(0))).first()
+    if rows <= broadcast_rows and size <= BROADCAST_BYTES:
         known = F.broadcast(known)
     d = keyed(docs, id_col, text_col).select("doc_id", "text_key", plain_words(ascii_lower(F.col("text"))).alias("words"))
 
@@ -55,7 +58,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     fresh = F.greatest(F.lit(0), F.col("p") + F.col("n") - F.greatest(F.col("p"), F.col("reached")))
     found = found.groupBy("doc_id", "text_key").agg(F.sum(fresh).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     d = keyed(docs, id_col, text_col).select("doc_id", "text_key", F.size(plain_words(ascii_lower(F.col("text")))).cast("long").alias("n_words"))
-    items = F.sort_array(F.transform(F.coalesce(found["items"], F.array().cast("array<bigint>")), lambda x: x.cast("string")))
+    items = F.sort_array(F.coalesce(found["items"], F.array().cast("array<string>")))
     n_hit = F.coalesce(found["n_hit"], F.lit(0)).cast("long")
     return d.join(found, same_document(d, found), "left").select(d["doc_id"], d["text_key"], "n_words", n_hit.alias("n_hit"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
