@@ -38,11 +38,11 @@ def template_grams(spark: SparkSession, k: int = K) -> DataFrame:
     return spark.createDataFrame(rows, "gram string, label string, exact boolean, tpos int, n_grams int")
 
 
-def hits(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, label, exact, n_grams, pos, tpos): where a k-gram of a document stands in a template.
+def hits(docs: DataFrame, min_share: float = MIN_SHARE, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, label, exact, n_grams, at): all (pos, tpos) where a k-gram of a document stands in a template.
 
     The hashes of a text's rolling k-grams are looked up in those of the templates, a fixed set; only places found
-    there are exploded and joined, by their words.
+    there are exploded and joined, by their words. Templates of which a document has too few hits for any match are left out.
     """
     templates = template_grams(docs.sparkSession, k)
 
@@ -59,7 +59,13 @@ def hits(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "t
     at = F.transform(places, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("words", i + 1, k), " ").alias("gram")))
     d = d.select(*DOC, F.explode(at).alias("w"))
     d = d.select(*DOC, F.col("w.pos").alias("pos"), F.col("w.gram").alias("gram"))
-    return d.join(F.broadcast(templates), "gram").select(*DOC, "label", "exact", "n_grams", "pos", "tpos").distinct()
+    found = d.join(F.broadcast(templates), "gram").groupBy(*DOC, "label", "exact", "n_grams").agg(F.collect_set(F.struct("pos", "tpos")).alias("at"))
+    return found.filter(F.size("at") >= F.when(F.col("exact"), F.col("n_grams")).otherwise(least(min_share)))
+
+
+def least(min_share: float) -> Column:
+    """k-grams that a match of a passage has at least."""
+    return F.ceil(F.col("n_grams") * min_share - 1e-9)
 
 
 def longest_run(votes: Column) -> Column:
@@ -87,12 +93,10 @@ def passage_matches(hit: DataFrame, min_share: float = MIN_SHARE, max_gap: int =
     """(doc_id, text_key, base, label, start, end, share): each verified span of a passage."""
     voted = hit.filter(~F.col("exact")).groupBy(*DOC, "label", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     voted = voted.agg(F.collect_list(F.struct("tpos", "pos")).alias("votes"), F.count("*").alias("n"))
-    least = F.ceil(F.col("n_grams") * min_share - 1e-9)
     one = Window.partitionBy(*DOC, "label")
-    voted = voted.withColumn("all", F.sum("n").over(one)).filter(F.col("all") >= least)
     near = one.orderBy("diagonal").rangeBetween(-max_gap, max_gap)
     merged = voted.withColumn("reach", F.sum("n").over(near)).withColumn("around", F.flatten(F.collect_list("votes").over(near)))
-    merged = merged.filter(F.col("reach") >= least).withColumn("run", longest_run(F.col("around"))).filter(F.col("run") >= least)
+    merged = merged.filter(F.col("reach") >= least(min_share)).withColumn("run", longest_run(F.col("around"))).filter(F.col("run") >= least(min_share))
     places = F.transform("around", lambda v: v["pos"])
     merged = merged.select(
         *DOC, "label", F.array_min(places).alias("start"), (F.array_max(places) + k).alias("end"), (F.col("run") / F.col("n_grams")).alias("share")
@@ -114,7 +118,7 @@ def license_scan(
     ``spans`` has (label, start, end, share) of every verified match, in words from 0.
     ``score`` is the largest share of a template that a match has; a base phrase is 1.
     """
-    hit = staged(hits(docs, k, id_col, text_col), "hits")  # texts are cut into k-grams once
+    hit = staged(hits(docs, min_share, k, id_col, text_col), "hits").select(*DOC, "label", "exact", "n_grams", F.inline("at"))
     base = F.col("base")
     found = base_matches(hit, k).unionByName(passage_matches(hit, min_share, max_gap, k)).groupBy(*DOC).agg(
         F.count(F.when(base, 1)).alias("n_base"),

@@ -135,7 +135,7 @@ def write_archives(pages: DataFrame, index: DataFrame, path: str | None = None,
     key = ["page_id", "url", "payload_digest"]
     ours = index.filter(F.col("copy") == 0).select("archive", *key, F.lit(0).alias("kind"), "offset", "refers_to", F.lit(None).cast("binary").alias("packed"), (F.col("record_type") == "revisit").alias("again"))
     theirs = _packed(page_rows(pages, **cols), False).select(_archive(archives).alias("archive"), *key, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast(index.schema["refers_to"].dataType).alias("refers_to"), "packed", F.lit(False).alias("again"))
-    rows = ours.unionAll(theirs).repartition(archives, "archive").sortWithinPartitions("archive", *key, "kind")
+    rows = ours.unionAll(theirs).repartitionById(archives, F.col("archive")).sortWithinPartitions("archive", *key, "kind")
 
     def merge(batches):
         waiting = None  # the index row whose page is still to come
@@ -154,7 +154,7 @@ def write_archives(pages: DataFrame, index: DataFrame, path: str | None = None,
     _write(rows.mapInArrow(merge, "archive int, offset long, packed binary").sortWithinPartitions("archive", "offset"), path)
     further = index.filter(F.col("copy") > 0)
     if not further.isEmpty():
-        _write(_copies(pages, further, **cols).repartition(archives, "archive").sortWithinPartitions("archive", "offset"), path)
+        _write(_copies(pages, further, **cols).repartitionById(archives, F.col("archive") - archives).sortWithinPartitions("archive", "offset"), path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.regexp_extract("path", r"archive=(\d+)/", 1).cast("int").alias("archive"), F.col("path").alias("file"))
 
