@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import standardize as st
+from caseloom.operators.pairs import linked
 
 
 def v_id(label: str, key: Column) -> Column:
@@ -70,7 +71,22 @@ def build(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         es.append(_edges(r.filter("SUSPCT_TELNO is not null").select("case", "SUSPCT_TELNO").distinct(), "eg_used_phone", v_id("vt_case", c("case")), v_id("vt_telno", c("SUSPCT_TELNO"))))
     if "TB_WEB_DMN" in t:
         vs.append(_vertices(t["TB_WEB_DMN"], "vt_site", "DMN_ADDR", domain="DMN_ADDR", ip_addr="IP_ADDR"))
-        es.append(_edges(t["TB_WEB_DMN"].filter("IP_ADDR is not null"), "resolved_to", v_id("vt_site", c("DMN_ADDR")), v_id("vt_ip", c("IP_ADDR"))))
+        es.append(_edges(t["TB_WEB_DMN"].filter("coalesce(IP_ADDR, '') <> ''"), "resolved_to", v_id("vt_ip", c("IP_ADDR")), v_id("vt_site", c("DMN_ADDR"))))
+    if "TB_TELNO_SMS_MSG" in t:
+        m = t["TB_TELNO_SMS_MSG"]
+        vs.append(_vertices(m, "vt_msg", "SMS_SN", event_id="SMS_SN", event_type=F.lit("sms"), timestamp="DSPTCH_DT", summary=F.substring("MSG_CN", 1, 50)))
+        es.append(_edges(m, "sent_msg", v_id("vt_telno", c("DSPTCH_TELNO")), v_id("vt_msg", c("SMS_SN"))))
+        es.append(_edges(m, "received_msg", v_id("vt_msg", c("SMS_SN")), v_id("vt_telno", c("RCPTN_TELNO"))))
+    if "TB_GEO_MBL_LOC_EVT" in t:
+        m = t["TB_GEO_MBL_LOC_EVT"]
+        vs.append(_vertices(m, "vt_loc_evt", "LOC_EVT_SN", event_id="LOC_EVT_SN", lat="BSST_LAT", lng="BSST_LOT", timestamp="OCCRN_DT"))
+        es.append(_edges(m, "located_at", v_id("vt_telno", c("TELNO")), v_id("vt_loc_evt", c("LOC_EVT_SN"))))
+    if "TB_VHCL_LPR_EVT" in t:
+        m = t["TB_VHCL_LPR_EVT"]
+        vs.append(_vertices(m, "vt_lpr_evt", "RCGN_SN", event_id="RCGN_SN", lat="LAT", lng="LOT", timestamp="RCGN_DT"))
+        es.append(_edges(m, "detected_at", v_id("vt_vhcl", c("VHCLNO")), v_id("vt_lpr_evt", c("RCGN_SN"))))
+    if "TB_FIN_BACNT" in t and "INST_ID" in t["TB_FIN_BACNT"].columns:
+        es.append(_edges(t["TB_FIN_BACNT"], "belongs_to", account_id(c("BACNT_NO")), v_id("vt_org", c("INST_ID"))))
     if "TB_INST" in t:
         vs.append(_vertices(t["TB_INST"], "vt_org", "INST_ID", org_id="INST_ID", org_nm="INST_NM"))
     if "TB_VHCL_MST" in t:
@@ -90,10 +106,9 @@ def build(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     return vertices, edges
 
 
-def related_cases(edges: DataFrame, confidence: float = 0.75) -> DataFrame:
-    """Case pairs that share evidence, in both directions; evidence is known by its vertex, so kinds never mix."""
-    used = edges.filter(F.col("label").isin("eg_used_account", "eg_used_phone")).select(F.col("src").alias("a"), F.col("dst").alias("evidence")).distinct()
-    shared = used.groupBy("evidence").agg(F.count("*").alias("n")).filter("n > 1").select("evidence")
-    used = used.join(shared, "evidence")
-    pairs = used.join(used.withColumnRenamed("a", "b"), "evidence").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("related_case").alias("label"), "shared", F.lit(confidence).alias("confidence"))
+def related_cases(edges: DataFrame, confidence: float = 0.75, least: int = 1) -> DataFrame:
+    """Case pairs that share ``least`` pieces of evidence, in both directions; evidence is known by its vertex, so kinds never mix."""
+    used = edges.filter(F.col("label").isin("eg_used_account", "eg_used_phone")).select(F.col("src").alias("case_v"), F.col("dst").alias("evidence")).distinct()
+    pairs = linked(used, ["evidence"], "case_v", least).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("related_case").alias("label"), "shared", F.lit(confidence).alias("confidence"))

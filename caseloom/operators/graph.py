@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -98,3 +98,26 @@ def upsert_coalesce(old: DataFrame, new: DataFrame, key: list[str], order: str)
     solid = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c))
     batch = new.groupBy(*key).agg(*[F.max_by(solid(c), F.when(solid(c).isNotNull(), F.col(order))).alias(f"_{c}") for c in rest])
     return old.join(batch, key, "full").select(*key, *[F.coalesce(f"_{c}", c).alias(c) for c in rest])
+
+
+#: Names that stand for an unknown person.
+PLACEHOLDERS = ("불상", "미상")
+
+
+def without_placeholders(df: DataFrame, name: Column) -> DataFrame:
+    """P5: rows with a real name; placeholders and missing names go."""
+    return df.filter(~name.isin(*PLACEHOLDERS))
+
+
+def case_subgraphs(edges: DataFrame, most: int | None = 50) -> DataFrame:
+    """(src, dst, label, direction) around every case, src being the case; at most ``most`` edges of each."""
+    e = undirected(edges)
+    return capped(e.filter(F.col("src").startswith("vt_case:")), ["src"], ["label", "dst", "direction"], most)
+
+
+def distinct_elements(results: list[DataFrame], ids: list[str]) -> DataFrame:
+    """The union of some results with each element, known by ``ids``, once."""
+    out = results[0]
+    for x in results[1:]:
+        out = out.unionByName(x)
+    return out.dropDuplicates(ids)

@@ -12,9 +12,12 @@ from caseloom.operators.graph import undirected
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder below the one named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below the one named in spark.checkpoint.dir. Unset, that is an error on a cluster; on one machine a temporary one."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_caseloom_stage", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark._caseloom_stage = "file://" + tempfile.mkdtemp(prefix="caseloom-")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -26,30 +29,41 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def shortest(edges: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
-    """(a, b, hops, path) of each pair (a, b) that is linked in at most ``hops`` undirected steps.
+def half_paths(step: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(seed, at, hops, path): every vertex within ``hops`` steps of a seed, with the smallest of its shortest paths.
 
-    All pairs walk at once. A frontier row is a reached vertex with the smallest path to it; vertices that
-    an earlier step reached are left out, so a step never does more than extend the frontier. Of paths of
-    one length the smallest is kept.
+    ``step`` is (at, to). Vertices that an earlier step reached are left out, so a step only extends the frontier.
     """
-    step = staged(undirected(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
-    front = staged(pairs.select("a", "b", F.col("a").alias("at"), F.array("a").alias("path")).distinct())
-    seen = front.select("a", "b", "at")
-    found = front.filter("at = b").select("a", "b", F.lit(0).alias("hops"), "path")
+    front = staged(seeds.select("seed", F.col("seed").alias("at"), F.lit(0).alias("hops"), F.array("seed").alias("path")))
+    found, seen = front, front.select("seed", "at")
     for n in range(1, hops + 1):
-        open_ = front.filter("at <> b")
-        new = open_.join(step, "at").select("a", "b", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        new = new.join(seen, ["a", "b", "at"], "left_anti").groupBy("a", "b", "at").agg(F.min("path").alias("path"))
-        new = staged(new.join(found.select("a", "b"), ["a", "b"], "left_anti"))
-        if new.isEmpty():
+        new = front.join(step, "at").select("seed", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
+        new = new.groupBy("seed", "at").agg(F.min("path").alias("path")).join(seen, ["seed", "at"], "left_anti")
+        front = staged(new.select("seed", "at", F.lit(n).alias("hops"), "path"))
+        if front.isEmpty():
             break
-        found = found.unionAll(new.filter("at = b").select("a", "b", F.lit(n).alias("hops"), "path"))
-        seen = seen.unionAll(new.select("a", "b", "at"))
-        front = new
+        found, seen = found.unionAll(front), seen.unionAll(front.select("seed", "at"))
     return found
 
 
+def shortest(edges: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
+    """(a, b, hops, path) of each pair (a, b) that is linked in at most ``hops`` undirected steps.
+
+    Both ends walk half of the way, each end once however many pairs it is in, and meet: a shortest path has a vertex half
+    way. Of paths of one length the one with the smallest first half, and then the smallest second half, is kept.
+    """
+    step = staged(undirected(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
+    pairs = staged(pairs.select("a", "b").distinct())
+    near, far = (hops + 1) // 2, hops // 2
+    ends = lambda c: pairs.select(F.col(c).alias("seed")).distinct()
+    left = half_paths(step, ends("a"), near).select(F.col("seed").alias("a"), "at", F.col("hops").alias("h1"), F.col("path").alias("p1"))
+    right = half_paths(step, ends("b"), far).select(F.col("seed").alias("b"), "at", F.col("hops").alias("h2"), F.col("path").alias("p2"))
+    met = pairs.join(left, "a").join(right, ["b", "at"])
+    path = F.concat("p1", F.slice(F.reverse("p2"), 2, far + 1))
+    least = F.min(F.struct((F.col("h1") + F.col("h2")).alias("hops"), path.alias("path"))).alias("x")
+    return met.groupBy("a", "b").agg(least).select("a", "b", "x.hops", "x.path")
+
+
 def walks(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, at, via, steps) ends of undirected walks of exactly ``depth`` edges that repeat no edge.
 
@@ -88,4 +102,6 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         e = new
         if settled:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("v_id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("v_id"), F.col("v").alias("component")).distinct())

@@ -95,7 +95,7 @@ def table_profile(spark, d):
 @register("g12_related_cases", f"WITH {SQL['used_phone']} SELECT 'vt_case:' || a.case_id::VARCHAR AS src, 'vt_case:' || b.case_id::VARCHAR AS dst, count(*) AS shared FROM used_phone a JOIN used_phone b USING (phone) WHERE a.case_id <> b.case_id GROUP BY ALL HAVING count(*) >= 2")
 def related_cases(spark, d):
     """Related cases in both directions, by the phones that they share."""
-    return b.related_cases(p.edges(spark, d, "eg_used_phone")).filter("shared >= 2").select("src", "dst", "shared")
+    return b.related_cases(p.edges(spark, d, "eg_used_phone"), least=2).select("src", "dst", "shared")
 
 
 # --- streams ------------------------------------------------------------------------------------

@@ -23,6 +23,7 @@ INFERENCE_RULES = (
 #: Pattern, name, weight of required edges, weight of optional vertices, least score.
 PATTERNS = (
     ("bodycam", "몸캠피싱", 0.70, 0.30, 0.85), ("voice", "보이스피싱", 0.75, 0.25, 0.80), ("phone_fraud", "전화금융사기", 0.70, 0.30, 0.80), ("investment", "투자사기", 0.70, 0.30, 0.80), ("smishing", "스미싱", 0.70, 0.30, 0.80),
+    ("money_chain", "자금세탁체인", 0.80, 0.20, 0.75), ("call_network", "통화네트워크", 0.70, 0.30, 0.80), ("mule_account", "대포통장", 0.80, 0.20, 0.80),
 )
 #: Pattern, edge label of the case, vertex label at its end.
 PATTERN_EDGES = (
@@ -31,11 +32,14 @@ PATTERN_EDGES = (
     ("phone_fraud", "eg_used_phone", "vt_telno"), ("phone_fraud", "eg_used_account", "vt_bacnt"),
     ("investment", "digital_trace", "vt_site"), ("investment", "eg_used_account", "vt_bacnt"),
     ("smishing", "eg_used_phone", "vt_telno"), ("smishing", "digital_trace", "vt_site"), ("smishing", "eg_used_account", "vt_bacnt"),
+    # Their edges are not incident to the case, whose subgraph is one hop: these three never reach their threshold here.
+    ("money_chain", "from_account", "vt_transfer"), ("money_chain", "to_account", "vt_bacnt"), ("call_network", "caller", "vt_call"), ("call_network", "callee", "vt_telno"),
+    ("mule_account", "eg_used_account", "vt_case"),
 )
 #: Pattern, optional vertex label, weight.
 PATTERN_OPTIONAL = (
     ("bodycam", "vt_ip", 0.20), ("bodycam", "vt_telno", 0.10), ("voice", "vt_ip", 0.15), ("voice", "vt_site", 0.15),
-    ("phone_fraud", "vt_atm", 0.30), ("investment", "vt_telno", 0.15), ("investment", "vt_id", 0.15), ("smishing", "vt_ip", 0.15), ("smishing", "vt_file", 0.15),
+    ("phone_fraud", "vt_atm", 0.30), ("investment", "vt_telno", 0.15), ("investment", "vt_id", 0.15), ("smishing", "vt_ip", 0.15), ("smishing", "vt_file", 0.15), ("call_network", "vt_case", 0.20), ("mule_account", "vt_transfer", 0.30),
 )
 #: Evidence label, laws, importance.
 EVIDENCE_LAWS = (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import graph as g
 from caseloom.operators import paths
+from caseloom.operators.pairs import linked
 from caseloom.plans import projection as p
 from caseloom.plans.projection import SQL, table
 from caseloom.plans.registry import register
@@ -106,7 +107,8 @@ def accomplice_network(spark, d):
     """Accounts, addresses, cases and accomplices of every person."""
     h = p.has_account(spark, d)
     count = lambda df, role: df.groupBy("person").agg(F.count("*").alias("n")).select("person", F.lit(role).alias("role"), "n")
-    mates = h.join(h.withColumnRenamed("person", "mate"), "account").filter("person <> mate").select("person", "mate").distinct()
+    pairs = linked(h.distinct(), ["account"], "person").select("a", "b").distinct()
+    mates = pairs.select(F.explode(F.array("a", "b")).alias("person"))
     return count(h, "account").unionAll(count(p.used_ip(spark, d), "ip")).unionAll(count(p.involves(spark, d), "case")).unionAll(count(mates, "accomplice"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import standardize as st
 from caseloom.operators import graph as g
+from caseloom.operators.pairs import linked
 from caseloom.plans import projection as p
 from caseloom.plans.projection import SQL, table
 from caseloom.plans.registry import register
@@ -77,12 +78,20 @@ def distinct_collections(spark, d):
     return p.used_account(spark, d).groupBy("account").agg(F.countDistinct("case_id").alias("cases"), F.array_join(F.sort_array(F.collect_set(F.col("case_id").cast("string"))), ",").alias("case_list"))
 
 
+def first_five(pairs, key, member, name):
+    """The five smallest members of each key, joined; ``pairs`` has each pair once, and no more than five of a key are collected."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(member))
+    few = pairs.select(key, member).withColumn("_n", place).filter("_n <= 5")
+    return few.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias(name))
+
+
 @register("a8_hub_phones", cte("calls", body="""SELECT dst AS phone, count(DISTINCT src) AS members, count(*) AS calls, array_to_string(list_sort(list(DISTINCT src))[1:5], ',') AS sample
 FROM calls GROUP BY dst HAVING count(*) >= 5 ORDER BY calls DESC, phone LIMIT 10"""))
 def hub_phones(spark, d):
     """The ten phones that are called most, at least five times, with five of their callers."""
-    x = p.calls(spark, d).groupBy(F.col("dst").alias("phone")).agg(F.countDistinct("src").alias("members"), F.count("*").alias("calls"), F.array_join(F.slice(F.sort_array(F.collect_set("src")), 1, 5), ",").alias("sample"))
-    return x.filter("calls >= 5").orderBy(F.desc("calls"), "phone").limit(10)
+    pairs = p.calls(spark, d).groupBy(F.col("dst").alias("phone"), "src").agg(F.count("*").alias("n"))
+    top = pairs.groupBy("phone").agg(F.count("*").alias("members"), F.sum("n").alias("calls")).filter("calls >= 5").orderBy(F.desc("calls"), "phone").limit(10)
+    return top.join(first_five(pairs, "phone", "src", "sample"), "phone").select("phone", "members", "calls", "sample")
 
 
 @register("a9_mule_accounts", cte("used_account", "transfers", body=""", t AS (SELECT src AS account, count(*) AS n FROM transfers GROUP BY src)
@@ -90,7 +99,9 @@ SELECT u.account, count(*) AS case_count, array_to_string(list_sort(list(case_id
 FROM used_account u LEFT JOIN t ON u.account = t.account GROUP BY u.account HAVING count(*) >= 3 ORDER BY case_count DESC, u.account LIMIT 10"""))
 def mule_accounts(spark, d):
     """Accounts of three or more cases with five of them and their outgoing transfers, the top ten."""
-    u = p.used_account(spark, d).groupBy("account").agg(F.count("*").alias("case_count"), F.array_join(F.slice(F.sort_array(F.collect_set("case_id")), 1, 5), ",").alias("sample_cases")).filter("case_count >= 3").orderBy(F.desc("case_count"), "account").limit(10)
+    used = p.used_account(spark, d)
+    u = used.groupBy("account").agg(F.count("*").alias("case_count")).filter("case_count >= 3").orderBy(F.desc("case_count"), "account").limit(10)
+    u = u.join(first_five(used, "account", "case_id", "sample_cases"), "account")
     t = p.transfers(spark, d).groupBy(F.col("src").alias("account")).agg(F.count("*").alias("n"))
     return u.join(t, "account", "left").select("account", "case_count", "sample_cases", F.coalesce("n", F.lit(0)).alias("transfer_count"))
 
@@ -240,19 +251,15 @@ def interval_join(spark, d):
 
 @register("j9_cases_sharing_phones", cte("used_phone", body="SELECT a.case_id AS a, b.case_id AS b, count(*) AS shared FROM used_phone a JOIN used_phone b USING (phone) WHERE a.case_id < b.case_id GROUP BY ALL HAVING count(*) >= 2"))
 def cases_sharing_phones(spark, d):
-    """Pairs of cases that share two or more phones; phones of one case are dropped before the self-join."""
-    u = p.used_phone(spark, d)
-    shared = u.groupBy("phone").agg(F.count("*").alias("n")).filter("n > 1").select("phone")
-    u = u.join(shared, "phone")
-    b = u.select("phone", F.col("case_id").alias("b"))
-    return u.select("phone", F.col("case_id").alias("a")).join(b, "phone").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    """Pairs of cases that share two or more phones; hot phones are split."""
+    return linked(p.used_phone(spark, d), ["phone"], "case_id", 2).groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
 
 
 @register("j19_common_neighbours", cte("used_ip", body="SELECT a.person AS a, b.person AS b, count(*) AS shared FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person > b.person GROUP BY ALL HAVING count(*) >= 20"))
 def common_neighbours(spark, d):
     """Pairs of persons that share 20 addresses or more."""
-    u = p.used_ip(spark, d)
-    return u.select("ip", F.col("person").alias("a")).join(u.select("ip", F.col("person").alias("b")), "ip").filter("a > b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 20")
+    x = linked(p.used_ip(spark, d), ["ip"], "person", 20).groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 20")
+    return x.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")
 
 
 @register("j21_anti_join", "SELECT p_partkey AS phone FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom.operators import cases as c
+from caseloom.operators.pairs import linked
 from caseloom.plans import projection as p
 from caseloom.plans.dims import dim, dim_sql
 from caseloom.plans.projection import SQL, table
@@ -113,14 +114,14 @@ def readiness(spark, d):
     return c.readiness(case_edges(spark, d), dim(spark, "crime_evidence"))
 
 
-@register("r2_voice_phishing", f"WITH {CASE_EDGES_SQL} SELECT a.case_id, a.node AS account, t.node AS phone FROM case_edges a JOIN case_edges t USING (case_id) WHERE a.edge = 'eg_used_account' AND t.edge = 'eg_used_phone'")
+@register("r2_voice_phishing", f"WITH {SQL['used_account']}, {SQL['used_phone']}, a AS (SELECT case_id, 'vt_bacnt:' || account::VARCHAR AS node FROM used_account WHERE account % 3 > 0), t AS (SELECT case_id, 'vt_telno:' || phone::VARCHAR AS node FROM used_phone WHERE phone % 4 > 0) SELECT a.case_id, a.node AS account, t.node AS phone FROM a JOIN t USING (case_id)")
 def voice_phishing(spark, d):
     """Cases with a phone and an account, one row per pair."""
     e = case_edges(spark, d)
     return e.filter("edge = 'eg_used_account'").select("case_id", F.col("node").alias("account")).join(e.filter("edge = 'eg_used_phone'").select("case_id", F.col("node").alias("phone")), "case_id")
 
 
-@register("r3_two_accounts", f"WITH {CASE_EDGES_SQL} SELECT a.case_id, a.node AS account, b.node AS other FROM case_edges a JOIN case_edges b USING (case_id) WHERE a.edge = 'eg_used_account' AND b.edge = 'eg_used_account' AND a.node < b.node AND a.case_id IN (SELECT case_id FROM case_edges WHERE edge = 'eg_used_phone')")
+@register("r3_two_accounts", f"WITH {SQL['used_account']}, {SQL['used_phone']}, a AS (SELECT case_id, 'vt_bacnt:' || account::VARCHAR AS node FROM used_account WHERE account % 3 > 0), t AS (SELECT case_id, 'vt_telno:' || phone::VARCHAR AS node FROM used_phone WHERE phone % 4 > 0) SELECT a.case_id, a.node AS account, b.node AS other FROM a JOIN a b USING (case_id) WHERE a.node < b.node AND a.case_id IN (SELECT case_id FROM t)")
 def two_accounts(spark, d):
     """Cases with a phone and two different accounts."""
     e = case_edges(spark, d)
@@ -202,8 +203,8 @@ SELECT a, b, phones, calls, 0.7::DOUBLE AS confidence FROM x WHERE phones >= 30"
 def accomplices(spark, d):
     """Pairs of callers of the same phones; calls are counted per pair of ends before the self-join."""
     n = p.calls(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    x = n.select("dst", F.col("src").alias("a"), F.col("n").alias("na")).join(n.select("dst", F.col("src").alias("b"), F.col("n").alias("nb")), "dst").filter("a < b")
-    return x.groupBy("a", "b").agg(F.count("*").alias("phones"), F.sum(F.col("na") + F.col("nb")).alias("calls")).filter("phones >= 30").withColumn("confidence", F.lit(0.7))
+    x = linked(n, ["dst"], "src", 30, ("n",))
+    return x.groupBy("a", "b").agg(F.count("*").alias("phones"), F.sum(F.col("n_a") + F.col("n_b")).alias("calls")).filter("phones >= 30").withColumn("confidence", F.lit(0.7))
 
 
 @register("r20_night_activity", "SELECT user_id, count(*) AS n, 0.65::DOUBLE AS confidence FROM events WHERE extract(hour FROM ts) < 6 GROUP BY user_id HAVING count(*) >= 3")
@@ -221,9 +222,8 @@ def cross_domain(spark, d):
 @register("r22_same_location", cte("used_ip", body="SELECT a.person AS src, b.person AS dst, 'same_location' AS label, true AS is_virtual, min(ip) AS reason, count(*) AS weight FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person > b.person GROUP BY ALL HAVING count(*) >= 15"))
 def same_location(spark, d):
     """Virtual edges between persons that share many addresses."""
-    u = p.used_ip(spark, d)
-    x = u.select("ip", F.col("person").alias("src")).join(u.select("ip", F.col("person").alias("dst")), "ip").filter("src > dst")
-    x = x.groupBy("src", "dst").agg(F.min("ip").alias("reason"), F.count("*").alias("weight")).filter("weight >= 15")
+    x = linked(p.used_ip(spark, d), ["ip"], "person", 15)
+    x = x.groupBy(F.col("b").alias("src"), F.col("a").alias("dst")).agg(F.min("ip").alias("reason"), F.count("*").alias("weight")).filter("weight >= 15")
     return x.select("src", "dst", F.lit("same_location").alias("label"), F.lit(True).alias("is_virtual"), "reason", "weight")
 
 
@@ -250,8 +250,7 @@ def role_labels(spark, d):
 def co_use(spark, d):
     """Pairs of persons often at one address on one day, with the count of days as weight."""
     e = table(spark, d, "events").select("user_id", F.regexp_extract("props", '"k": *([0-9]+)', 1).alias("ip"), F.date_trunc("day", "ts").alias("t")).distinct()
-    x = e.select("ip", "t", F.col("user_id").alias("a")).join(e.select("ip", "t", F.col("user_id").alias("b")), ["ip", "t"]).filter("a < b")
-    return x.groupBy("a", "b").agg(F.count("*").alias("weight")).filter("weight >= 2")
+    return linked(e, ["ip", "t"], "user_id", 2).groupBy("a", "b").agg(F.count("*").alias("weight")).filter("weight >= 2")
 
 
 @register("r29_mismatch_owner", """WITH u AS (SELECT l_partkey AS phone, o_custkey AS person, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), m AS (SELECT phone, person AS user, row_number() OVER (PARTITION BY phone ORDER BY n DESC, person) AS r FROM u)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import standardize as st
+from caseloom.sources import records
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -100,16 +101,27 @@ def load_layout(name: str, df: DataFrame) -> dict[str, DataFrame]:
 KEYS = {
     "TB_PRSN": ["PRSN_ID"], "TB_TELNO_MST": ["TELNO"], "TB_FIN_BACNT": ["BACNT_NO"], "TB_TELNO_CALL_DTL": ["CALL_SN"], "TB_FIN_BACNT_DLNG": ["DLNG_SN"], "TB_SYS_LGN_EVT": ["LGN_EVT_SN"],
     "TB_TELNO_JOIN": ["JOIN_SN"], "TB_INCDNT_PRSN": ["INCDNT_NO", "PRSN_ID"], "TB_INCDNT_MST": ["INCDNT_NO"], "TB_FRD_VCTM_RPT": ["DCLR_SN"], "TB_WEB_DMN": ["DMN_ADDR"], "TB_WEB_URL": ["URL_ADDR"], "TB_VHCL_MST": ["VHCLNO"], "TB_DGTL_FILE_INVNT": ["FILE_SN"], "TB_INST": ["INST_ID"],
+    "TB_TELNO_SMS_MSG": ["SMS_SN"], "TB_CHAT_MSG": ["CHAT_SN"], "TB_GEO_MBL_LOC_EVT": ["LOC_EVT_SN"], "TB_VHCL_LPR_EVT": ["RCGN_SN"],
 }
 
 
 def merge_loads(loads: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """The loads of several files as one table each: per key, of every other column the largest value that is there."""
+    """The loads of several files as one table each: per key, of every other column the last solid value.
+
+    Later loads come after earlier ones; rows of one load have no order, so of several values in it the largest counts.
+    Null and blank values never replace others.
+    """
     out: dict[str, DataFrame] = {}
-    for load in loads:
+    for place, load in enumerate(loads):
         for name, df in load.items():
+            df = df.withColumn("_load", F.lit(place))
             out[name] = out[name].unionByName(df, allowMissingColumns=True) if name in out else df
-    return {name: df.groupBy(*KEYS[name]).agg(*[F.max(x).alias(x) for x in df.columns if x not in KEYS[name]]) for name, df in out.items()}
+
+    def last(c):
+        there = F.when(F.trim(F.col(c).cast("string")) != "", F.struct("_load", F.col(c).alias("v")))
+        return F.max(there)["v"].alias(c)
+
+    return {name: df.groupBy(*KEYS[name]).agg(*[last(c) for c in df.columns if c not in (*KEYS[name], "_load")]) for name, df in out.items()}
 
 
 # --- generic wide files (S4) --------------------------------------------------------------------
@@ -117,13 +129,16 @@ def merge_loads(loads: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
 def fan_out(df: DataFrame, mapping: dict[str, str]) -> dict[str, DataFrame]:
     """Target table -> rows of one wide file; ``mapping`` is field -> column, as column mapping finds it."""
     c = lambda f: F.col(f"`{mapping[f]}`") if f in mapping else F.lit(None).cast("string")
-    fields = ("case", "crime", "date", "suspect", "nickname", "name", "account", "sender", "receiver", "amount", "phone", "caller", "callee", "ip", "url", "file", "vehicle", "org", "message", "bank")
+    fields = ("case", "crime", "date", "suspect", "nickname", "name", "account", "sender", "receiver", "amount", "phone", "caller", "callee", "ip", "url", "file", "vehicle", "org", "message", "bank", "lat", "lng")
     d = df.select(*[F.nullif(F.trim(c(f)), F.lit("")).alias(f) for f in fields])
     d = d.withColumn("person", F.coalesce("suspect", "nickname", "name")).withColumn("src", F.coalesce("sender", "account")).withColumn("dst", F.coalesce("receiver", "account"))
     pick = lambda where, *cols: d.filter(where).select(*cols).distinct()
-    account = lambda f: pick(f"{f} is not null", F.col(f).alias("BACNT_NO"), F.coalesce(st.bank_code(F.col("bank")), F.lit("999")).alias("BANK_CD"), F.col("person").alias("DPSTR_NM"))
+    account = lambda f: pick(f"{f} is not null", F.col(f).alias("BACNT_NO"), F.coalesce(st.bank_code(F.col("bank")), F.lit("999")).alias("BANK_CD"), F.col("person").alias("DPSTR_NM"), F.col("org").alias("INST_ID"))
     phone = lambda f: pick(f"{f} is not null", F.col(f).alias("TELNO"), F.lit("01").alias("JOIN_TYP_CD"))
     amount = st.amount(F.col("amount"))
+    time = F.try_to_timestamp(F.col("date"))
+    d = d.withColumn("msg_from", F.coalesce("caller", "phone")).withColumn("msg_to", F.coalesce("callee", "phone")).withColumn("holder", F.coalesce("name", "person"))
+    placed = records.with_coordinates(d, "lat", "lng")
     return {
         "TB_INCDNT_MST": pick("case is not null", F.col("case").alias("INCDNT_NO"), F.col("crime").alias("INCDNT_NM"), F.substring("crime", 1, 6).alias("INCDNT_TYP_CD"), F.try_to_timestamp(F.col("date")).alias("OCCRN_DT")),
         "TB_PRSN": pick("person is not null", F.col("person").alias("PRSN_ID"), F.coalesce("name", "person").alias("KORN_FLNM"), F.lit("01" if "suspect" in mapping else "99").alias("PRSN_SE_CD"), F.col("nickname").alias("RMK_CN")),
@@ -131,6 +146,11 @@ def fan_out(df: DataFrame, mapping: dict[str, str]) -> dict[str, DataFrame]:
         "TB_FIN_BACNT_DLNG": pick("src is not null and dst is not null and src <> dst", serial(F.lit("dlng"), "case", "src", "dst", "amount", "date").alias("DLNG_SN"), F.col("src").alias("BACNT_NO"), F.col("dst").alias("TRRC_BACNT_NO"), F.lit("03").alias("DLNG_SE_CD"), amount.alias("DLNG_AMT"), F.try_to_timestamp(F.col("date")).alias("DLNG_DT")),
         "TB_TELNO_MST": phone("phone").unionAll(phone("caller")).unionAll(phone("callee")).distinct(),
         "TB_TELNO_CALL_DTL": pick("caller is not null and callee is not null", serial(F.lit("call"), "case", "caller", "callee", "date").alias("CALL_SN"), F.col("caller").alias("DSPTCH_TELNO"), F.col("callee").alias("RCPTN_TELNO")),
+        "TB_TELNO_JOIN": pick("phone is not null and holder is not null", serial(F.lit("join"), "case", "phone", "holder").alias("JOIN_SN"), F.col("phone").alias("TELNO"), F.col("holder").alias("JOIN_PSNNM")),
+        "TB_TELNO_SMS_MSG": pick("message is not null and msg_from <> msg_to", serial(F.lit("sms"), "case", "msg_from", "msg_to", "date", "message").alias("SMS_SN"), F.col("msg_from").alias("DSPTCH_TELNO"), F.col("msg_to").alias("RCPTN_TELNO"), time.alias("DSPTCH_DT"), F.substring("message", 1, 4000).alias("MSG_CN")),
+        "TB_CHAT_MSG": pick("message is not null and nickname is not null", serial(F.lit("chat"), "case", "nickname", "date", "message").alias("CHAT_SN"), F.col("nickname").alias("DSPTCH_USER_ID"), F.col("message").alias("MSG_CN"), time.alias("DSPTCH_DT"), F.lit("미상").alias("APP_NM")),
+        "TB_GEO_MBL_LOC_EVT": placed.filter("phone is not null").select(serial(F.lit("loc"), "case", "phone", "lat", "lng", "date").alias("LOC_EVT_SN"), F.col("phone").alias("TELNO"), F.col("lat").alias("BSST_LAT"), F.col("lng").alias("BSST_LOT"), time.alias("OCCRN_DT")).distinct(),
+        "TB_VHCL_LPR_EVT": placed.filter("vehicle is not null").select(serial(F.lit("lpr"), "case", "vehicle", "lat", "lng", "date").alias("RCGN_SN"), F.col("vehicle").alias("VHCLNO"), time.alias("RCGN_DT"), F.col("lat").alias("LAT"), F.col("lng").alias("LOT")).distinct(),
         "TB_SYS_LGN_EVT": pick("ip is not null", serial(F.lit("lgn"), "case", "ip", "person").alias("LGN_EVT_SN"), F.coalesce("person", F.lit("UNKNOWN_USER")).alias("USER_ID"), F.col("ip").alias("CNNT_IP_ADDR")),
         "TB_FRD_VCTM_RPT": pick("case is not null and (person is not null or account is not null or phone is not null)", serial(F.lit("dclr"), "case", "person", "account", "phone").alias("DCLR_SN"), amount.alias("DAM_AMT"), F.col("phone").alias("SUSPCT_TELNO"), F.col("account").alias("SUSPCT_BACNT_NO"), F.concat(F.lit("사건참조:"), "case").alias("DAM_CN")),
         "TB_INST": pick("org is not null", F.col("org").alias("INST_ID"), F.col("org").alias("INST_NM")),

@@ -33,6 +33,15 @@ def bursts(events: DataFrame, gap: str, least: int) -> DataFrame:
     return e.filter(F.col("n") >= least).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def mules(ins: DataFrame, outs: DataFrame, within: str, least: int, path: str) -> DataFrame:
+    """M4/D3: (user_id, out_id, ins): payouts that follow ``least`` payments in or more of the same user within a time.
+
+    The stream's state holds what a later row can still meet; what it lands at ``path`` is counted per payout when it is read.
+    """
+    pairs = run(followed(ins, outs, within), path, "append")
+    return pairs.groupBy("user_id", F.col("second_id").alias("out_id")).agg(F.count("*").alias("ins")).filter(F.col("ins") >= least)
+
+
 def run(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its result table, which lies at ``path``."""
     spark = stream.sparkSession
