@@ -3,13 +3,13 @@
 The model is of word pairs; below them, as the distribution that a pair's discounted mass goes to, is a model
 of the characters of a word, each between word marks, up to ``order`` characters long. Both are trained on every
 word of every trusted document. Tasks count the distinct pairs and words of their block, and the counts of all
-blocks are summed by Spark: those of pairs, which grow with the text, by part of the first word's key (64 bits,
-and 32 of the second word after it), packed as arrays; those of character n-grams, which saturate, as rows whose discounts,
+blocks are summed by Spark: those of pairs, which grow with the text, by parts, packed as arrays; those of character n-grams, which saturate, as rows whose discounts,
 continuation counts and lower-order probabilities are count joins between the orders, by n-gram, context and suffix.
 
 Scoring sends the pairs of each block of documents to their part, where the counts are, and adds the sums that
-come back; no row of the pair model reaches the driver. The model of characters is broadcast in shards of about ``shard_rows`` rows,
-by the last two characters of a context (rows with shorter contexts are in every shard).
+come back (see ``kn_pairs``); no row of the pair model reaches the driver but the sums of at most 65,536 frequent words. The model of
+characters is broadcast in shards of about ``shard_rows`` rows, by the last two characters of a context (rows with shorter contexts
+are in every shard).
 
 A document is kept if its perplexity is at most ``slack`` times a threshold, which is set by the trusted documents of its
 language that were held out of the training: the middle of their log perplexities plus a high quantile of how far above it they lie.
@@ -30,20 +30,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caseloom.llm.common import staged, text_blocks
+from caseloom.llm.kn_pairs import Frequent, discounts_of, frequent_words, part_bits, score, word_counts
+from caseloom.llm.kn_words import Words, keys_of, word_keys
 
-U = np.uint64
-#: Marks before and after a word.
-BEGIN, END = "\ufdd0", "\ufdd1"
 ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, SHORT_CHARS = 5, 4_000_000, 0.995, 1.0, 30, 80
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose words are tabled at a time.
-BLOCK = 4 << 20
-#: Bytes of text whose word pairs are dealt out at a time; bits of a word's key that name its part, and bytes of text up to which they do.
-PAIR_BLOCK, PART_BITS, PART_BYTES = 8 << 20, 6, 3 << 29
-MULTIPLIER, MIXER = np.array([0x9E3779B97F4A7C15], U), U(0xD6E8FEB86659FD93)
+BLOCK = 12 << 20
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -66,48 +61,6 @@ def held_back(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string")) % 10 == 0
 
 
-class Words:
-    """The distinct words of a block as one run of code points, each word between its marks."""
-
-    def __init__(self, words: pa.Array):
-        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
-        run = "".join([BEGIN + w + END for w in words.to_pylist()])
-        self.points = np.frombuffer(run.encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.word = np.repeat(np.arange(len(words)), lengths)
-        starts = np.cumsum(lengths) - lengths
-        self.place = np.arange(len(self.points)) - np.repeat(starts, lengths)
-        self.lengths = lengths
-
-    def hashes(self, order: int) -> list[np.ndarray]:
-        """For k = 1 to order: the key of the k code points that end at each place."""
-        out, total, power = [], np.zeros(len(self.points), U), np.ones(1, U)
-        points = self.points.astype(U)
-        for k in range(1, order + 1):
-            total = total.copy()
-            total[k - 1 :] += (points[: len(points) - k + 1] + U(1)) * power
-            power = np.multiply(power, MULTIPLIER)
-            out.append(mixed(total, k))
-        return out
-
-
-def mixed(x: np.ndarray, k) -> np.ndarray:
-    x = (x + np.asarray(k, U) * MIXER) * MIXER
-    return x ^ (x >> U(32))
-
-
-def keys_of(grams: pa.Array) -> np.ndarray:
-    """The keys of n-grams given as strings; the same as Words.hashes()."""
-    n = pc.utf8_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    ends = np.cumsum(n)
-    total, power = np.zeros(len(n), U), np.ones(1, U)
-    for k in range(int(n.max(initial=0))):
-        has = n > k
-        total[has] += (points[ends[has] - 1 - k] + U(1)) * power
-        power = np.multiply(power, MULTIPLIER)
-    return mixed(total, n)
-
-
 def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, c): of each word's places the longest n-gram that ends there, summed over all of ``texts`` (column text)."""
 
@@ -138,11 +91,6 @@ def discounts(counts: DataFrame) -> list[float]:
     return discounts_of([float(x or 0) for x in row])
 
 
-def discounts_of(n: list[float]) -> list[float]:
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    return [min(float(i), max(0.1, i - (i + 1) * y * n[i] / n[i - 1])) if n[i - 1] else 0.5 for i in (1, 2, 3)]
-
-
 def train(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]:
     """The model, (gram, kind, value), and the log probability of an unknown character.
 
@@ -242,6 +190,15 @@ class Spelling:
             rows = placed.filter(F.col("shard").isin(s, -1)).select("gram", "kind", "value").toArrow()
             tables = [Table(t.column("gram").combine_chunks(), t.column("value").combine_chunks()) for t in (rows.filter(pc.equal(rows["kind"], kind)) for kind in "pb")]
             self.sent.append(model.sparkSession.sparkContext.broadcast([(t.keys, t.values) for t in tables]))
+        self.frequent = Frequent(model.sparkSession, [], np.zeros(0, np.uint64), np.zeros(0))
+
+    def with_frequent(self, texts: DataFrame) -> Spelling:
+        """Gives short ids to the most frequent words of ``texts``."""
+        words = frequent_words(texts)
+        if words:
+            given = pa.array(words, pa.string())
+            self.frequent = Frequent(texts.sparkSession, words, word_keys(given), self(given))
+        return self
 
     def __call__(self, words: pa.Array) -> np.ndarray:
         total = np.zeros(len(words))
@@ -253,176 +210,11 @@ class Spelling:
         return total
 
 
-def word_keys(words: pa.Array) -> np.ndarray:
-    """A 64-bit key of each word, which is not empty."""
-    w = Words(words)
-    powers = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(int(w.lengths.max()), MULTIPLIER[0], U))))
-    return mixed(np.add.reduceat((w.points.astype(U) + U(1)) * powers[w.place], np.cumsum(w.lengths) - w.lengths), 7)
-
-
-def pairs_of(texts: pa.Array, spelling: Spelling):
-    """(n, base, v, w, doc, q): characters and summed spelling of each text; then of each place the key of the word before it,
-    32 bits of its word after that one, its text and its word's spelling."""
-    split = pc.ascii_split_whitespace(texts.cast(pa.string()))
-    coded = split.flatten().dictionary_encode()
-    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy(zero_copy_only=False)))
-    real = pc.not_equal(split.flatten(), "").to_numpy(zero_copy_only=False).astype(bool)  # white space at an end leaves an empty word
-    at, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[real], doc[real]
-    if not len(at):
-        return np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(0, U), np.zeros(0, np.uint32), doc, np.zeros(0, np.float32)
-    words = pc.if_else(pc.equal(coded.dictionary, ""), BEGIN, coded.dictionary)
-    keys, q = word_keys(words), spelling(words)
-    n = np.bincount(doc, (pc.utf8_length(words).to_numpy(zero_copy_only=False) + 1)[at], len(texts)).astype(np.int64)
-    v = np.concatenate((np.zeros(1, U), keys[at[:-1]]))
-    v[np.concatenate(([True], doc[1:] != doc[:-1]))] = U(1) << U(63)  # the begin of a text
-    return n, np.bincount(doc, q[at], len(texts)), v, (mixed(keys[at] ^ (v * MIXER), 3) >> U(32)).astype(np.uint32), doc, q[at].astype(np.float32)
-
-
-def packed(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *[np.ascontiguousarray(x).tobytes() for x in arrays]])
-
-
-def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
-    lengths, at, out = np.frombuffer(data, np.int64, len(kinds)), 8 * len(kinds), []
-    for n, kind in zip(lengths, kinds):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += out[-1].nbytes
-    return out
-
-
-def part_bits(docs: DataFrame) -> int:
-    """Parts are doubled with the text, so that one fits in memory at any size."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return PART_BITS + max(0, math.ceil(math.log2(max(1, size) / PART_BYTES)))
-
-
-def dealt(bits: int, block: int, v, *columns):
-    """(part, block, payload) rows of arrays in the order of ``v``: the part is that of v's first bits, and v is held as runs."""
-    part = (v >> U(64 - bits)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(v) else np.zeros(0, np.int64)
-    rows = []
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(v)]):
-        once, runs = np.unique(v[a:b], return_counts=True)
-        rows.append((int(part[a]), block, packed(once, runs.astype(np.uint32), *[c[a:b] for c in columns])))
-    return rows
-
-
-def batch_of(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["part", "block", "payload"])
-
-
-DEALT = "part int, block long, payload binary"
-
-
-def first_of(*keys: np.ndarray) -> np.ndarray:
-    """Where rows in order differ from the one before."""
-    return np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], 0)))) if len(keys[0]) else np.zeros(0, np.int64)
-
-
-def word_counts(texts: DataFrame, spelling: Spelling, bits: int = PART_BITS) -> DataFrame:
-    """(part, n1 to n4, payload): the counts of all word pairs, summed per block and then per part, with counts of counts."""
-
-    def summed(v, w, q, c):
-        order = np.lexsort((w, v))
-        v, w, q, c = v[order], w[order], q[order], c[order]
-        first = first_of(v, w)
-        return v[first], w[first], q[first], (np.add.reduceat(c, first) if len(first) else c).astype(np.uint32)
-
-    def count(batches):
-        for batch in (part for whole in batches for part in text_blocks(whole, "text", PAIR_BLOCK)):
-            _, _, v, w, _, q = pairs_of(batch.column(0), spelling)
-            if rows := dealt(bits, 0, *summed(v, w, q, np.ones(len(v), np.uint32))):
-                yield batch_of(rows)
-
-    def merge(t: pa.Table) -> pa.Table:
-        parts = []
-        for x in t.column("payload").to_pylist():
-            v, runs, *rest = unpacked(x, U, np.uint32, np.uint32, np.float32, np.uint32)
-            parts.append((np.repeat(v, runs), *rest))
-        v, w, q, c = summed(*[np.concatenate(x) for x in zip(*parts)])
-        row = dealt(bits, 0, v, w, q, c)[0]
-        return pa.table([[row[0]], *[[int((c == i).sum())] for i in (1, 2, 3, 4)], [row[2]]], pa.schema([("part", pa.int32()), *[(f"n{i}", pa.int64()) for i in (1, 2, 3, 4)], ("payload", pa.binary())]))
-
-    return texts.select("text").mapInArrow(count, DEALT).groupBy("part").applyInArrow(merge, "part int, n1 long, n2 long, n3 long, n4 long, payload binary")
-
-
-def score(docs: DataFrame, counts: DataFrame, spelling: Spelling, bits: int = PART_BITS) -> DataFrame:
-    """``docs`` (doc_id, text, lang, trusted, ...) without the text, with n (characters and word ends) and perplexity.
-
-    log p(w | v) = log weight(v) + log q(w), plus for a known pair the gain over that; so a part of the pairs adds its sums to a
-    document wherever it is. A block of documents sends its pairs to their parts, gets a sum a document back, and adds up.
-    """
-    row = counts.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-    d = np.array([0.0, *discounts_of([float(x or 0) for x in row])])
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
-
-    def send(batches):
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 32
-        for batch in (part for whole in batches for part in text_blocks(whole, "text", PAIR_BLOCK)):
-            n, base, v, w, doc, _ = pairs_of(batch.column("text"), spelling)
-            order = np.lexsort((doc, w, v))
-            v, w, doc = v[order], w[order], doc[order]
-            first = first_of(v, w, doc)
-            times = np.diff(np.append(first, len(v))).astype(np.uint32)
-            own = pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.array(n), pa.array(base)], schema.names)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own.schema) as out:
-                out.write_batch(own)
-            # The documents' own row goes by a part of its own kind, which hands it on.
-            yield batch_of([(-1 - block % 61 - (block >> 32) % 67, block, sink.getvalue().to_pybytes()), *dealt(bits, block, v[first], w[first], doc[first].astype(np.uint32), times)])
-            block += 1
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks, payloads, out = left.column("block").to_pylist(), left.column("payload"), []
-        if left.num_rows and left.column("part")[0].as_py() < 0:
-            return left
-        known = np.zeros(0, U), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.float32), np.zeros(0, np.uint32)
-        if right.num_rows:
-            known = unpacked(right.column("payload")[0].as_py(), U, np.uint32, np.uint32, np.float32, np.uint32)
-        v, runs, w, q, c = known
-        own = np.repeat(np.arange(len(v)), runs)
-        less = d[np.minimum(c, 3)]
-        total, held = np.bincount(own, c, len(v)), np.bincount(own, less, len(v))
-        weight = np.log(held / total) if len(v) else np.zeros(0)
-        gain = np.log1p(np.maximum(c - less, 0) / total[own] * np.exp(np.minimum(-weight[own] - q, 600.0)))
-        place = (own.astype(U) << U(32)) | w  # in order, as v and w are
-        for block, x in zip(blocks, payloads):
-            a, a_runs, b, doc, times = unpacked(x.as_py(), U, np.uint32, np.uint32, np.uint32, np.uint32)
-            if not len(v):
-                continue
-            at = np.minimum(np.searchsorted(v, a), len(v) - 1)
-            has = np.repeat(v[at] == a, a_runs)
-            at = np.repeat(at, a_runs)
-            key = (at.astype(U) << U(32)) | b
-            pos = np.minimum(np.searchsorted(place, key), len(place) - 1)
-            value = np.where(has, weight[at] + np.where(place[pos] == key, gain[pos], 0.0), 0.0) * times
-            docs_of, inverse = np.unique(doc, return_inverse=True)
-            out.append((0, block, packed(docs_of.astype(np.uint32), np.bincount(inverse, value, len(docs_of)))))
-        return pa.Table.from_batches([batch_of(out)])
-
-    def add_up(t: pa.Table) -> pa.Table:
-        rows = list(zip(t.column("part").to_pylist(), t.column("payload").to_pylist()))
-        own = pa.ipc.open_stream(next(x for p, x in rows if p < 0)).read_all()
-        logp = own.column("logp").to_numpy().copy()
-        for _, x in sorted(r for r in rows if r[0] >= 0):
-            doc, value = unpacked(x, np.uint32, np.float64)
-            logp[doc] += value
-        return own.set_column(len(own.column_names) - 1, "logp", pa.array(logp))
-
-    sent = docs.select(*[f.name for f in kept], "text").mapInArrow(send, DEALT)
-    sums = sent.groupBy("part").cogroup(counts.select("part", "payload").groupBy("part")).applyInArrow(look_up, DEALT)
-    found = sums.groupBy("block").applyInArrow(add_up, schema)
-    return found.select(*[f.name for f in kept], "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
-
-
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, least_docs: int = LEAST_DOCS, short_chars: int = SHORT_CHARS, shard_rows: int = SHARD_ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Per row: doc_id, text_key, lang, n_chars_scored, perplexity, threshold, kept."""
     d = with_trust(docs, labels, broadcast_ids)
     texts = d.filter(F.col("trusted") & ~held_back(F.col("doc_id")))
-    spelling = Spelling(*train(texts, order), order, shard_rows)
+    spelling = Spelling(*train(texts, order), order, shard_rows).with_frequent(texts)
     d = d.withColumn("text_key", F.xxhash64("text"))
     bits = part_bits(d)
     scored = staged(score(d, staged(word_counts(texts, spelling, bits), "pairs"), spelling, bits), "scores")

@@ -4,9 +4,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 
-from caseloom.llm import kn_quality
+from caseloom.llm import kn_pairs, kn_quality
 from caseloom.llm.common import staged
 
 
@@ -71,3 +72,31 @@ def test_short_texts_and_small_languages_are_judged(spark):
     few = kn_quality.classify(docs, labels, least_docs=10**9).filter("doc_id in (1, 3, 9)").collect()
     much = kn_quality.classify(docs, labels, least_docs=0).filter("doc_id = 9").first()["threshold"]
     assert got[9]["threshold"] != much and got[9]["threshold"] != next(x["threshold"] for x in few if x["doc_id"] == 9)
+
+
+def test_frequent_words_change_nothing_but_the_coding(spark):
+    """The same scores with no short ids, with some and with all of the words, and with one part or many."""
+    texts, r = corpus(30)
+    new = [["zzz", *texts[0][:20]], r.sample(texts[1], 40), texts[2], ["q" * 100, *texts[3]], []]
+    train = spark.createDataFrame([(" ".join(t),) for t in texts + new[3:4]], "text string").repartition(3)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(new)], "doc_id long, text string").repartition(2)
+    spelling = kn_quality.Spelling(*kn_quality.train(train))
+    found = []
+    for words in (0, 7, 1000):
+        if words:
+            given = kn_pairs.frequent_words(train, words)
+            assert len(given) == min(words, len({w for t in texts for w in t}))  # too long a word is not frequent
+            spelling.frequent = kn_pairs.Frequent(spark, given, kn_quality.word_keys(pa.array(given)), spelling(pa.array(given)))
+        for bits in (1, 5):
+            counts = staged(kn_quality.word_counts(train, spelling, bits), "pairs")
+            found.append({x["doc_id"]: x["perplexity"] for x in kn_quality.score(docs, counts, spelling, bits).collect()})
+    for other in found[1:]:
+        assert {i: p and round(math.log(p), 5) for i, p in other.items()} == {i: p and round(math.log(p), 5) for i, p in found[0].items()}
+
+
+def test_arrays_survive_packing():
+    kinds = (np.uint32, np.uint16, np.uint64, np.float32)
+    for n in (0, 1, 1000):
+        arrays = [np.random.default_rng(n).integers(0, 60_000, n).astype(k) for k in kinds]
+        for a, b in zip(arrays, kn_pairs.unpacked(kn_pairs.packed(*arrays), *kinds)):
+            assert a.dtype == b.dtype and np.array_equal(a, b)
