@@ -29,8 +29,8 @@ U = np.uint64
 #: Ids of frequent words are below RARE; the last of them is the begin of a text.
 RARE = 1 << 16
 BEGIN_ID = RARE - 1
-#: Bytes and documents of a block, bytes of a word that can be frequent, bits of the parts at least, bytes of text of a part.
-PAIR_BLOCK, BLOCK_DOCS, WORD_BYTES, PART_BITS, PART_BYTES = 8 << 20, 1 << 12, 64, 4, 64 << 20
+#: Bytes and documents of a block, bytes and places in a block of a word that can be frequent, bits of the parts at least, bytes of text of a part.
+PAIR_BLOCK, BLOCK_DOCS, WORD_BYTES, WORD_PLACES, PART_BITS, PART_BYTES = 4 << 20, 1 << 12, 64, 4, 4, 64 << 20
 DEALT = "part int, block long, payload binary"
 
 
@@ -105,8 +105,11 @@ def batch_of(rows) -> pa.RecordBatch:
 
 # --- words --------------------------------------------------------------------------------------
 
-def frequent_words(texts: DataFrame, most: int = RARE - 1) -> list[str]:
-    """The most frequent words of all of ``texts`` (column text), by falling count: a coding table of bounded size."""
+def frequent_words(texts: DataFrame, most: int = RARE - 1, least: int = WORD_PLACES) -> list[str]:
+    """Frequent words of all of ``texts`` (column text), by falling count: a coding table of bounded size.
+
+    A block names only words that it has ``least`` times; which words have short ids changes no score.
+    """
 
     def run(batches):
         for b in (part for batch in batches for part in text_blocks(batch, "text", PAIR_BLOCK)):
@@ -114,7 +117,7 @@ def frequent_words(texts: DataFrame, most: int = RARE - 1) -> list[str]:
             found = words.value_counts()
             word, n = found.field(0), found.field(1)
             size = pc.binary_length(word)
-            fit = pc.and_(pc.greater(size, 0), pc.less_equal(size, WORD_BYTES))
+            fit = pc.and_(pc.and_(pc.greater(size, 0), pc.less_equal(size, WORD_BYTES)), pc.greater_equal(n, least))
             yield pa.RecordBatch.from_arrays([word.filter(fit), n.filter(fit)], ["word", "n"])
 
     counts = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -149,9 +152,9 @@ def places_of(texts: pa.Array, spelling):
     of its word, its text and its word's spelling."""
     split = pc.ascii_split_whitespace(texts.cast(pa.string()))
     coded = split.flatten().dictionary_encode()
-    doc = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy(zero_copy_only=False)))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(split.offsets.to_numpy(zero_copy_only=False)))
     real = pc.not_equal(split.flatten(), "").to_numpy(zero_copy_only=False).astype(bool)  # white space at an end leaves an empty word
-    at, doc = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[real], doc[real]
+    at, doc = coded.indices.to_numpy(zero_copy_only=False)[real], doc[real]
     if not len(at):
         none = np.zeros(0)
         return np.zeros(len(texts), np.int64), np.zeros(len(texts)), none.astype(U), none.astype(np.uint32), doc, none.astype(np.float32)

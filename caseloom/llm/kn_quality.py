@@ -38,7 +38,7 @@ from caseloom.llm.kn_words import Words, keys_of, word_keys
 ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, SHORT_CHARS = 5, 4_000_000, 0.995, 1.0, 30, 80
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose words are tabled at a time.
-BLOCK = 12 << 20
+BLOCK = 4 << 20
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -84,7 +84,7 @@ def test_frequent_words_change_nothing_but_the_coding(spark):
     found = []
     for words in (0, 7, 1000):
         if words:
-            given = kn_pairs.frequent_words(train, words)
+            given = kn_pairs.frequent_words(train, words, 1)
             assert len(given) == min(words, len({w for t in texts for w in t}))  # too long a word is not frequent
             spelling.frequent = kn_pairs.Frequent(spark, given, kn_quality.word_keys(pa.array(given)), spelling(pa.array(given)))
         for bits in (1, 5):
