@@ -3,7 +3,9 @@
 Pairs are sent as blocks: a block of documents names each of its distinct pairs once, with the documents that have it,
 and each part of the pairs returns one sum per document. The most frequent words of the trusted text have short ids (a table of at
 most 65,535 words, broadcast), so that a pair of two of them is 32 bits, sorted and sent as differences. Other words go by hashes:
-64 bits for the first word of a pair, 32 for the second.
+48 bits for the first word of a pair, sorted and sent as differences too, 32 for the second. A word that the trusted text has not is
+taken for one of its n words with a chance of n / 2**47: one in 140,000 for a thousand million words. What a frequent word's
+spelling is worth is in the broadcast table and is not sent.
 
 A pair with a frequent first word goes to its part by both words, so a word that a third of all places follow is spread
 over all parts; what all its pairs have in common, its count and discounted mass, is in the broadcast table. Pairs with another first
@@ -149,7 +151,7 @@ class Frequent:
 
 def places_of(texts: pa.Array, spelling):
     """(n, base, v, w, doc, q): characters and summed spelling of each text; then of each place the code of the word before it,
-    of its word, its text and its word's spelling."""
+    of its word, its text and its word's spelling, which is left to the table for frequent words."""
     split = pc.ascii_split_whitespace(texts.cast(pa.string()))
     coded = split.flatten().dictionary_encode()
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(split.offsets.to_numpy(zero_copy_only=False)))
@@ -161,11 +163,11 @@ def places_of(texts: pa.Array, spelling):
     words = pc.if_else(pc.equal(coded.dictionary, ""), BEGIN, coded.dictionary)
     keys, q = word_keys(words), spelling(words)
     code = spelling.frequent.codes(keys)
-    first = np.where(code < RARE, code.astype(U), keys | (U(1) << U(63)))
+    first = np.where(code < RARE, code.astype(U), (keys >> U(17)) | (U(1) << U(47)))
     n = np.bincount(doc, (pc.utf8_length(words).to_numpy(zero_copy_only=False) + 1)[at], len(texts)).astype(np.int64)
     v = np.concatenate((np.zeros(1, U), first[at[:-1]]))
     v[np.concatenate(([True], doc[1:] != doc[:-1]))] = U(BEGIN_ID)
-    return n, np.bincount(doc, q[at], len(texts)), v, code[at], doc, q[at].astype(np.float32)
+    return n, np.bincount(doc, q[at], len(texts)), v, code[at], doc, np.where(code < RARE, 0, q)[at].astype(np.float32)
 
 
 def parts_of(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
@@ -189,7 +191,7 @@ EMPTY = slice(0, 0)
 
 # --- training -----------------------------------------------------------------------------------
 
-#: A part's counts: pairs of frequent words as numbers, their counts; then first word, second word, spelling and count of other pairs.
+#: A part's counts: pairs of frequent words as differences, their counts; then first word (differences), second word, spelling and count of other pairs.
 KINDS = (np.uint32, np.uint32, U, np.uint32, np.float32, np.uint32)
 
 
@@ -227,17 +229,17 @@ def word_counts(texts: DataFrame, spelling, bits: int = PART_BITS) -> DataFrame:
             rows = []
             for p in sorted({*own, *other}):
                 a, b = own.get(p, EMPTY), other.get(p, EMPTY)
-                rows.append((p, 0, packed(steps(key[a].astype(np.uint32)), n[a].astype(np.uint32), *[x[b] for x in rest[1:]], m[b].astype(np.uint32))))
+                rows.append((p, 0, packed(steps(key[a].astype(np.uint32)), n[a].astype(np.uint32), steps(rest[1][b]), *[x[b] for x in rest[2:]], m[b].astype(np.uint32))))
             if rows:
                 yield batch_of(rows)
 
     def merge(t: pa.Table) -> pa.Table:
         parts = [unpacked(x, *KINDS) for x in t.column("payload").to_pylist()]
         key, c = _summed_short(*[np.concatenate(x) for x in zip(*[(np.cumsum(p[0], dtype=np.uint32), p[1]) for p in parts])])
-        v, w, q, m = _summed_long(*[np.concatenate(x) for x in zip(*[p[2:] for p in parts])])
+        v, w, q, m = _summed_long(*[np.concatenate(x) for x in zip(*[(np.cumsum(p[2], dtype=U), *p[3:]) for p in parts])])
         of_counts = [int((c == i).sum() + (m == i).sum()) for i in (1, 2, 3, 4)]
         names = pa.schema([("part", pa.int32()), *[(f"n{i}", pa.int64()) for i in (1, 2, 3, 4)], ("payload", pa.binary())])
-        return pa.table([t.column("part").slice(0, 1).combine_chunks(), *[[x] for x in of_counts], [packed(steps(key), c, v, w, q, m)]], names)
+        return pa.table([t.column("part").slice(0, 1).combine_chunks(), *[[x] for x in of_counts], [packed(steps(key), c, steps(v), w, q, m)]], names)
 
     schema = "part int, n1 long, n2 long, n3 long, n4 long, payload binary"
     return texts.select("text").mapInArrow(count, DEALT).groupBy("part").applyInArrow(merge, schema)
@@ -251,7 +253,7 @@ def first_words(counts: DataFrame) -> DataFrame:
         for b in batches:
             for x in b.column(0).to_pylist():
                 key, c, v, _, _, m = unpacked(x, *KINDS)
-                key = np.cumsum(key, dtype=np.uint32)
+                key, v = np.cumsum(key, dtype=np.uint32), np.cumsum(v, dtype=U)
                 ids = np.concatenate((key >> np.uint32(16), v[v < RARE].astype(np.uint32))).astype(np.int64)
                 c = np.concatenate((c, m[v < RARE])).astype(np.int64)
                 sums = [np.bincount(ids, x, RARE).astype(np.int64) for x in (c, c == 1, c == 2, c >= 3)]
@@ -317,7 +319,7 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
                 v_, w_, doc_ = (x[b] for x in rest[1:])
                 long, docs_of_long = runs(v_, w_)
                 doc_a, doc_b = (a & U(BLOCK_DOCS - 1)).astype(np.uint16), doc_.astype(np.uint16)
-                rows.append((p, block, packed(steps(key[pair]), docs_of.astype(np.uint16), doc_a, times[own.get(p, EMPTY)].astype(np.uint32), v_[long], w_[long], docs_of_long.astype(np.uint16), doc_b, more[b].astype(np.uint32))))
+                rows.append((p, block, packed(steps(key[pair]), docs_of.astype(np.uint16), doc_a, times[own.get(p, EMPTY)].astype(np.uint32), steps(v_[long]), w_[long], docs_of_long.astype(np.uint16), doc_b, more[b].astype(np.uint32))))
             yield batch_of(rows)
             block += 1
 
@@ -330,7 +332,9 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
             return left
         key, c, v, w, q, m = unpacked(right.column("payload")[0].as_py(), *KINDS) if right.num_rows else [np.zeros(0, k) for k in KINDS]
         total, weight = known_first.value
-        key = np.cumsum(key, dtype=np.uint32)
+        key, v = np.cumsum(key, dtype=np.uint32), np.cumsum(v, dtype=U)
+        known_word = w < RARE
+        q[known_word] = spelling.frequent.spelling[w[known_word]]
         ids = (key >> np.uint32(16)).astype(np.int64)
         gain = gains(c, total[ids], weight[ids], spelling.frequent.spelling[key & np.uint32(RARE - 1)].astype(np.float64))
         # Other pairs: a first word that is not frequent has all its pairs here.
@@ -356,6 +360,7 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
         for block, x in zip(left.column("block").to_pylist(), left.column("payload")):
             k2, n_a, doc_a, times_a, v2, w2, n_b, doc_b, times_b = unpacked(x.as_py(), np.uint32, np.uint16, np.uint16, np.uint32, U, np.uint32, np.uint16, np.uint16, np.uint32)
             a = np.repeat(found(key, np.cumsum(k2, dtype=np.uint32), gain), n_a) * times_a
+            v2 = np.cumsum(v2, dtype=U)
             b = np.repeat(found(firsts, v2, own_weight) + found(spot, mixed(v2 ^ (w2.astype(U) * MIXER)), long_gain), n_b) * times_b
             sums = np.bincount(np.concatenate((doc_a, doc_b)).astype(np.int64), np.concatenate((a, b)))
             there = np.flatnonzero(sums)
