@@ -2,14 +2,15 @@
 
 Pairs are sent as blocks: a block of documents names each of its distinct pairs once, with the documents that have it,
 and each part of the pairs returns one sum per document. The most frequent words of the trusted text have short ids (a table of at
-most 65,535 words, broadcast), so that a pair of two of them is 32 bits, sorted and sent as differences. Other words go by hashes:
-48 bits for the first word of a pair, sorted and sent as differences too, 32 for the second. A word that the trusted text has not is
+most 65,535 words, broadcast), so that a pair of two of them is 32 bits, sorted and sent as differences. Another pair is the 48-bit
+key of a rare word, sorted and sent as differences too, and a 32-bit code of the word beside it, which also says if that word stands
+before; so the pairs on both sides of a rare word name it once. A word that the trusted text has not is
 taken for one of its n words with a chance of n / 2**47: one in 140,000 for a thousand million words. What a frequent word's
 spelling is worth is in the broadcast table and is not sent.
 
-A pair with a frequent first word goes to its part by both words, so a word that a third of all places follow is spread
-over all parts; what all its pairs have in common, its count and discounted mass, is in the broadcast table. Pairs with another first
-word go by that word. All counts, sums and joins are Spark's; a part holds about PART_BYTES of text, and parts are doubled as the
+A pair of frequent words goes to its part by both, so a word that a third of all places follow is spread
+over all parts; what all its pairs have in common, its count and discounted mass, is in the broadcast table. Other pairs go by their
+rare word, the first if both are. All counts, sums and joins are Spark's; a part holds about PART_BYTES of text, and parts are doubled as the
 text grows.
 """
 
@@ -28,8 +29,9 @@ from caseloom.llm.common import text_blocks
 from caseloom.llm.kn_words import BEGIN, MIXER, word_keys
 
 U = np.uint64
-#: Ids of frequent words are below RARE; the last of them is the begin of a text.
-RARE = 1 << 16
+#: Ids of frequent words are below RARE; the last of them is the begin of a text. Codes from RARE to HASHED are ids of frequent words
+#: that stand before the rare word of a pair, those from HASHED on are hashes.
+RARE, HASHED = 1 << 16, 2 << 16
 BEGIN_ID = RARE - 1
 #: Bytes and documents of a block, bytes and places in a block of a word that can be frequent, bits of the parts at least, bytes of text of a part.
 PAIR_BLOCK, BLOCK_DOCS, WORD_BYTES, WORD_PLACES, PART_BITS, PART_BYTES = 4 << 20, 1 << 12, 64, 4, 4, 64 << 20
@@ -136,9 +138,9 @@ class Frequent:
         self.sent = spark.sparkContext.broadcast((keys[order], order.astype(np.uint32), spell))
 
     def codes(self, keys: np.ndarray) -> np.ndarray:
-        """The id of each frequent word's key, and a 32-bit hash from RARE on of others."""
+        """The id of each frequent word's key, and a 32-bit hash from HASHED on of others."""
         known, ids, _ = self.sent.value
-        other = (mixed(keys) >> U(32)) % U((1 << 32) - RARE) + U(RARE)
+        other = (mixed(keys) >> U(32)) % U((1 << 32) - HASHED) + U(HASHED)
         if not len(known):
             return other.astype(np.uint32)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -150,8 +152,11 @@ class Frequent:
 
 
 def places_of(texts: pa.Array, spelling):
-    """(n, base, v, w, doc, q): characters and summed spelling of each text; then of each place the code of the word before it,
-    of its word, its text and its word's spelling, which is left to the table for frequent words."""
+    """(n, base, v, w, doc, q): characters and summed spelling of each text; then of each place its pair, its text and its word's
+    spelling, which is left to the table for frequent words.
+
+    A pair is (id of the first word, id of the second) if both are frequent, (key of the second, RARE + id of the first) if only the
+    first is, and (key of the first, code of the second) if the first is not."""
     split = pc.ascii_split_whitespace(texts.cast(pa.string()))
     coded = split.flatten().dictionary_encode()
     doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(split.offsets.to_numpy(zero_copy_only=False)))
@@ -167,11 +172,19 @@ def places_of(texts: pa.Array, spelling):
     n = np.bincount(doc, (pc.utf8_length(words).to_numpy(zero_copy_only=False) + 1)[at], len(texts)).astype(np.int64)
     v = np.concatenate((np.zeros(1, U), first[at[:-1]]))
     v[np.concatenate(([True], doc[1:] != doc[:-1]))] = U(BEGIN_ID)
-    return n, np.bincount(doc, q[at], len(texts)), v, code[at], doc, np.where(code < RARE, 0, q)[at].astype(np.float32)
+    w = code[at]
+    turned = (v < RARE) & (w >= RARE)
+    v, w = np.where(turned, first[at], v), np.where(turned, v.astype(np.uint32) + np.uint32(RARE), w)
+    return n, np.bincount(doc, q[at], len(texts)), v, w, doc, np.where(code < RARE, 0, q)[at].astype(np.float32)
+
+
+def turned_of(w: np.ndarray) -> np.ndarray:
+    """Which pairs with a rare word have a frequent word before it."""
+    return (w >= RARE) & (w < HASHED)
 
 
 def parts_of(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs with a frequent first word are dealt by both words, others by the first."""
+    """Pairs of frequent words are dealt by both, others by their rare word."""
     return mixed(np.where(v < RARE, (v << U(32)) | w, v)) >> U(64 - bits)
 
 
@@ -191,7 +204,7 @@ EMPTY = slice(0, 0)
 
 # --- training -----------------------------------------------------------------------------------
 
-#: A part's counts: pairs of frequent words as differences, their counts; then first word (differences), second word, spelling and count of other pairs.
+#: A part's counts: pairs of frequent words as differences, their counts; then rare word (differences), word beside it, spelling and count of other pairs.
 KINDS = (np.uint32, np.uint32, U, np.uint32, np.float32, np.uint32)
 
 
@@ -216,7 +229,7 @@ def word_counts(texts: DataFrame, spelling, bits: int = PART_BITS) -> DataFrame:
         for batch in (part for whole in batches for part in text_blocks(whole, "text", PAIR_BLOCK)):
             _, _, v, w, _, q = places_of(batch.column(0), spelling)
             part = parts_of(v, w, bits)
-            short = (v < RARE) & (w < RARE)
+            short = v < RARE
             key = short_pairs(part[short], v[short], w[short], np.zeros(int(short.sum()), U)) >> U(12)
             first, n = runs(key)
             key = key[first]
@@ -252,10 +265,10 @@ def first_words(counts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for x in b.column(0).to_pylist():
-                key, c, v, _, _, m = unpacked(x, *KINDS)
-                key, v = np.cumsum(key, dtype=np.uint32), np.cumsum(v, dtype=U)
-                ids = np.concatenate((key >> np.uint32(16), v[v < RARE].astype(np.uint32))).astype(np.int64)
-                c = np.concatenate((c, m[v < RARE])).astype(np.int64)
+                key, c, _, w, _, m = unpacked(x, *KINDS)
+                key, turned = np.cumsum(key, dtype=np.uint32), turned_of(w)
+                ids = np.concatenate((key >> np.uint32(16), w[turned] - np.uint32(RARE))).astype(np.int64)
+                c = np.concatenate((c, m[turned])).astype(np.int64)
                 sums = [np.bincount(ids, x, RARE).astype(np.int64) for x in (c, c == 1, c == 2, c >= 3)]
                 there = np.flatnonzero(sums[0])
                 yield pa.RecordBatch.from_arrays([pa.array(there), *[pa.array(s[there]) for s in sums]], names)
@@ -294,9 +307,9 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
         for batch in blocks(batches):
             n, base, v, w, doc, _ = places_of(batch.column("text"), spelling)
             part = parts_of(v, w, bits)
-            often = v < RARE
-            base = base + np.bincount(doc[often], known_first.value[1][v[often].astype(np.int64)], batch.num_rows)
-            short = often & (w < RARE)
+            short, turned = v < RARE, turned_of(w)
+            for at, ids in ((short, v[short]), (turned, w[turned] - np.uint32(RARE))):
+                base = base + np.bincount(doc[at], known_first.value[1][ids.astype(np.int64)], batch.num_rows)
             places = short_pairs(part[short], v[short], w[short], doc[short])
             first, times = runs(places)
             places = places[first]
@@ -333,20 +346,19 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
         key, c, v, w, q, m = unpacked(right.column("payload")[0].as_py(), *KINDS) if right.num_rows else [np.zeros(0, k) for k in KINDS]
         total, weight = known_first.value
         key, v = np.cumsum(key, dtype=np.uint32), np.cumsum(v, dtype=U)
-        known_word = w < RARE
+        turned, known_word = turned_of(w), w < RARE
         q[known_word] = spelling.frequent.spelling[w[known_word]]
         ids = (key >> np.uint32(16)).astype(np.int64)
         gain = gains(c, total[ids], weight[ids], spelling.frequent.spelling[key & np.uint32(RARE - 1)].astype(np.float64))
-        # Other pairs: a first word that is not frequent has all its pairs here.
+        # Other pairs: a first word that is not frequent has all its pairs here; the weight of a frequent one has been added where it stands.
         first, n = runs(v)
-        own_total = np.add.reduceat(m, first).astype(float) if len(first) else np.zeros(0)
-        own_held = np.add.reduceat(d[np.minimum(m, 3)], first) if len(first) else np.zeros(0)
-        firsts = v[first]
-        often = firsts < RARE
-        own_total[often], own_weight = total[firsts[often].astype(np.int64)], np.log(own_held / own_total) if len(first) else np.zeros(0)
-        own_weight[often] = weight[firsts[often].astype(np.int64)]
-        long_gain = gains(m, np.repeat(own_total, n), np.repeat(own_weight, n), q.astype(np.float64))
-        own_weight = np.where(often, 0.0, own_weight)  # that of a frequent word has been added where it stands
+        firsts, begins = v[first], np.where(turned, 0, m)
+        own_total = np.add.reduceat(begins, first).astype(float) if len(first) else np.zeros(0)
+        own_held = np.add.reduceat(d[np.minimum(begins, 3)], first) if len(first) else np.zeros(0)
+        own_weight = np.where(own_total > 0, np.log(np.maximum(own_held, 1e-300) / np.maximum(own_total, 1)), 0.0)
+        before = np.where(turned, w - np.uint32(RARE), 0).astype(np.int64)
+        pair_total, pair_weight = (np.where(turned, of[before], np.repeat(own, n)) for of, own in ((total, own_total), (weight, own_weight)))
+        long_gain = gains(m, pair_total, pair_weight, q.astype(np.float64))
         spot = mixed(v ^ (w.astype(U) * MIXER))
         by = np.argsort(spot)
         spot, long_gain = spot[by], long_gain[by]
@@ -361,7 +373,7 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
             k2, n_a, doc_a, times_a, v2, w2, n_b, doc_b, times_b = unpacked(x.as_py(), np.uint32, np.uint16, np.uint16, np.uint32, U, np.uint32, np.uint16, np.uint16, np.uint32)
             a = np.repeat(found(key, np.cumsum(k2, dtype=np.uint32), gain), n_a) * times_a
             v2 = np.cumsum(v2, dtype=U)
-            b = np.repeat(found(firsts, v2, own_weight) + found(spot, mixed(v2 ^ (w2.astype(U) * MIXER)), long_gain), n_b) * times_b
+            b = np.repeat(np.where(turned_of(w2), 0.0, found(firsts, v2, own_weight)) + found(spot, mixed(v2 ^ (w2.astype(U) * MIXER)), long_gain), n_b) * times_b
             sums = np.bincount(np.concatenate((doc_a, doc_b)).astype(np.int64), np.concatenate((a, b)))
             there = np.flatnonzero(sums)
             if len(there):
