@@ -331,8 +331,9 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
                 pair, docs_of = runs(key)
                 v_, w_, doc_ = (x[b] for x in rest[1:])
                 long, docs_of_long = runs(v_, w_)
+                rare, pairs_of = runs(v_[long])
                 doc_a, doc_b = (a & U(BLOCK_DOCS - 1)).astype(np.uint16), doc_.astype(np.uint16)
-                rows.append((p, block, packed(steps(key[pair]), docs_of.astype(np.uint16), doc_a, times[own.get(p, EMPTY)].astype(np.uint32), steps(v_[long]), w_[long], docs_of_long.astype(np.uint16), doc_b, more[b].astype(np.uint32))))
+                rows.append((p, block, packed(steps(key[pair]), docs_of.astype(np.uint16), doc_a, times[own.get(p, EMPTY)].astype(np.uint32), steps(v_[long][rare]), pairs_of.astype(np.uint32), w_[long], docs_of_long.astype(np.uint16), doc_b, more[b].astype(np.uint32))))
             yield batch_of(rows)
             block += 1
 
@@ -370,9 +371,9 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
             return np.where(sorted_keys[at] == asked, values[at], 0.0)
 
         for block, x in zip(left.column("block").to_pylist(), left.column("payload")):
-            k2, n_a, doc_a, times_a, v2, w2, n_b, doc_b, times_b = unpacked(x.as_py(), np.uint32, np.uint16, np.uint16, np.uint32, U, np.uint32, np.uint16, np.uint16, np.uint32)
+            k2, n_a, doc_a, times_a, v2, n_v, w2, n_b, doc_b, times_b = unpacked(x.as_py(), np.uint32, np.uint16, np.uint16, np.uint32, U, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32)
             a = np.repeat(found(key, np.cumsum(k2, dtype=np.uint32), gain), n_a) * times_a
-            v2 = np.cumsum(v2, dtype=U)
+            v2 = np.repeat(np.cumsum(v2, dtype=U), n_v)
             b = np.repeat(np.where(turned_of(w2), 0.0, found(firsts, v2, own_weight)) + found(spot, mixed(v2 ^ (w2.astype(U) * MIXER)), long_gain), n_b) * times_b
             sums = np.bincount(np.concatenate((doc_a, doc_b)).astype(np.int64), np.concatenate((a, b)))
             there = np.flatnonzero(sums)
