@@ -76,20 +76,20 @@ def path_edges(spark, d):
     return steps.join(names, ["x", "y"], "left").select("a", "b", "step", "x", "y", F.coalesce("label", F.lit("Same Info")).alias("label"))
 
 
-@register("g20_exact_depth", f"""WITH {p.edges_sql('has_account')}, e AS (SELECT src || '>' || dst AS e_id, src AS at, dst AS nxt FROM edges UNION ALL SELECT src || '>' || dst, dst, src FROM edges), seeds AS (SELECT 'vt_psn:' || c_custkey::VARCHAR AS v_id FROM customer WHERE c_custkey % 50 = 0)
+@register("g20_exact_depth", f"""WITH {p.edges_sql('has_account')}, e AS (SELECT src || '>' || dst AS e_id, src AS at, dst AS nxt FROM edges UNION ALL SELECT src || '>' || dst, dst, src FROM edges), seeds AS (SELECT 'vt_psn:' || c_custkey::VARCHAR AS v_id FROM customer)
 SELECT DISTINCT v_id AS seed, e3.nxt AS at FROM seeds JOIN e e1 ON v_id = e1.at JOIN e e2 ON e1.nxt = e2.at AND e2.e_id <> e1.e_id JOIN e e3 ON e2.nxt = e3.at AND e3.e_id <> e1.e_id AND e3.e_id <> e2.e_id""")
 def exact_depth(spark, d):
-    """Ends of walks of exactly three edges."""
+    """Ends of walks of exactly three edges from every person."""
     e = p.edges(spark, d, "has_account").withColumn("e_id", F.concat_ws(">", "src", "dst"))
-    seeds = table(spark, d, "customer").filter("c_custkey % 50 = 0").select(F.concat(F.lit("vt_psn:"), F.col("c_custkey").cast("string")).alias("v_id"))
+    seeds = table(spark, d, "customer").select(F.concat(F.lit("vt_psn:"), F.col("c_custkey").cast("string")).alias("v_id"))
     return paths.walks(e, seeds, 3).select("seed", "at").distinct()
 
 
-@register("g23_neighbourhood", f"""WITH RECURSIVE {LINKS_SQL}, seeds AS (SELECT 'vt_psn:' || c_custkey::VARCHAR AS v_id FROM customer WHERE c_custkey % 100 = 7), walk AS (SELECT v_id AS seed, v_id, 0 AS hops FROM seeds UNION SELECT seed, nxt, hops + 1 FROM walk JOIN step ON v_id = pt WHERE hops < 3)
+@register("g23_neighbourhood", f"""WITH RECURSIVE {LINKS_SQL}, seeds AS (SELECT 'vt_psn:' || c_custkey::VARCHAR AS v_id FROM customer), walk AS (SELECT v_id AS seed, v_id, 0 AS hops FROM seeds UNION SELECT seed, nxt, hops + 1 FROM walk JOIN step ON v_id = pt WHERE hops < 3)
 SELECT seed, v_id, min(hops) AS hops FROM walk GROUP BY ALL""")
 def neighbourhood(spark, d):
-    """All within three steps of the seeds."""
-    seeds = table(spark, d, "customer").filter("c_custkey % 100 = 7").select(F.concat(F.lit("vt_psn:"), F.col("c_custkey").cast("string")).alias("v_id"))
+    """All within three steps of every person."""
+    seeds = table(spark, d, "customer").select(F.concat(F.lit("vt_psn:"), F.col("c_custkey").cast("string")).alias("v_id"))
     return paths.reach(account_graph(spark, d), seeds, 3)
 
 

@@ -255,10 +255,10 @@ def cases_sharing_phones(spark, d):
     return linked(p.used_phone(spark, d), ["phone"], "case_id", 2).groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 2")
 
 
-@register("j19_common_neighbours", cte("used_ip", body="SELECT a.person AS a, b.person AS b, count(*) AS shared FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person > b.person GROUP BY ALL HAVING count(*) >= 20"))
+@register("j19_common_neighbours", cte("used_ip", body="SELECT a.person AS a, b.person AS b, count(*) AS shared FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person > b.person GROUP BY ALL"))
 def common_neighbours(spark, d):
-    """Pairs of persons that share 20 addresses or more."""
-    x = linked(p.used_ip(spark, d), ["ip"], "person", 20).groupBy("a", "b").agg(F.count("*").alias("shared")).filter("shared >= 20")
+    """Pairs of persons that share an address, with the count of shared ones."""
+    x = linked(p.used_ip(spark, d), ["ip"], "person").groupBy("a", "b").agg(F.count("*").alias("shared"))
     return x.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared")
 
 
@@ -275,11 +275,13 @@ def frequent_pairs(spark, d):
     return p.transfers(spark, d).filter("ts >= timestamp'1998-01-01' and ts < timestamp'1999-01-01'").groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amount")).filter("n >= 2")
 
 
-@register("j24_common_of_two_cases", cte("used_account", body="SELECT account FROM used_account WHERE case_id % 50 = 1 INTERSECT SELECT account FROM used_account WHERE case_id % 50 = 2"))
+@register("j24_common_of_two_cases", cte("used_account", body="""SELECT account FROM used_account JOIN orders ON case_id = o_orderkey WHERE o_orderpriority = '1-URGENT'
+INTERSECT SELECT account FROM used_account JOIN orders ON case_id = o_orderkey WHERE o_orderpriority = '5-LOW'"""))
 def common_of_two_cases(spark, d):
-    """Accounts that two groups of cases have in common."""
-    u = p.used_account(spark, d)
-    return u.filter("case_id % 50 = 1").select("account").intersect(u.filter("case_id % 50 = 2").select("account"))
+    """Accounts that two groups of cases, the urgent ones and those of low priority, have in common."""
+    u, o = p.used_account(spark, d), table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), "o_orderpriority")
+    of = lambda priority: u.join(o.filter(F.col("o_orderpriority") == priority).select("case_id"), "case_id").select("account")
+    return of("1-URGENT").intersect(of("5-LOW"))
 
 
 # --- windows, limits, sets ----------------------------------------------------------------------

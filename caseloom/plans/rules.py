@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import cases as c
 from caseloom.operators.pairs import linked
+from caseloom.operators.paths import staged
 from caseloom.plans import projection as p
 from caseloom.plans.dims import dim, dim_sql
 from caseloom.plans.projection import SQL, table
@@ -155,8 +156,8 @@ def smishing(spark, d):
 
 
 ALERTS_SQL = f"""{SQL['used_account']}, {SQL['used_phone']}, {SQL['transfers']}, {SQL['calls']}, alerts AS (
-SELECT 'phone_in_cases' AS rule, 30 AS score, phone::BIGINT AS id, count(*) AS n FROM used_phone GROUP BY phone HAVING count(*) >= 30
-UNION ALL SELECT 'account_in_cases', 30, account, count(*) FROM used_account GROUP BY account HAVING count(*) >= 450
+SELECT 'phone_in_cases' AS rule, 30 AS score, phone::BIGINT AS id, count(*) AS n FROM used_phone GROUP BY phone HAVING count(*) >= 3
+UNION ALL SELECT 'account_in_cases', 30, account, count(*) FROM used_account GROUP BY account HAVING count(*) >= 3
 UNION ALL SELECT 'chain_of_three', 20, case_id, count(*) FROM transfers GROUP BY case_id HAVING count(*) >= 3
 UNION ALL SELECT 'busy_phone', 15, dst, count(*) FROM calls GROUP BY dst HAVING count(*) >= 50)"""
 
@@ -166,7 +167,7 @@ def alerts(spark, d):
     def rule(name, score, df, key, least):
         return df.groupBy(F.col(key).cast("long").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= least).select(F.lit(name).alias("rule"), F.lit(score).alias("score"), "id", "n")
 
-    out = rule("phone_in_cases", 30, p.used_phone(spark, d), "phone", 30).unionAll(rule("account_in_cases", 30, p.used_account(spark, d), "account", 450))
+    out = rule("phone_in_cases", 30, p.used_phone(spark, d), "phone", 3).unionAll(rule("account_in_cases", 30, p.used_account(spark, d), "account", 3))
     return out.unionAll(rule("chain_of_three", 20, p.transfers(spark, d), "case_id", 3)).unionAll(rule("busy_phone", 15, p.calls(spark, d), "dst", 50))
 
 
@@ -199,12 +200,12 @@ def money_laundering(spark, d):
 
 
 @register("r19_accomplices", cte("calls", body=""", n AS (SELECT src, dst, count(*) AS n FROM calls GROUP BY src, dst), x AS (SELECT a.src AS a, b.src AS b, count(*) AS phones, sum(a.n + b.n)::BIGINT AS calls FROM n a JOIN n b USING (dst) WHERE a.src < b.src GROUP BY ALL)
-SELECT a, b, phones, calls, 0.7::DOUBLE AS confidence FROM x WHERE phones >= 30"""))
+SELECT a, b, phones, calls, 0.7::DOUBLE AS confidence FROM x WHERE phones >= 5"""))
 def accomplices(spark, d):
     """Pairs of callers of the same phones; calls are counted per pair of ends before the self-join."""
     n = p.calls(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
-    x = linked(n, ["dst"], "src", 30, ("n",))
-    return x.groupBy("a", "b").agg(F.count("*").alias("phones"), F.sum(F.col("n_a") + F.col("n_b")).alias("calls")).filter("phones >= 30").withColumn("confidence", F.lit(0.7))
+    x = linked(n, ["dst"], "src", 5, ("n",))
+    return x.groupBy("a", "b").agg(F.count("*").alias("phones"), F.sum(F.col("n_a") + F.col("n_b")).alias("calls")).filter("phones >= 5").withColumn("confidence", F.lit(0.7))
 
 
 @register("r20_night_activity", "SELECT user_id, count(*) AS n, 0.65::DOUBLE AS confidence FROM events WHERE extract(hour FROM ts) < 6 GROUP BY user_id HAVING count(*) >= 3")
@@ -219,11 +220,14 @@ def cross_domain(spark, d):
     return p.used_ip(spark, d).join(p.has_account(spark, d), "person").groupBy("ip").agg(F.countDistinct("account").alias("accounts")).filter("accounts >= 2").withColumn("confidence", F.lit(0.8))
 
 
-@register("r22_same_location", cte("used_ip", body="SELECT a.person AS src, b.person AS dst, 'same_location' AS label, true AS is_virtual, min(ip) AS reason, count(*) AS weight FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person > b.person GROUP BY ALL HAVING count(*) >= 15"))
+@register("r22_same_location", cte("used_ip", body="SELECT a.person AS src, b.person AS dst, 'same_location' AS label, true AS is_virtual, min(ip) AS reason, count(*) AS weight FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person > b.person GROUP BY ALL"))
 def same_location(spark, d):
-    """Virtual edges between persons that share many addresses."""
-    x = linked(p.used_ip(spark, d), ["ip"], "person", 15)
-    x = x.groupBy(F.col("b").alias("src"), F.col("a").alias("dst")).agg(F.min("ip").alias("reason"), F.count("*").alias("weight")).filter("weight >= 15")
+    """Virtual edges between persons that share an address, with the count of shared ones."""
+    used = p.used_ip(spark, d)
+    # Numbers in the order of the addresses: of a pair's shared ones the least is kept, which is a hash aggregate only for numbers.
+    order = staged(used.select("ip").distinct().sort("ip").select("ip", F.monotonically_increasing_id().alias("place")))
+    x = linked(used.join(order, "ip"), ["place"], "person")
+    x = x.groupBy(F.col("b").alias("src"), F.col("a").alias("dst")).agg(F.min("place").alias("place"), F.count("*").alias("weight")).join(order.withColumnRenamed("ip", "reason"), "place")
     return x.select("src", "dst", F.lit("same_location").alias("label"), F.lit(True).alias("is_virtual"), "reason", "weight")
 
 
