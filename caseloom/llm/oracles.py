@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from caseloom.llm.license_texts import BASE_PHRASES, PASSAGES
 from caseloom.llm.quality_rules import STOP_WORDS
+from caseloom.llm.url_filter import LIMIT, RHO_MAX, RHO_MIN, RHO_UNKNOWN, TWO_LABELS, Z
 
 ORACLES: dict = {}
 
@@ -95,3 +96,56 @@ a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS f
   FROM (SELECT * FROM base UNION ALL SELECT * FROM p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(ls, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM dw LEFT JOIN a USING (doc_id)"""
+
+
+_TWO = ", ".join(f"'{x}'" for x in TWO_LABELS)
+
+
+def _prior(level, above):
+    """SQL of a level's members with m, the mean above, and worth, what the prior is worth."""
+    over = "sum(pow(k - n * m, 2) - n * m * (1 - m))"
+    rho = f"CASE WHEN sum(n * m * (1 - m) * (n - 1)) > 0 THEN {over} / sum(n * m * (1 - m) * (n - 1)) ELSE {RHO_UNKNOWN!r} END"
+    return f"{level}_m AS ({above}),\n{level} AS (SELECT *, (k + worth * m) / (n + worth) AS mean FROM {level}_m, (SELECT 1 / least(greatest({rho}, {RHO_MIN!r}), {RHO_MAX!r}) - 1 AS worth FROM {level}_m))"
+
+
+ORACLES["op11_url_filter"] = f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {_AZ}) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+o AS (SELECT doc_id AS page_id, count(*) AS n, sum((quality = 0 OR toxic = 1)::INT) AS k FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1),
+h0 AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(k), 0)::DOUBLE AS k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+h1 AS (SELECT *, string_split(name, '.') AS l, regexp_matches(name, '^[0-9.]+$|^\\[') AS num FROM h0),
+h2 AS (SELECT *, CASE WHEN len(l) >= 2 AND array_to_string(l[-2:], '.') IN ({_TWO}) THEN 2 ELSE 1 END AS c FROM h1),
+h3 AS (SELECT host, n, k, CASE WHEN num THEN '' ELSE array_to_string(l[-c:], '.') END AS suffix, CASE WHEN num THEN name ELSE array_to_string(l[-least(c + 1, len(l)):], '.') END AS domain FROM h2),
+d0 AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h3 GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM h3 GROUP BY ALL),
+{_prior("s", "SELECT *, (SELECT (sum(k) + 1.0) / (sum(n) + 2.0) FROM s0) AS m FROM s0")},
+{_prior("d", "SELECT d0.*, s.mean AS m FROM d0 JOIN s USING (suffix)")},
+{_prior("h", "SELECT h3.*, d.mean AS m FROM h3 JOIN d USING (suffix, domain)")},
+v AS (SELECT host, CASE WHEN mean + {Z} * sqrt(mean * (1 - mean) / (n + worth + 1)) > {LIMIT} THEN 'block' ELSE 'allow' END AS by_host FROM h),
+t(rule, rhost, rpath, verdict) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+hp AS (SELECT DISTINCT host, path FROM p),
+r AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS rv FROM hp JOIN t ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.rv, v.by_host) AS verdict FROM p JOIN v USING (host) LEFT JOIN r ON p.host = r.host AND p.path = r.path"""
+
+ORACLES["op12_hard_negatives"] = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score FROM e a JOIN e c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT a, c, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5)
+SELECT p.a AS anchor_id, p.c AS positive_id, (row_number() OVER w)::INT AS rank, s.c AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.c) QUALIFY row_number() OVER w <= 3"""
+
+#: CRC-32 of the decimal conv_id, bit by bit: a byte is a step, and -1 is a shift.
+_CRC = "xor(4294967295, list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT] || [-1::BIGINT for i in range(8)])), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END))"
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+m AS (SELECT c.conv_id, count(t.i) AS m FROM c LEFT JOIN t ON t.conv_id = c.base AND t.i <= c.h GROUP BY 1),
+r AS (SELECT c.conv_id, t.i AS d, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h UNION ALL SELECT c.conv_id, m.m + t.i - c.h, role, text FROM c JOIN m USING (conv_id) JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+n AS (SELECT conv_id, d, strlen(text) AS b, list([role, text]) OVER (PARTITION BY conv_id ORDER BY d) AS seq, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM r
+  UNION ALL SELECT conv_id, 0, 0, []::VARCHAR[][], conv_id NOT IN (SELECT conv_id FROM r) FROM c),
+node AS (SELECT d, seq, min(conv_id) AS rep, count(*) AS n_convs, (count(*) - 1) * min(b) AS w, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM n GROUP BY d, seq),
+kid AS (SELECT p.d, p.seq, count(*) AS n_children FROM node u JOIN n x ON x.conv_id = u.rep AND x.d = u.d - 1 JOIN node p ON p.d = x.d AND p.seq = x.seq GROUP BY ALL),
+sub AS (SELECT x.d, x.seq, sum(u.w) AS saved, count(*) FILTER (k.n_children IS NULL) AS n_leaves FROM node u LEFT JOIN kid k ON k.d = u.d AND k.seq = u.seq JOIN n x ON x.conv_id = u.rep AND x.d <= u.d GROUP BY ALL)
+SELECT v.rep AS conv_id, v.d::BIGINT AS depth, p.rep AS parent_conv_id, v.n_convs, coalesce(kid.n_children, 0) AS n_children, sub.n_leaves, sub.saved::BIGINT AS saved_tokens, sha256(v.ids) AS ends_sha256
+FROM node v JOIN sub ON sub.d = v.d AND sub.seq = v.seq LEFT JOIN kid ON kid.d = v.d AND kid.seq = v.seq LEFT JOIN n x ON x.conv_id = v.rep AND x.d = v.d - 1 LEFT JOIN node p ON p.d = x.d AND p.seq = x.seq"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, decontaminate, kn_quality, langid, license_scan, line_dedup, quality_rules, simhash, suffix_dedup, warc
+from caseloom.llm import bpe, decontaminate, hard_negatives, kn_quality, langid, license_scan, line_dedup, prefix_trie, quality_rules, simhash, suffix_dedup, url_filter, warc
 from caseloom.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -81,3 +81,26 @@ def op9_decontamination(spark, sf_dir):
 def op10_quality_rules(spark, sf_dir):
     d = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: (host, path, verdict)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op11_url_filter(spark, sf_dir):
+    # A page is labelled by the row of labels with its number: bad if of low quality or toxic.
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label, n_positives=5, n_negatives=3, low=50, high=95, scale=256)
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    c = F.col("conv_id")
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base_of=c - c % 5, kept=F.crc32(c.cast("string")) % 9, most=8)
