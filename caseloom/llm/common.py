@@ -30,6 +30,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", raw:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), (text if raw else F.coalesce(text, F.lit(""))).alias("text"), F.xxhash64(text).alias("text_key"))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it none of the columns of ``df`` (by letters of any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     """Null-safe equality of the document key."""
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import ascii_lower, keyed, plain_words, same_document, staged
+from caseloom.llm.common import ascii_lower, fresh_names, keyed, plain_words, same_document, staged
 
 #: The benchmark's windows are broadcast up to so many of them and so many bytes of words and item ids, with ROW_BYTES for what a row takes besides.
 BROADCAST_ROWS, BROADCAST_BYTES, ROW_BYTES = 200_000, 32 << 20, 64
@@ -65,6 +65,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents without a hit, with all their columns."""
-    bad = hits(docs, benchmark, **kw).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    id_col, text_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == bad["_key"]), "left_anti")
+    id_, key = fresh_names(docs, "id", "key")
+    bad = hits(docs, benchmark, **kw).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    own_id, text = (F.col(f"`{kw.get(c, of)}`") for c, of in (("id_col", "doc_id"), ("text_col", "text")))
+    return docs.join(bad, own_id.eqNullSafe(F.col(id_)) & (F.xxhash64(text.cast("string")) == F.col(key)), "left_anti")

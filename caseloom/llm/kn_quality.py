@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import staged, text_blocks
+from caseloom.llm.common import fresh_names, staged, text_blocks
 from caseloom.llm.kn_pairs import Frequent, discounts_of, frequent_words, part_bits, score, word_counts
 from caseloom.llm.kn_words import Words, keys_of, word_keys
 
@@ -242,6 +242,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
 
 def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
-    bad = classify(docs, labels, **kw).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")
+    id_, key = fresh_names(docs, "id", "key")
+    bad = classify(docs, labels, **kw).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (own == F.col(key)), "left_anti")

@@ -4,11 +4,12 @@ For each language a raw-content dictionary is made of whole training texts. Text
 letters and single spaces on both sides, so that junk symbols and capitals say nothing. A text is compressed with the
 dictionary of each language; the smallest result names the language, and a narrow margin to the second
 is reported as a rejection. The dictionaries hold a bounded sample of labelled rows: in the order of a hash of their
-ids, whole texts of at most ``dict_bytes`` / 4 bytes, as many as ``sample_docs`` and ``dict_bytes`` allow. Every text to
-predict is scored whole.
+ids, texts as many as ``sample_docs`` and ``dict_bytes`` allow. A text gives a quarter of ``dict_bytes`` at most: a longer one
+gives a run of its words of that size, from a place that is chosen by a hash, so a language of long texts only is learned
+like any other. Every text to predict is scored whole.
 
-Defined cases: null text and text without a letter are ``und`` with score 0; a language with no training
-text of that size is unknown; a null id is not held out; with no training rows at all everything is ``und``; ties go to the language with most training rows, then
+Defined cases: null text and text without a letter are ``und`` with score 0; a language whose sampled texts have no letter is
+unknown; a null id is not held out; with no training rows at all everything is ``und``; ties go to the language with most training rows, then
 to the first name; repeated
 rows each get their own result row; an empty table gives an empty result.
 """
@@ -38,13 +39,22 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _piece(text: Column, place: Column, most: int) -> Column:
+    """The text, or of one of more than ``most`` bytes about that much from a place given by a hash; cut words at its ends go."""
+    chars = F.greatest(F.lit(1), F.floor(F.length(text) * (most / F.octet_length(text)))).cast("int")
+    start = F.pmod(place, F.length(text) - chars + 1).cast("int")
+    run = F.regexp_replace(text.substr(start + 1, chars), r"^\S*\s|\s\S*$", "")
+    return F.when(F.octet_length(text) <= most, text).otherwise(run)
+
+
 def dictionaries(train: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, bytes]:
     """Language -> raw content, the language with most training rows first; ``train`` has the rows that may be learned from."""
     t = train.select(*[F.col(f"`{c}`").cast(kind).alias(n) for c, kind, n in ((lang_col, "string", "lang"), (id_col, "string", "id"), (text_col, "string", "text"))])
-    t = t.filter("lang is not null and length(text) > 0").withColumn("size", F.octet_length("text"))
+    t = t.filter("lang is not null and length(text) > 0")
     totals = {r["lang"]: r["count"] for r in t.groupBy("lang").count().collect()}
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    t = t.filter(F.col("size") <= dict_bytes // 4).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs)
+    t = t.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample_docs)
+    t = t.withColumn("text", _piece(F.col("text"), F.xxhash64("id", F.lit(1)), dict_bytes // 4)).withColumn("size", F.octet_length("text"))
     t = t.withColumn("total", F.sum(F.col("size") + 1).over(Window.partitionBy("lang").orderBy("rank"))).filter(F.col("total") <= dict_bytes)
     in_order = F.sort_array(F.collect_list(F.struct("rank", "text")))
     rows = t.groupBy("lang").agg(F.array_join(F.transform(in_order, lambda x: x["text"]), "\n").alias("text")).collect()

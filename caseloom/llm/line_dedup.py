@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import SPACE_CHARS, ascii_lower, keyed, same_document, staged
+from caseloom.llm.common import SPACE_CHARS, ascii_lower, fresh_names, keyed, same_document, staged
 
 
 def _lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -53,11 +53,12 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
 
 def rewrite(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """The documents with their kept lines as ``text``, and ``n_chars`` to match; other columns as they are."""
-    gone = dropped_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("__gone"))
-    d = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_key"]), "left")
-    d = d.withColumn("__lines", F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n", -1))
-    d = d.withColumn("text", F.array_join(_kept(F.col("__lines"), F.col("__gone")), "\n"))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast("long"))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents with their kept lines as ``text``, and ``n_chars`` to match; other columns, whatever their names, as they are."""
+    id_, key, gone, lines = fresh_names(docs, "id", "key", "gone", "lines")
+    found = dropped_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("gone").alias(gone))
+    text = F.col("text").cast("string")
+    d = docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key)), "left")
+    d = d.withColumn(lines, F.split(F.coalesce(text, F.lit("")), "\n", -1))
+    kept = F.array_join(_kept(F.col(lines), F.col(gone)), "\n")
+    new = {"text": kept, "n_chars": F.length(kept).cast("long")}
+    return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import keyed, staged
+from caseloom.llm.common import fresh_names, keyed, staged
 
 U = np.uint64
 
@@ -278,8 +278,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str =
 
     If several texts of a component have that id, or no document of it has an id, the smallest text key decides.
     """
+    id_, key, own_key = fresh_names(docs, "id", "key", "text_key")
     low = near_duplicates(docs, shingle, max_bits, id_col=id_col, text_col=text_col, **kw).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = low.groupBy("root", F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_key")).drop("root")
-    d = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text_col}`").cast("string")))
-    d = d.join(kept, d[f"`{id_col}`"].eqNullSafe(kept["_id"]) & (d["_text_key"] == kept["_key"]), "left_semi")
-    return d.dropDuplicates([id_col, "_text_key"]).drop("_text_key")
+    kept = low.groupBy("root", F.col("doc_id").alias(id_)).agg(F.min("text_key").alias(key)).drop("root")
+    d = docs.withColumn(own_key, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    d = d.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(id_)) & (F.col(own_key) == F.col(key)), "left_semi")
+    return d.dropDuplicates([id_col, own_key]).drop(own_key)
