@@ -11,7 +11,9 @@ spelling is worth is in the broadcast table and is not sent.
 A pair of frequent words goes to its part by both, so a word that a third of all places follow is spread
 over all parts; what all its pairs have in common, its count and discounted mass, is in the broadcast table. Other pairs go by their
 rare word, the first if both are. All counts, sums and joins are Spark's; a part holds about PART_BYTES of text, and parts are doubled as the
-text grows.
+text grows. A part is a range of scrambled keys, so its keys lie as close together whether there are few parts or many, and cost as many bytes;
+blocks grow with the parts up to BLOCK_BYTES. The documents' own rows are one group for each block. The most frequent pairs of frequent words, at most
+HOT_PAIRS of them, are in a broadcast table too, so a block adds their gains itself and sends only the others.
 """
 
 from __future__ import annotations
@@ -34,8 +36,13 @@ U = np.uint64
 RARE, HASHED = 1 << 16, 2 << 16
 BEGIN_ID = RARE - 1
 #: Bytes and documents of a block, bytes and places in a block of a word that can be frequent, bits of the parts at least, bytes of text of a part.
-PAIR_BLOCK, BLOCK_DOCS, WORD_BYTES, WORD_PLACES, PART_BITS, PART_BYTES = 4 << 20, 1 << 12, 64, 4, 4, 64 << 20
-DEALT = "part int, block long, payload binary"
+PAIR_BLOCK, BLOCK_DOCS, WORD_BYTES, WORD_PLACES, PART_BITS, PART_BYTES = 4 << 20, 1 << 12, 64, 4, 4, 128 << 20
+#: Bytes of a block when there are many parts; pairs of frequent words in the broadcast table at most, and the count from which all are alike for that.
+BLOCK_BYTES, HOT_PAIRS, MANY = 16 << 20, 1 << 21, 1 << 16
+DEALT = "part long, block long, payload binary"
+#: Odd numbers that scramble 32 bits, and their inverses.
+SCRAMBLE = (0x9E3779B1, 0x85EBCA77)
+UNSCRAMBLE = tuple(pow(x, -1, 1 << 32) for x in SCRAMBLE)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,6 +51,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A permutation of 32-bit numbers."""
+    x = x.astype(np.uint32) * np.uint32(SCRAMBLE[0])
+    return (x ^ (x >> np.uint32(16))) * np.uint32(SCRAMBLE[1])
+
+
+def unscrambled(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint32(UNSCRAMBLE[1])
+    return (x ^ (x >> np.uint32(16))) * np.uint32(UNSCRAMBLE[0])
+
+
 def discounts_of(n: list[float]) -> list[float]:
     """D1, D2 and D3+ from counts of counts."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
@@ -59,32 +77,40 @@ def part_bits(docs: DataFrame) -> int:
 # --- arrays as bytes ----------------------------------------------------------------------------
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes, each byte of their values compressed on its own: high bytes of small numbers take no room."""
+    """Arrays as bytes, each byte of their values on its own: as one byte if it never changes, else compressed if that is shorter."""
     import zstandard
 
-    coder, out = zstandard.ZstdCompressor(level=1), []
+    coder, out = zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False), [np.array([len(a) for a in arrays], np.uint32).tobytes()]
     for a in arrays:
         rows = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize)
-        out.append(np.int64(len(a)).tobytes())
-        for k in range(a.dtype.itemsize):
-            x = coder.compress(rows[:, k].tobytes()) if len(a) else b""
-            out += [np.int64(len(x)).tobytes(), x]
+        for k in range(a.dtype.itemsize if len(a) else 0):
+            plane = rows[:, k]
+            if (plane == plane[0]).all():
+                out += [b"\0", plane[:1].tobytes()]
+                continue
+            x = coder.compress(plane.tobytes())
+            out += [b"\2", np.uint32(len(x)).tobytes(), x] if len(x) + 4 < len(a) else [b"\1", plane.tobytes()]
     return b"".join(out)
 
 
 def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     import zstandard
 
-    coder, at, out, view = zstandard.ZstdDecompressor(), 0, [], memoryview(data)
-    for kind in kinds:
-        n, size = int(np.frombuffer(view, np.int64, 1, at)[0]), np.dtype(kind).itemsize
-        at += 8
-        rows = np.zeros((n, size), np.uint8)
-        for k in range(size):
-            m = int(np.frombuffer(view, np.int64, 1, at)[0])
-            if n:
-                rows[:, k] = np.frombuffer(coder.decompress(view[at + 8 : at + 8 + m]), np.uint8)
-            at += 8 + m
+    coder, out, view = zstandard.ZstdDecompressor(), [], memoryview(data)
+    sizes, at = np.frombuffer(view, np.uint32, len(kinds)), 4 * len(kinds)
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        rows = np.empty((n, width), np.uint8)
+        for k in range(width if n else 0):
+            how, at = view[at], at + 1
+            if how == 2:
+                m = int(np.frombuffer(view, np.uint32, 1, at)[0])
+                rows[:, k] = np.frombuffer(coder.decompress(view[at + 4 : at + 4 + m], max_output_size=n), np.uint8)
+                at += 4 + m
+            else:
+                m = n if how else 1
+                rows[:, k] = np.frombuffer(view, np.uint8, m, at)
+                at += m
         out.append(rows.view(kind).ravel())
     return out
 
@@ -103,7 +129,7 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batch_of(rows) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["part", "block", "payload"])
 
 
@@ -183,14 +209,20 @@ def turned_of(w: np.ndarray) -> np.ndarray:
     return (w >= RARE) & (w < HASHED)
 
 
-def parts_of(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
-    """Pairs of frequent words are dealt by both, others by their rare word."""
-    return mixed(np.where(v < RARE, (v << U(32)) | w, v)) >> U(64 - bits)
+def parts_of(v: np.ndarray, bits: int) -> np.ndarray:
+    """The parts of pairs with a rare word, by that word; its key has 47 bits besides the mark."""
+    return (v & U((1 << 47) - 1)) >> U(47 - bits)
+
+
+def short_pairs(v: np.ndarray, w: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Pairs of frequent words, scrambled, with their document in one number each, sorted; documents are below BLOCK_DOCS.
+
+    The upper bits of a scrambled pair are its part."""
+    return np.sort((scrambled((v << U(16)) | w).astype(U) << U(12)) | doc.astype(U))
 
 
-def short_pairs(part: np.ndarray, v: np.ndarray, w: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Pairs of frequent words with part and document in one number each, sorted; documents are below BLOCK_DOCS."""
-    return np.sort((part << U(44)) | (v << U(28)) | (w.astype(U) << U(12)) | doc.astype(U))
+def block_bytes(bits: int) -> int:
+    return min(BLOCK_BYTES, PAIR_BLOCK << max(0, bits - PART_BITS))
 
 
 def by_part(part: np.ndarray):
@@ -202,6 +234,20 @@ def by_part(part: np.ndarray):
 EMPTY = slice(0, 0)
 
 
+def known(sorted_keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(sorted_keys):
+        return np.zeros(len(asked), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)] == asked
+
+
+def found(sorted_keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each key that is asked for, 0 where there is none."""
+    if not len(sorted_keys):
+        return np.zeros(len(asked))
+    at = np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == asked, values[at], 0.0)
+
+
 # --- training -----------------------------------------------------------------------------------
 
 #: A part's counts: pairs of frequent words as differences, their counts; then rare word (differences), word beside it, spelling and count of other pairs.
@@ -226,16 +272,16 @@ def word_counts(texts: DataFrame, spelling, bits: int = PART_BITS) -> DataFrame:
     """(part, n1 to n4, payload): the counts of all word pairs, summed per block and then per part, with counts of counts."""
 
     def count(batches):
-        for batch in (part for whole in batches for part in text_blocks(whole, "text", PAIR_BLOCK)):
+        for batch in (part for whole in batches for part in text_blocks(whole, "text", block_bytes(bits))):
             _, _, v, w, _, q = places_of(batch.column(0), spelling)
-            part = parts_of(v, w, bits)
             short = v < RARE
-            key = short_pairs(part[short], v[short], w[short], np.zeros(int(short.sum()), U)) >> U(12)
+            key = short_pairs(v[short], w[short], np.zeros(int(short.sum()), U)) >> U(12)
             first, n = runs(key)
             key = key[first]
-            own = by_part(key >> U(32))
-            order = np.lexsort((w[~short], v[~short], part[~short]))
-            rest = [x[~short][order] for x in (part, v, w, q)]
+            own = by_part(key >> U(32 - bits))
+            order = np.lexsort((w[~short], v[~short]))
+            rest = [x[~short][order] for x in (v, v, w, q)]
+            rest[0] = parts_of(rest[0], bits)
             at, m = runs(*rest[:3])
             rest = [x[at] for x in rest]
             other = by_part(rest[0])
@@ -251,10 +297,10 @@ def word_counts(texts: DataFrame, spelling, bits: int = PART_BITS) -> DataFrame:
         key, c = _summed_short(*[np.concatenate(x) for x in zip(*[(np.cumsum(p[0], dtype=np.uint32), p[1]) for p in parts])])
         v, w, q, m = _summed_long(*[np.concatenate(x) for x in zip(*[(np.cumsum(p[2], dtype=U), *p[3:]) for p in parts])])
         of_counts = [int((c == i).sum() + (m == i).sum()) for i in (1, 2, 3, 4)]
-        names = pa.schema([("part", pa.int32()), *[(f"n{i}", pa.int64()) for i in (1, 2, 3, 4)], ("payload", pa.binary())])
+        names = pa.schema([("part", pa.int64()), *[(f"n{i}", pa.int64()) for i in (1, 2, 3, 4)], ("payload", pa.binary())])
         return pa.table([t.column("part").slice(0, 1).combine_chunks(), *[[x] for x in of_counts], [packed(steps(key), c, steps(v), w, q, m)]], names)
 
-    schema = "part int, n1 long, n2 long, n3 long, n4 long, payload binary"
+    schema = "part long, n1 long, n2 long, n3 long, n4 long, payload binary"
     return texts.select("text").mapInArrow(count, DEALT).groupBy("part").applyInArrow(merge, schema)
 
 
@@ -266,7 +312,7 @@ def first_words(counts: DataFrame) -> DataFrame:
         for b in batches:
             for x in b.column(0).to_pylist():
                 key, c, _, w, _, m = unpacked(x, *KINDS)
-                key, turned = np.cumsum(key, dtype=np.uint32), turned_of(w)
+                key, turned = unscrambled(np.cumsum(key, dtype=np.uint32)), turned_of(w)
                 ids = np.concatenate((key >> np.uint32(16), w[turned] - np.uint32(RARE))).astype(np.int64)
                 c = np.concatenate((c, m[turned])).astype(np.int64)
                 sums = [np.bincount(ids, x, RARE).astype(np.int64) for x in (c, c == 1, c == 2, c >= 3)]
@@ -277,13 +323,45 @@ def first_words(counts: DataFrame) -> DataFrame:
     return rows.groupBy("v").agg(*[F.sum(n).alias(n) for n in names[1:]])
 
 
+def hot_pairs(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The scrambled pairs of frequent words with the highest counts, in order of the pair, and their counts: at most ``most``, and all from some count on."""
+
+    def tally(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                n = np.bincount(np.minimum(unpacked(x, *KINDS)[1], MANY))
+                there = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(n[there])], ["c", "n"])
+
+    left, least = most, None
+    for r in counts.select("payload").mapInArrow(tally, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("c")).collect():  # at most MANY rows
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["c"]
+    if not least:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+    def pick(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                key, c = unpacked(x, *KINDS)[:2]
+                hot = c >= least
+                yield batch_of([(0, 0, packed(steps(np.cumsum(key, dtype=np.uint32)[hot]), c[hot]))])
+
+    rows = [unpacked(r["payload"], np.uint32, np.uint32) for r in counts.select("payload").mapInArrow(pick, DEALT).select("payload").collect()]
+    key, c = (np.concatenate(x) for x in zip(*[(np.cumsum(k, dtype=np.uint32), n) for k, n in rows], strict=True))
+    order = np.argsort(key)
+    return key[order], c[order]
+
+
 # --- scoring ------------------------------------------------------------------------------------
 
-def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -> DataFrame:
+def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS, most: int = HOT_PAIRS) -> DataFrame:
     """``docs`` (doc_id, text, ...) without the text, with n (characters and word ends) and perplexity.
 
     log p(w | v) = log weight(v) + log q(w), plus for a known pair the gain over that. A block of documents adds the weights of
-    frequent words itself, sends its pairs to their parts and gets a sum per document back from each.
+    frequent words and the gains of frequent pairs itself, sends its other pairs to their parts and gets a sum per document back from each.
     """
     row = counts.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
     d = np.array([0.0, *discounts_of([float(x or 0) for x in row])])
@@ -292,11 +370,22 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
         total[r["v"]], held[r["v"]] = r["total"], d[1] * r["n1"] + d[2] * r["n2"] + d[3] * r["n3"]
     weight = np.where(total > 0, np.log(np.maximum(held, 1e-300) / np.maximum(total, 1)), 0.0)
     known_first = docs.sparkSession.sparkContext.broadcast((total, weight))
+
+    def gains(c, of_total, of_weight, q):
+        return np.log1p(np.maximum(c - d[np.minimum(c, 3)], 0) / of_total * np.exp(np.minimum(-of_weight - q, 600.0)))
+
+    def short_gains(key, c, spelled):
+        plain = unscrambled(key)
+        ids = (plain >> np.uint32(16)).astype(np.int64)
+        return gains(c, known_first.value[0][ids], known_first.value[1][ids], spelled[plain & np.uint32(RARE - 1)].astype(np.float64))
+
+    hot, c = hot_pairs(counts, most)
+    hot = docs.sparkSession.sparkContext.broadcast((hot, short_gains(hot, c, spelling.frequent.spelling)))
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
 
     def blocks(batches):
-        for part in (x for whole in batches for x in text_blocks(whole, "text", PAIR_BLOCK)):
+        for part in (x for whole in batches for x in text_blocks(whole, "text", block_bytes(bits))):
             for k in range(0, part.num_rows, BLOCK_DOCS):
                 yield part.slice(k, BLOCK_DOCS)
 
@@ -306,16 +395,21 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
         block = TaskContext.get().partitionId() << 32
         for batch in blocks(batches):
             n, base, v, w, doc, _ = places_of(batch.column("text"), spelling)
-            part = parts_of(v, w, bits)
             short, turned = v < RARE, turned_of(w)
             for at, ids in ((short, v[short]), (turned, w[turned] - np.uint32(RARE))):
                 base = base + np.bincount(doc[at], known_first.value[1][ids.astype(np.int64)], batch.num_rows)
-            places = short_pairs(part[short], v[short], w[short], doc[short])
+            places = short_pairs(v[short], w[short], doc[short])
             first, times = runs(places)
             places = places[first]
-            own = by_part(places >> U(44))
-            order = np.lexsort((doc[~short], w[~short], v[~short], part[~short]))
-            rest = [x[~short][order] for x in (part, v, w, doc)]
+            pair, many = runs(places >> U(12))
+            asked = (places[pair] >> U(12)).astype(np.uint32)
+            gain, others = np.repeat(found(*hot.value, asked), many), np.repeat(~known(hot.value[0], asked), many)
+            base = base + np.bincount((places & U(BLOCK_DOCS - 1)).astype(np.int64), gain * times, batch.num_rows)
+            places, times = places[others], times[others]
+            own = by_part(places >> U(44 - bits))
+            order = np.lexsort((doc[~short], w[~short], v[~short]))
+            rest = [x[~short][order] for x in (v, v, w, doc)]
+            rest[0] = parts_of(rest[0], bits)
             at, more = runs(*rest)
             rest = [x[at] for x in rest]
             other = by_part(rest[0])
@@ -323,8 +417,8 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, head.schema) as out:
                 out.write_batch(head)
-            # The documents' own row goes by a part of its own kind, which hands it on.
-            rows = [(-1 - block % 61 - (block >> 32) % 67, block, sink.getvalue().to_pybytes())]
+            # The documents' own row goes by a part of its own, which hands it on.
+            rows = [(-1 - block, block, sink.getvalue().to_pybytes())]
             for p in sorted({*own, *other}):
                 a, b = places[own.get(p, EMPTY)], other.get(p, EMPTY)
                 key = (a >> U(12)).astype(np.uint32)
@@ -337,9 +431,6 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
             yield batch_of(rows)
             block += 1
 
-    def gains(c, of_total, of_weight, q):
-        return np.log1p(np.maximum(c - d[np.minimum(c, 3)], 0) / of_total * np.exp(np.minimum(-of_weight - q, 600.0)))
-
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and left.column("part")[0].as_py() < 0:
@@ -349,8 +440,7 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
         key, v = np.cumsum(key, dtype=np.uint32), np.cumsum(v, dtype=U)
         turned, known_word = turned_of(w), w < RARE
         q[known_word] = spelling.frequent.spelling[w[known_word]]
-        ids = (key >> np.uint32(16)).astype(np.int64)
-        gain = gains(c, total[ids], weight[ids], spelling.frequent.spelling[key & np.uint32(RARE - 1)].astype(np.float64))
+        gain = short_gains(key, c, spelling.frequent.spelling)
         # Other pairs: a first word that is not frequent has all its pairs here; the weight of a frequent one has been added where it stands.
         first, n = runs(v)
         firsts, begins = v[first], np.where(turned, 0, m)
@@ -364,17 +454,11 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
         by = np.argsort(spot)
         spot, long_gain = spot[by], long_gain[by]
 
-        def found(sorted_keys, asked, values):
-            if not len(sorted_keys):
-                return np.zeros(len(asked))
-            at = np.minimum(np.searchsorted(sorted_keys, asked), len(sorted_keys) - 1)
-            return np.where(sorted_keys[at] == asked, values[at], 0.0)
-
         for block, x in zip(left.column("block").to_pylist(), left.column("payload")):
             k2, n_a, doc_a, times_a, v2, n_v, w2, n_b, doc_b, times_b = unpacked(x.as_py(), np.uint32, np.uint16, np.uint16, np.uint32, U, np.uint32, np.uint32, np.uint16, np.uint16, np.uint32)
-            a = np.repeat(found(key, np.cumsum(k2, dtype=np.uint32), gain), n_a) * times_a
+            a = np.repeat(found(key, gain, np.cumsum(k2, dtype=np.uint32)), n_a) * times_a
             v2 = np.repeat(np.cumsum(v2, dtype=U), n_v)
-            b = np.repeat(np.where(turned_of(w2), 0.0, found(firsts, v2, own_weight)) + found(spot, mixed(v2 ^ (w2.astype(U) * MIXER)), long_gain), n_b) * times_b
+            b = np.repeat(np.where(turned_of(w2), 0.0, found(firsts, own_weight, v2)) + found(spot, long_gain, mixed(v2 ^ (w2.astype(U) * MIXER))), n_b) * times_b
             sums = np.bincount(np.concatenate((doc_a, doc_b)).astype(np.int64), np.concatenate((a, b)))
             there = np.flatnonzero(sums)
             if len(there):
@@ -392,5 +476,5 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS) -
 
     sent = docs.select(*[f.name for f in kept], "text").mapInArrow(send, DEALT)
     sums = sent.groupBy("part").cogroup(counts.select("part", "payload").groupBy("part")).applyInArrow(look_up, DEALT)
-    found = sums.groupBy("block").applyInArrow(add_up, schema)
-    return found.select(*[f.name for f in kept], "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))
+    summed = sums.groupBy("block").applyInArrow(add_up, schema)
+    return summed.select(*[f.name for f in kept], "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))

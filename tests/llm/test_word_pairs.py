@@ -1,16 +1,22 @@
 """The quality classifier's word pairs against a plain Python version."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from caseloom.llm import kn_pairs, kn_quality
 from caseloom.llm.common import staged
 
 
+SF = "/root/testdata/sf0.1"
+
+
 def corpus(n=60):
     r = random.Random(7)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(40)]
@@ -75,7 +81,7 @@ def test_short_texts_and_small_languages_are_judged(spark):
 
 
 def test_frequent_words_change_nothing_but_the_coding(spark):
-    """The same scores with no short ids, with some and with all of the words, and with one part or many."""
+    """The same scores with no short ids, with some and with all of the words, with one part or many, and with no, some or all pairs in the broadcast table."""
     texts, r = corpus(30)
     new = [["zzz", *texts[0][:20]], r.sample(texts[1], 40), texts[2], ["q" * 100, *texts[3]], []]
     train = spark.createDataFrame([(" ".join(t),) for t in texts + new[3:4]], "text string").repartition(3)
@@ -89,11 +95,38 @@ def test_frequent_words_change_nothing_but_the_coding(spark):
             spelling.frequent = kn_pairs.Frequent(spark, given, kn_quality.word_keys(pa.array(given)), spelling(pa.array(given)))
         for bits in (1, 5):
             counts = staged(kn_quality.word_counts(train, spelling, bits), "pairs")
-            found.append({x["doc_id"]: x["perplexity"] for x in kn_quality.score(docs, counts, spelling, bits).collect()})
+            for most in (0, 20, 1 << 20)[: 1 + 2 * (words == 1000)]:
+                found.append({x["doc_id"]: x["perplexity"] for x in kn_quality.score(docs, counts, spelling, bits, most).collect()})
     for other in found[1:]:
         assert {i: p and round(math.log(p), 5) for i, p in other.items()} == {i: p and round(math.log(p), 5) for i, p in found[0].items()}
 
 
+def test_hot_pairs_are_the_most_frequent(spark):
+    texts, _ = corpus(20)
+    train = spark.createDataFrame([(" ".join(t),) for t in texts], "text string").repartition(3)
+    spelling = kn_quality.Spelling(*kn_quality.train(train))
+    given = kn_pairs.frequent_words(train, 1000, 1)
+    spelling.frequent = kn_pairs.Frequent(spark, given, kn_quality.word_keys(pa.array(given)), spelling(pa.array(given)))
+    counts = staged(kn_quality.word_counts(train, spelling, 3), "pairs")
+    c = sorted(Counter(p for t in texts for p in zip([None, *t], t)).values(), reverse=True)
+    for most in (0, 1, 30, 10_000):
+        keys, n = kn_pairs.hot_pairs(counts, most)
+        least = min((x for x in set(c) if sum(y >= x for y in c) <= most), default=None)
+        assert sorted(n.tolist(), reverse=True) == [x for x in c if least and x >= least] and (np.diff(keys.astype(np.int64)) > 0).all()
+    x = np.random.default_rng(1).integers(0, 1 << 32, 1000).astype(np.uint32)
+    assert np.array_equal(kn_pairs.unscrambled(kn_pairs.scrambled(x)), x)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rejection_rate_of_held_back_documents(spark):
+    """Of labelled documents that nothing was learned from, most bad ones go and the good ones stay."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    d = kn_quality.classify(docs, labels).join(labels, "doc_id").filter(kn_quality.held_back(F.col("doc_id")))
+    n = {(r["quality"], r["toxic"], r["kept"]): r["count"] for r in d.groupBy("quality", "toxic", "kept").count().collect()}
+    rate = lambda q, t: n.get((q, t, False), 0) / (n.get((q, t, False), 0) + n.get((q, t, True), 0))
+    assert rate(0, 0) > 0.7 and rate(1, 0) < 0.01, n
+
+
 def test_arrays_survive_packing():
     kinds = (np.uint32, np.uint16, np.uint64, np.float32)
     for n in (0, 1, 1000):
