@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from caseloom.llm import bpe, kn_quality
 from tests.llm import brute
@@ -55,3 +57,31 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
 
 def test_stages_keep_the_columns():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "decontamination", "bpe"]
+
+
+#: Names that stages use inside themselves, or used to.
+CLASH = ["_id", "_key", "__lines", "_text_key", "__gone", "id", "key", "gone", "lines", "text_key", "root", "fp", "kept", "gram", "a", "n"]
+
+
+def odd_docs(spark, n=12):
+    rows = [(i, "shared line\n" + prose(40), "en", "s", 5) for i in range(n)] + [(3, "shared line\n" + prose(40), None, None, None), (None, None, None, None, None), (20, "", "de", "s", 0), (21, " ".join(["word"] * 50_000), "en", "s", 1)]
+    rows += [rows[0], rows[-2]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    return d.select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASH])
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Every stage keeps the columns, whatever their names, and their values; an empty table stays one."""
+    spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "q w e r t y u i o p"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, str(tmp_path))
+            rows = out.collect()
+            if name == "bpe":
+                assert len(rows) == given.count()
+                continue
+            assert out.columns == docs.columns and (given is docs) == bool(rows), name
+            for r in rows:
+                assert all(r[c] == c + ("-" if r["doc_id"] is None else str(r["doc_id"])) for c in CLASH), name
