@@ -2,6 +2,11 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and works on all that its
 predecessor kept. All but the last return the columns of ``documents``.
+
+Defined cases: null and empty texts pass the classifier, have one empty line, share the fingerprint zero, so that one document of them
+stays, have no windows and encode to no tokens; repeated rows are judged alike, and near-dedup keeps one of them; a null id is an id
+of its own; tables without trusted labels or benchmark items let everything pass; an empty table gives an empty result; other columns are
+carried along, whatever their names.
 """
 
 from __future__ import annotations
