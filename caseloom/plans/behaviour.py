@@ -15,7 +15,7 @@ from caseloom.plans.dims import dim
 from caseloom.plans.projection import SQL, table
 from caseloom.plans.registry import register
 from caseloom.plans.relational import cte
-from caseloom.streaming import alerts
+from caseloom.streaming import mules
 
 DAY = 86400
 
@@ -61,9 +61,9 @@ def chunk_counts(spark, d):
 
 @register("m4_mule_stream", "SELECT b.user_id, b.event_id AS out_id, count(*) AS ins FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR WHERE a.event_type = 'purchase' AND b.event_type = 'error' GROUP BY ALL HAVING count(*) >= 3")
 def mule_stream(spark, d):
-    """M4/D3: payouts of a user that follow three or more payments in within 24 hours; pairs come from a join of two streams."""
-    ins, outs = (events(spark, d, None).filter(F.col("event_type") == kind) for kind in ("purchase", "error"))
-    return alerts.mules(ins, outs, "24 HOURS", 3, shared_path(spark))
+    """M4/D3: payouts of a user that follow three or more payments in within 24 hours, by keyed state with timers."""
+    kind = F.col("event_type")
+    return mules.mules(events(spark, d, None), kind == "purchase", kind == "error", 24, 3, shared_path(spark))
 
 
 @register("g24_case_subgraphs", f"""WITH {p.edges_sql('eg_used_account', 'eg_used_phone', 'involves')}, u AS (SELECT src AS case_v, dst AS v_id, label, 'out' AS direction FROM edges UNION ALL SELECT dst, src, label, 'in' FROM edges)

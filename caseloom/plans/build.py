@@ -11,7 +11,7 @@ from caseloom.plans.projection import SQL, table
 from caseloom.plans.registry import register
 from caseloom.plans.relational import cte
 from caseloom.sources import csv
-from caseloom.streaming import alerts
+from caseloom.streaming import alerts, edge_store
 
 # --- tables and graph ---------------------------------------------------------------------------
 
@@ -133,6 +133,6 @@ def burst_stream(spark, d):
 
 @register("m5_incremental_load", cte("used_ip", body="SELECT 'vt_psn:' || person::VARCHAR AS src, 'vt_ip:' || ip AS dst, 'used_ip' AS label FROM used_ip"))
 def incremental_load(spark, d):
-    """M5: edges merged batch by batch into a stored table."""
+    """M5: edges merged batch by batch into a stored table in buckets; a batch reads and rewrites only the buckets that it touches."""
     e = events(spark, d).select(F.concat(F.lit("vt_psn:"), F.col("user_id").cast("string")).alias("src"), F.concat(F.lit("vt_ip:"), F.regexp_extract("props", '"k": *([0-9]+)', 1)).alias("dst"), F.lit("used_ip").alias("label"))
-    return alerts.load_edges(e, shared_path(spark))
+    return edge_store.load_edges(e, shared_path(spark), 500)

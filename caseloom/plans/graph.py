@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseloom.operators import closure, paths, trails
 from caseloom.operators import graph as g
-from caseloom.operators import paths
 from caseloom.operators.pairs import linked
 from caseloom.plans import projection as p
 from caseloom.plans.projection import SQL, table
@@ -118,13 +118,54 @@ def transferred_to(spark, d):
     return p.transfers(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
 
 
-@register("g27_money_trail", cte("has_account", "transfers", body=", t AS (SELECT src, dst, sum(amount)::BIGINT AS amount FROM transfers GROUP BY src, dst) SELECT person, dst AS account, sum(amount)::BIGINT AS amount FROM has_account JOIN t ON account = src GROUP BY person, dst"))
+#: Transfers of which a closure is sought: the large ones, a sparse relation at any scale.
+LARGE = 10_465_000
+_LARGE_SQL = f"""large AS (SELECT DISTINCT src, dst FROM transfers WHERE amount >= {LARGE}), reach AS (SELECT src, dst FROM large UNION SELECT r.src, l.dst FROM reach r JOIN large l ON r.dst = l.src),
+vs AS (SELECT src AS v FROM large WHERE src <> dst UNION SELECT dst FROM large WHERE src <> dst),
+comp AS (SELECT v AS v_id, coalesce(min(r.dst), v) AS component FROM (SELECT v FROM vs) LEFT JOIN (SELECT a.src, a.dst FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src) r ON r.src = v GROUP BY v)"""
+
+
+def large_transfers(spark, d):
+    return p.transfers(spark, d).filter(F.col("amount") >= LARGE).select("src", "dst")
+
+
+@register("g25_strong_components", cte("transfers", body=f", {_LARGE_SQL} SELECT v_id, component FROM comp").replace("WITH ", "WITH RECURSIVE ", 1))
+def strong_components(spark, d):
+    """Accounts that large transfers link both ways, each with the smallest of them."""
+    return closure.strong_components(large_transfers(spark, d))
+
+
+@register("g25_transitive_closure", cte("transfers", body=f""", {_LARGE_SQL}, steps AS (SELECT DISTINCT a.component AS f, b.component AS t FROM large JOIN comp a ON a.v_id = src JOIN comp b ON b.v_id = dst WHERE a.component <> b.component),
+walk AS (SELECT f, t, 1 AS hops FROM steps UNION SELECT w.f, s.t, w.hops + 1 FROM walk w JOIN steps s ON w.t = s.f)
+SELECT component AS src, component AS dst, 0 AS hops FROM comp GROUP BY component HAVING count(*) > 1 UNION ALL SELECT f, t, min(hops) FROM walk GROUP BY f, t""").replace("WITH ", "WITH RECURSIVE ", 1))
+def transitive_closure(spark, d):
+    """Which groups of accounts large transfers lead to from which, in how many steps from group to group."""
+    return closure.closure(large_transfers(spark, d))[1]
+
+
+@register("g27_money_trail", cte("has_account", "transfers", body="""SELECT person, dst AS account, sum(amount)::BIGINT AS amount FROM has_account JOIN (SELECT src, dst, sum(amount)::BIGINT AS amount FROM transfers GROUP BY src, dst) ON account = src GROUP BY person, dst"""))
 def money_trail(spark, d):
-    """Accounts that a person's accounts paid, with the amounts."""
+    """Accounts that a person's accounts paid, with the amounts; accounts' owners are joined by size."""
     t = p.transfers(spark, d).groupBy("src", "dst").agg(F.sum("amount").alias("amount"))
     return p.has_account(spark, d).join(t.withColumnRenamed("src", "account").withColumnRenamed("dst", "to"), "account").groupBy("person", F.col("to").alias("account")).agg(F.sum("amount").alias("amount"))
 
 
+def _trail_sql(steps):
+    """Rounds of earliest arrivals, each with the accounts that it reaches earlier than all before."""
+    out = ["t AS (SELECT DISTINCT src, dst, ts FROM transfers)", "l0 AS (SELECT person AS seed, account, NULL::TIMESTAMP AS came FROM has_account WHERE person % 100 = 0)"]
+    for n in range(1, steps + 1):
+        known = " UNION ALL ".join(f"SELECT seed, account, came FROM l{k}" for k in range(1, n)) or "SELECT seed, account, came FROM l0 WHERE false"
+        out.append(f"l{n} AS (SELECT * FROM (SELECT seed, dst AS account, min(ts) AS came FROM l{n - 1} JOIN t ON account = src AND (came IS NULL OR ts > came) GROUP BY ALL) x WHERE NOT EXISTS (SELECT 1 FROM ({known}) k WHERE k.seed = x.seed AND k.account = x.account AND k.came <= x.came))")
+    return ", " + ", ".join(out) + " " + " UNION ALL ".join(f"SELECT seed, account, {n} AS steps, came AS arrives FROM l{n}" for n in range(1, steps + 1))
+
+
+@register("g27_money_trail_steps", cte("has_account", "transfers", body=_trail_sql(4)))
+def money_trail_steps(spark, d):
+    """Where the money of each person whose number ends in 00 can be after up to four transfers, each later than the one before."""
+    seeds = p.has_account(spark, d).filter("person % 100 = 0").select(F.col("person").alias("seed"), "account")
+    return trails.trails(p.transfers(spark, d), seeds, 4)
+
+
 @register("g28_circular_transfers", cte("transfers", body="""SELECT a.case_id, a.src AS a, a.dst AS b, b.dst AS c FROM transfers a JOIN transfers b ON a.case_id = b.case_id AND a.dst = b.src JOIN transfers c ON b.case_id = c.case_id AND b.dst = c.src
 WHERE a.seq < b.seq AND b.seq < c.seq AND c.dst = a.src AND a.src <> a.dst AND a.dst <> b.dst AND b.dst <> a.src"""))
 def circular_transfers(spark, d):
@@ -135,6 +176,15 @@ def circular_transfers(spark, d):
     return x.join(y, ["case_id", "c", "a"]).filter("s2 < s3").select("case_id", "a", "b", "c")
 
 
+@register("g28_cycles", cte("transfers", body=""", e AS (SELECT DISTINCT case_id, src, dst FROM transfers WHERE src <> dst), walk AS (SELECT case_id, src AS first, dst AS at, [src, dst] AS m FROM e WHERE src < dst
+UNION ALL SELECT w.case_id, first, e.dst, list_append(m, e.dst) FROM walk w JOIN e ON w.case_id = e.case_id AND w.at = e.src AND e.dst > first AND NOT list_contains(m, e.dst) WHERE len(m) < 5)
+SELECT w.case_id, len(m)::INT AS size, array_to_string(m, '>') AS accounts FROM walk w JOIN e ON w.case_id = e.case_id AND w.at = e.src AND e.dst = first WHERE len(m) >= 3""").replace("WITH ", "WITH RECURSIVE ", 1))
+def transfer_cycles(spark, d):
+    """Circles of three to five accounts that the transfers of one case close, in any order of time."""
+    e = p.transfers(spark, d).select(F.col("case_id").alias("grp"), "src", "dst")
+    return trails.cycles(e, 3, 5).select(F.col("grp").alias("case_id"), "size", F.array_join("members", ">").alias("accounts"))
+
+
 @register("g29_large_chains", cte("transfers", body="""SELECT a.case_id, a.seq, a.amount + b.amount + c.amount AS total FROM transfers a JOIN transfers b ON a.case_id = b.case_id AND b.seq = a.seq + 1 JOIN transfers c ON b.case_id = c.case_id AND c.seq = b.seq + 1
 WHERE a.amount >= 5000000 AND b.amount >= 5000000 AND c.amount >= 5000000"""))
 def large_chains(spark, d):

@@ -33,46 +33,18 @@ def bursts(events: DataFrame, gap: str, least: int) -> DataFrame:
     return e.filter(F.col("n") >= least).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def mules(ins: DataFrame, outs: DataFrame, within: str, least: int, path: str) -> DataFrame:
-    """M4/D3: (user_id, out_id, ins): payouts that follow ``least`` payments in or more of the same user within a time.
-
-    The stream's state holds what a later row can still meet; what it lands at ``path`` is counted per payout when it is read.
-    """
-    pairs = run(followed(ins, outs, within), path, "append")
-    return pairs.groupBy("user_id", F.col("second_id").alias("out_id")).agg(F.count("*").alias("ins")).filter(F.col("ins") >= least)
-
-
 def run(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its result table, which lies at ``path``."""
     spark = stream.sparkSession
 
     def write(df, batch):
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={batch}")  # a replay writes the same again
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch=*")
 
 
-def load_edges(stream: DataFrame, path: str) -> DataFrame:
-    """M5: merges each batch's edges (src, dst, label) into the table at ``path``; replaying a batch changes nothing.
-
-    A batch writes only the edges that the table lacks, into its own folder, which a replay overwrites.
-    """
-    spark = stream.sparkSession
-
-    def merge(df, batch):
-        new = df.distinct()
-        if batch:
-            old = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(*[f"{path}/edges/batch={i}" for i in range(batch)])
-            new = new.join(old, ["src", "dst", "label"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/edges/batch={batch}")
-
-    q = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/edges")
-
-
 def read(spark: SparkSession, path: str, files_per_batch: int | None = 4) -> DataFrame:
     """A stream over Parquet files with the schema that the table has; ``path`` may be a file or a folder.
 
