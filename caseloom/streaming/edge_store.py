@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from math import ceil, log2
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,14 @@ class EdgeStore:
             return [(0, 0, None, 0)]
         return [tuple(r) for r in self.spark.read.schema(ENTRY).parquet(f"{self.path}/manifest/batch={batch}").collect()]
 
+    def last(self) -> int:
+        """The last batch that has a manifest; -1 if there is none."""
+        try:
+            done = self.spark.read.schema(f"{ENTRY}, batch int").parquet(f"{self.path}/manifest").select(F.max("batch")).first()[0]
+        except AnalysisException:  # no folder yet
+            return -1
+        return -1 if done is None else done
+
     def merge(self, rows: DataFrame, batch: int) -> dict:
         """Adds the rows of a batch; returns how many rows it read, wrote and touched buckets."""
         new = rows.select(*KEY).distinct().withColumn("h", _hash())
@@ -94,7 +103,6 @@ def load_edges(stream: DataFrame, path: str, bucket_rows: int = 1_000_000) -> Da
 
     q = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
     q.awaitTermination()
-    if last[0] < 0:  # nothing new: the stream's own count of batches says which manifest is the last
-        done = stream.sparkSession.read.format("binaryFile").load(f"{path}/manifest/batch=*/_SUCCESS").select(F.max(F.regexp_extract("path", r"batch=(\d+)/", 1).cast("int"))).first()[0]
-        last[0] = -1 if done is None else done
+    if last[0] < 0:  # nothing new: the last manifest is that of an earlier run
+        last[0] = store.last()
     return store.edges(last[0])
