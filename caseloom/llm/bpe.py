@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import keyed, text_blocks
+from caseloom.llm.common import frugal, keyed, text_blocks
 
 #: Words encoded by the library at a time, and bytes of text whose words are tabled at a time.
 WORDS, BLOCK = 20_000, 16 << 20
@@ -91,7 +91,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 out = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), out], ["doc_id", "ids"])
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -127,4 +127,4 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(frugal(run), schema)

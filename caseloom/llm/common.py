@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -79,6 +80,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def frugal(run):
+    """``run``, a function of batches; what it has freed goes back to the machine when it ends, since its worker waits for the next task holding it."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, size: int):
     """Slices of an Arrow batch with about ``size`` bytes of text each, so that a task's memory does not follow its batches."""
     total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))

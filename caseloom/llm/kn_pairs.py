@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import text_blocks
+from caseloom.llm.common import frugal, text_blocks
 from caseloom.llm.kn_words import BEGIN, MIXER, word_keys
 
 U = np.uint64
@@ -150,7 +150,7 @@ def frequent_words(texts: DataFrame, most: int = RARE - 1, least: int = WORD_PLA
             fit = pc.and_(pc.and_(pc.greater(size, 0), pc.less_equal(size, WORD_BYTES)), pc.greater_equal(n, least))
             yield pa.RecordBatch.from_arrays([word.filter(fit), n.filter(fit)], ["word", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = texts.select("text").mapInArrow(frugal(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
 
 
@@ -301,7 +301,7 @@ def word_counts(texts: DataFrame, spelling, bits: int = PART_BITS) -> DataFrame:
         return pa.table([t.column("part").slice(0, 1).combine_chunks(), *[[x] for x in of_counts], [packed(steps(key), c, steps(v), w, q, m)]], names)
 
     schema = "part long, n1 long, n2 long, n3 long, n4 long, payload binary"
-    return texts.select("text").mapInArrow(count, DEALT).groupBy("part").applyInArrow(merge, schema)
+    return texts.select("text").mapInArrow(frugal(count), DEALT).groupBy("part").applyInArrow(merge, schema)
 
 
 def first_words(counts: DataFrame) -> DataFrame:
@@ -474,7 +474,7 @@ def score(docs: DataFrame, counts: DataFrame, spelling, bits: int = PART_BITS, m
             logp[np.cumsum(doc, dtype=np.uint16)] += value
         return own.set_column(len(own.column_names) - 1, "logp", pa.array(logp))
 
-    sent = docs.select(*[f.name for f in kept], "text").mapInArrow(send, DEALT)
+    sent = docs.select(*[f.name for f in kept], "text").mapInArrow(frugal(send), DEALT)
     sums = sent.groupBy("part").cogroup(counts.select("part", "payload").groupBy("part")).applyInArrow(look_up, DEALT)
     summed = sums.groupBy("block").applyInArrow(add_up, schema)
     return summed.select(*[f.name for f in kept], "n", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"))

@@ -31,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import fresh_names, staged, text_blocks
+from caseloom.llm.common import fresh_names, frugal, staged, text_blocks
 from caseloom.llm.kn_pairs import Frequent, discounts_of, frequent_words, part_bits, score, word_counts
 from caseloom.llm.kn_words import Words, keys_of, word_keys
 
 ORDER, SHARD_ROWS, QUANTILE, SLACK, LEAST_DOCS, SHORT_CHARS = 5, 4_000_000, 0.995, 1.0, 30, 80
 BROADCAST_IDS = 2_000_000
 #: Bytes of text whose words are tabled at a time.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -82,7 +82,7 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
                 grams = np.ascontiguousarray(w.points[at_first[:, None] + np.arange(1 - k, 1)]).view(f"<U{k}").ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(grams.tolist(), pa.string()), pa.array(np.bincount(inverse, weight[at]).astype(np.int64))], ["gram", "c"])
 
-    return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(frugal(run), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
