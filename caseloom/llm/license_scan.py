@@ -3,13 +3,13 @@
 Every rolling word k-gram of a document is joined to the places of that k-gram in the license
 templates (a fixed table, far below any broadcast bound). A hit votes for its diagonal: document
 position minus template position. Base phrases need the votes of their whole diagonal. For a passage
-each voted diagonal is merged with its neighbours, at most ``max_gap`` words to either side, so that
-inserted or lost words do not split a match; hits further away never enter it, so that what else a text
-repeats cannot swell it. A merged span is verified by the longest run of its hits that goes forward in
-both the text and the template: that run has to have ``min_share`` of the template's k-grams.
+the hits that follow each other on a diagonal are a run; runs of ``min_run`` hits or more are merged with runs of
+neighbouring diagonals that go on after them, at most ``max_gap`` words later in the text and in the template, so that words that
+were put in, lost or replaced do not split a match, however far they move its diagonal. Of all chains of runs the best one that ends in each run is
+taken, which verifies the order of the span; it has to have ``min_share`` of the template's k-grams.
 
-The join compares the words themselves, so every vote is a real match of k words. Merging holds at
-most (2 * max_gap + 1) hits per k-gram of a template at a time, however long a text is.
+The join compares the words themselves, so every vote is a real match of k words. Runs are chained only with those of their
+neighbourhood: a text is cut where it has no run of the template for ``max_gap`` words.
 
 Defined cases: null or wordless text has no places and score 0; a repeated document row gets its
 result once per row; an empty table gives an empty result; other columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from caseloom.llm.common import ascii_lower, keyed, plain_words, same_document, staged
 from caseloom.llm.license_texts import BASE_PHRASES, PASSAGES
 
-K, MIN_SHARE, MAX_GAP = 2, 0.85, 3
+K, MIN_SHARE, MAX_GAP, MIN_RUN = 2, 0.85, 20, 2
 DOC = ["doc_id", "text_key"]
 
 
@@ -68,17 +68,16 @@ def least(min_share: float) -> Column:
     return F.ceil(F.col("n_grams") * min_share - 1e-9)
 
 
-def longest_run(votes: Column) -> Column:
-    """The longest run of hits (tpos, pos) that rises in both: the smallest last position of a run of each length is kept."""
-    in_order = F.array_sort(F.transform(votes, lambda v: F.struct(v["tpos"].alias("tpos"), (-v["pos"]).alias("back"))))
-    rising = F.aggregate(
-        F.transform(in_order, lambda v: -v["back"]),
-        F.array().cast("array<int>"),
-        lambda last, x: F.concat(
-            F.filter(last, lambda y: y < x), F.array(x), F.slice(F.filter(last, lambda y: y >= x), 2, F.size(last) + 1)
-        ),
-    )
-    return F.size(rising)
+def best_chains(runs: Column, gap: int) -> Column:
+    """For each run (s, e, t, u: its first and next place in the text and in the template), in order of s, the best chain that ends with it: its hits (n) and first place (a)."""
+
+    def add(done, x):
+        before = F.filter(done, lambda y: (y["e"] <= x["s"]) & (y["u"] <= x["t"]) & (x["s"] - y["e"] <= gap) & (x["t"] - y["u"] <= gap))
+        best = F.array_max(F.transform(before, lambda y: F.struct(y["n"], (-y["a"]).alias("back"))))
+        n = x["e"] - x["s"] + F.coalesce(best["n"], F.lit(0))
+        return F.concat(done, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), x["u"].alias("u"), n.alias("n"), F.coalesce(-best["back"], x["s"]).alias("a"))))
+
+    return F.aggregate(runs, F.array().cast("array<struct<s:int,e:int,t:int,u:int,n:int,a:int>>"), add)
 
 
 def base_matches(hit: DataFrame, k: int = K) -> DataFrame:
@@ -89,19 +88,23 @@ def base_matches(hit: DataFrame, k: int = K) -> DataFrame:
     return whole.select(*DOC, F.lit(True).alias("base"), "label", "start", end, F.lit(1.0).alias("share"))
 
 
-def passage_matches(hit: DataFrame, min_share: float = MIN_SHARE, max_gap: int = MAX_GAP, k: int = K) -> DataFrame:
+def passage_matches(hit: DataFrame, min_share: float = MIN_SHARE, max_gap: int = MAX_GAP, k: int = K, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, text_key, base, label, start, end, share): each verified span of a passage."""
-    voted = hit.filter(~F.col("exact")).groupBy(*DOC, "label", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-    voted = voted.agg(F.collect_list(F.struct("tpos", "pos")).alias("votes"), F.count("*").alias("n"))
+    one, gap = [*DOC, "label", "n_grams"], max_gap + k - 1  # k-grams without a hit around so many words
+    # All that follows is within a document and label: one shuffle.
+    voted = hit.filter(~F.col("exact")).select(*one, "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diagonal")).repartition(*one)
+    on = Window.partitionBy(*one, "diagonal").orderBy("pos")
+    run = voted.withColumn("first", F.col("pos") - F.row_number().over(on)).groupBy(*one, "diagonal", "first")
+    run = run.agg(F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"), F.min("tpos").alias("t"), (F.max("tpos") + 1).alias("u")).filter(F.col("e") - F.col("s") >= min_run)
+    order = Window.partitionBy(*one).orderBy("s", "t")
+    apart = F.coalesce(F.col("s") - F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)) > gap, F.lit(True)).cast("int")
+    run = run.withColumn("apart", apart).withColumn("block", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = run.groupBy(*one, "block").agg(F.sum(F.col("e") - F.col("s")).alias("votes"), F.sort_array(F.collect_list(F.struct("s", "t", "e", "u"))).alias("runs"))
+    blocks = blocks.filter(F.col("votes") >= least(min_share))
+    merged = blocks.select(*one, F.inline(best_chains(F.col("runs"), gap))).filter(F.col("n") >= least(min_share))
+    merged = merged.select(*DOC, "label", F.col("a").alias("start"), (F.col("e") + k - 1).alias("end"), (F.col("n") / F.col("n_grams")).alias("share"))
     one = Window.partitionBy(*DOC, "label")
-    near = one.orderBy("diagonal").rangeBetween(-max_gap, max_gap)
-    merged = voted.withColumn("reach", F.sum("n").over(near)).withColumn("around", F.flatten(F.collect_list("votes").over(near)))
-    merged = merged.filter(F.col("reach") >= least(min_share)).withColumn("run", longest_run(F.col("around"))).filter(F.col("run") >= least(min_share))
-    places = F.transform("around", lambda v: v["pos"])
-    merged = merged.select(
-        *DOC, "label", F.array_min(places).alias("start"), (F.array_max(places) + k).alias("end"), (F.col("run") / F.col("n_grams")).alias("share")
-    )
-    # Diagonals of one match each find it: spans that overlap are one.
+    # Several runs may each end a chain that is long enough: spans that overlap are one.
     order = one.orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int")

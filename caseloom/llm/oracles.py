@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from caseloom.llm.license_scan import K, MAX_GAP, MIN_RUN, MIN_SHARE
 from caseloom.llm.license_texts import BASE_PHRASES, PASSAGES
 from caseloom.llm.quality_rules import STOP_WORDS
 from caseloom.llm.url_filter import LIMIT, RHO_MAX, RHO_MIN, RHO_UNKNOWN, TWO_LABELS, Z
@@ -85,13 +86,11 @@ grams AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SEL
 t(gram, label, exact, tpos, n) AS (VALUES {_template_rows()}),
 hit AS (SELECT DISTINCT doc_id, label, exact, n, pos, tpos FROM grams JOIN t USING (gram)),
 base AS (SELECT doc_id, true AS base, label, pos - tpos AS s, 1.0::DOUBLE AS share FROM hit WHERE exact GROUP BY doc_id, label, n, pos - tpos HAVING count(*) = n),
-centre AS (SELECT DISTINCT doc_id, label, n, pos - tpos AS c FROM hit WHERE NOT exact),
-band AS (SELECT c.doc_id, c.label, c.n, c.c, h.pos, h.tpos FROM centre c JOIN hit h ON c.doc_id IS NOT DISTINCT FROM h.doc_id AND c.label = h.label AND NOT h.exact AND h.pos - h.tpos BETWEEN c.c - 3 AND c.c + 3),
-likely AS (SELECT doc_id, label, c FROM band GROUP BY doc_id, label, n, c HAVING count(DISTINCT tpos) >= 0.85 * n - 1e-9),
-near AS (SELECT b.* FROM band b SEMI JOIN likely l ON b.doc_id IS NOT DISTINCT FROM l.doc_id AND b.label = l.label AND b.c = l.c),
-chain AS (SELECT doc_id, label, n, c, pos, tpos, 1 AS links FROM near UNION
-  SELECT x.doc_id, x.label, x.n, x.c, y.pos, y.tpos, x.links + 1 FROM chain x JOIN near y ON x.doc_id IS NOT DISTINCT FROM y.doc_id AND x.label = y.label AND x.c = y.c AND y.pos > x.pos AND y.tpos > x.tpos),
-p AS (SELECT doc_id, false AS base, label, NULL::BIGINT AS s, max(links)::DOUBLE / n AS share FROM chain GROUP BY doc_id, label, n, c HAVING max(links) >= 0.85 * n - 1e-9),
+seq AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, label, n, pos - tpos ORDER BY pos) AS first FROM hit WHERE NOT exact),
+run AS (SELECT doc_id, label, n, min(pos) AS s, max(pos) + 1 AS e, min(tpos) AS t, max(tpos) + 1 AS u FROM seq GROUP BY doc_id, label, n, pos - tpos, first HAVING count(*) >= {MIN_RUN}),
+chain AS (SELECT *, e - s AS links FROM run UNION
+  SELECT y.*, x.links + y.e - y.s FROM chain x JOIN run y ON x.doc_id IS NOT DISTINCT FROM y.doc_id AND x.label = y.label AND x.e <= y.s AND x.u <= y.t AND y.s - x.e <= {MAX_GAP + K - 1} AND y.t - x.u <= {MAX_GAP + K - 1}),
+p AS (SELECT doc_id, false AS base, label, NULL::BIGINT AS s, max(links)::DOUBLE / n AS share FROM chain GROUP BY doc_id, label, n HAVING max(links) >= {MIN_SHARE} * n - 1e-9),
 a AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word, list_sort(list(DISTINCT label) FILTER (base)) AS bl, list_sort(list(DISTINCT label)) AS ls, max(share) AS score
   FROM (SELECT * FROM base UNION ALL SELECT * FROM p) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(ls, ','), '') AS labels, coalesce(score, 0)::DOUBLE AS score

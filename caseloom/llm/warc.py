@@ -22,6 +22,7 @@ it has no other); an empty table gives an empty index; other columns are ignored
 from __future__ import annotations
 
 import zlib
+from urllib.parse import quote, unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -56,9 +57,10 @@ def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def record(page_id, url: str, digest: str, payload: bytes | None, refers_to=None) -> bytes:
     """One record as a gzip member; without a payload it is a revisit."""
-    head = ["WARC/1.1", "WARC-Type: " + ("revisit" if payload is None else "response"), f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Payload-Digest: sha1:{digest}"]
+    urn = lambda x: "<urn:page>" if x is None else f"<urn:page:{quote(str(x), safe='')}>"
+    head = ["WARC/1.1", "WARC-Type: " + ("revisit" if payload is None else "response"), f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if payload is None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {urn(refers_to)}"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http + (payload or b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -66,6 +68,11 @@ def record(page_id, url: str, digest: str, payload: bytes | None, refers_to=None
     return coder.compress("\r\n".join(h.replace("\r", " ").replace("\n", " ") for h in head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + coder.flush()
 
 
+def page_of(urn: str | None) -> str | None:
+    """The page id that a record names, as text; None for a null id or no name."""
+    return unquote(urn[10:-1]) if urn and urn != "<urn:page>" else None
+
+
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of one record."""
     raw = zlib.decompress(member, 31)
@@ -184,7 +191,7 @@ def _copies(pages: DataFrame, further: DataFrame, **cols) -> DataFrame:
 
 
 def read_records(selected: DataFrame, files: DataFrame, gap: int = GAP, max_range: int = MAX_RANGE, tasks: int | None = None) -> DataFrame:
-    """(archive, offset, record_type, page, digest, payload) of the selected index rows, by merged byte ranges.
+    """(archive, offset, record_type, page, digest, refers_to, payload) of the selected index rows, all from the archives, by merged byte ranges.
 
     ``tasks`` is how many tasks read; if it is not given, one for TASK_BYTES of the selected records, and the session's
     shuffle partitions at least, since ranges are a few bytes before they are read and megabytes after.
@@ -201,8 +208,6 @@ def read_records(selected: DataFrame, files: DataFrame, gap: int = GAP, max_rang
     ranges = rows.groupBy("archive", "file", "range").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("cuts"))
 
     def run(batches):
-        from urllib.parse import unquote, urlparse
-
         from pyarrow import fs
 
         for b in batches:
@@ -215,25 +220,26 @@ def read_records(selected: DataFrame, files: DataFrame, gap: int = GAP, max_rang
                 out = []
                 for c in cuts:
                     fields, payload = parse(block[c["offset"] - start : c["offset"] - start + c["length"]])
-                    out.append((archive, c["offset"], fields["WARC-Type"], fields["WARC-Record-ID"][10:-1], fields["WARC-Payload-Digest"][5:], payload))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()))], ["archive", "offset", "record_type", "page", "digest", "payload"])
+                    out.append((archive, c["offset"], fields["WARC-Type"], page_of(fields["WARC-Record-ID"]), fields["WARC-Payload-Digest"][5:], page_of(fields.get("WARC-Refers-To")), payload))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()))], ["archive", "offset", "record_type", "page", "digest", "refers_to", "payload"])
 
-    return ranges.repartition(max(1, tasks), "archive", "range").mapInArrow(run, "archive int, offset long, record_type string, page string, digest string, payload binary")
+    return ranges.repartition(max(1, tasks), "archive", "range").mapInArrow(run, "archive int, offset long, record_type string, page string, digest string, refers_to string, payload binary")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, **cols) -> DataFrame:
     """Writes the pages as archives and reads every record back: per record page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    What is returned of a record comes from the archive; a revisit has its payload's size from the response it refers to.
+    All that is returned of a record comes from the archive; a revisit has its payload's size from the response it refers to.
     """
     index = build_index(pages, min_bytes, **cols)
     files = write_archives(pages, index, **cols)
-    read = read_records(index, files).select("archive", "offset", "record_type", "digest", F.octet_length("payload").cast("long").alias("got_bytes"), base32_of_hex(F.sha1("payload")).alias("got_digest"))
-    back = index.select("page_id", "refers_to", "archive", "offset").join(read, ["archive", "offset"])
+    kind = index.schema["page_id"].dataType
+    back = read_records(index, files).select(F.col("page").cast(kind).alias("page_id"), F.col("refers_to").cast(kind).alias("refers_to"), "record_type", "digest", F.octet_length("payload").cast("long").alias("got_bytes"), base32_of_hex(F.sha1("payload")).alias("got_digest"))
+    back = staged(back, "records")
     whole = back.filter("record_type = 'response'")
     again = back.filter("record_type = 'revisit'").select("page_id", "refers_to", "record_type", "digest")
-    target = whole.groupBy(F.col("page_id").alias("target"), F.col("got_digest").alias("digest")).agg(F.max("got_bytes").alias("got_bytes"))
-    again = again.join(target, (again["refers_to"] == target["target"]) & (again["digest"] == target["digest"]), "left")
+    target = whole.groupBy(F.col("page_id").alias("target"), F.col("got_digest").alias("digest")).agg(F.max("got_bytes").alias("got_bytes")).withColumnRenamed("digest", "target_digest")
+    again = again.join(target, (F.col("refers_to") == F.col("target")) & (F.col("digest") == F.col("target_digest")), "left")
     return whole.select("page_id", F.col("got_bytes").alias("payload_bytes"), F.col("got_digest").alias("payload_digest"), "record_type", "refers_to").unionAll(
-        again.select("page_id", "got_bytes", target["digest"], "record_type", "refers_to")
+        again.select("page_id", "got_bytes", "digest", "record_type", "refers_to")
     )

@@ -1,4 +1,4 @@
-"""License labels against a plain Python version: every centre diagonal, the hits near it, the longest chain by dynamic programming."""
+"""License labels against a plain Python version: runs on diagonals, and the best chain of runs by dynamic programming."""
 
 import random
 
@@ -7,14 +7,18 @@ from caseloom.llm.license_texts import PASSAGES
 from tests.llm import brute
 
 
-def longest_chain(points):
-    points, best = sorted(points), {}
-    for p in points:
-        best[p] = 1 + max((n for q, n in best.items() if q[0] < p[0] and q[1] < p[1]), default=0)
-    return max(best.values(), default=0)
+def runs_of(hits):
+    """Hits (pos, tpos) as runs on a diagonal: (s, t, length)."""
+    out = []
+    for p, q in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+        if out and out[-1][0] - out[-1][1] == p - q and out[-1][0] + out[-1][2] == p:
+            out[-1] = (*out[-1][:2], out[-1][2] + 1)
+        else:
+            out.append((p, q, 1))
+    return sorted(x for x in out if x[2] >= 2)
 
 
-def labels_of(text, share=0.85, gap=3):
+def labels_of(text, share=0.85, gap=21):
     w = brute.PLAIN.findall((text or "").translate(brute.UP))
     found = {}
     for label, passage in PASSAGES:
@@ -22,13 +26,13 @@ def labels_of(text, share=0.85, gap=3):
         at = {}
         for i in range(len(t) - 1):
             at.setdefault(tuple(t[i : i + 2]), []).append(i)
-        hits = [(pos, tpos) for pos in range(len(w) - 1) for tpos in at.get(tuple(w[pos : pos + 2]), [])]
-        for centre in {p - q for p, q in hits}:
-            near = [(p, q) for p, q in hits if abs(p - q - centre) <= gap]
-            if len(near) >= share * (len(t) - 1) - 1e-9:
-                n = longest_chain(near) / (len(t) - 1)
-                if n >= share - 1e-9:
-                    found[label] = max(n, found.get(label, 0))
+        runs, best = runs_of([(pos, tpos) for pos in range(len(w) - 1) for tpos in at.get(tuple(w[pos : pos + 2]), [])]), {}
+        for x in runs:
+            before = [n for y, n in best.items() if 0 <= x[0] - y[0] - y[2] <= gap and 0 <= x[1] - y[1] - y[2] <= gap]
+            best[x] = x[2] + max(before, default=0)
+        n = max(best.values(), default=0) / (len(t) - 1)
+        if n >= share - 1e-9:
+            found[label] = n
     return found
 
 
@@ -74,3 +78,15 @@ def test_labels_match_plain_python(spark):
     assert "cc-by-4.0" in first["labels"]
     again = next(r for r in got if r["doc_id"] == 1)
     assert sum(s["label"] == "apache-2.0" for s in again["spans"]) == 30
+
+
+def test_words_put_into_a_license_do_not_hide_it(spark):
+    """A holder's name of up to twenty words in the middle, a lost line, and words replaced all over."""
+    w = dict(PASSAGES)["mit-text"].split()
+    half = len(w) // 2
+    made = [w[:half] + ["name"] * k + w[half:] for k in (1, 4, 8, 15, 20)] + [w[:half] + w[half + 9 :], [x if i % 31 else "zz" for i, x in enumerate(w)]]
+    rows = [(i, " ".join(["intro"] * 9 + x + ["end"])) for i, x in enumerate(made)] + [(50, " ".join(w[:half] + ["name"] * 300 + w[half:])), (51, " ".join(w[half:] + w[:half]))]
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(made):
+        assert got[i]["labels"] == ["mit-text"] and got[i]["spans"][0]["start"] == 9 + (i == 6) and got[i]["spans"][0]["end"] == 9 + len(x), i
+    assert got[50]["labels"] == [] and got[51]["labels"] == []
