@@ -9,35 +9,70 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """Chunks of a text: after the last '.' or newline if that is past the middle, the next one ``overlap`` earlier."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = start + size
-        piece = text[start:end]
-        if end < n:
-            stop = max(piece.rfind("."), piece.rfind("\n"))
-            if stop > size // 2:
-                piece = piece[: stop + 1]
-                end = start + stop + 1
-        if piece.strip():
-            out.append((len(out), piece.strip()))
-        start = end - overlap
-        if end >= n and start >= n - overlap:
-            break
-    return out
+#: Characters whose cuts are found at a time.
+CHARS = 1 << 20
+
+
+def next_starts(points: np.ndarray, ends: np.ndarray, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stop, start): for every place of some texts in one row, where a chunk that begins there stops, and where the next one begins.
+
+    ``points`` are code points, ``ends`` the end of each place's text. A chunk stops after the last '.' or newline of its ``size``
+    characters if that is past their middle, and at their end if not; the next one begins ``overlap`` before that. The last chunk
+    of a text is followed by the row's end, which follows itself.
+    """
+    n = len(points)
+    at = np.arange(n)
+    marks = np.maximum.accumulate(np.where((points == ord(".")) | (points == ord("\n")), at, -1))
+    full = np.minimum(at + size, ends)
+    mark = marks[full - 1]
+    stop = np.where((full < ends) & (mark - at > size // 2), mark + 1, full)
+    start = np.append(np.where(full < ends, stop - overlap, n), n)
+    return stop, start
+
+
+def chunk_starts(begins: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """All places that are reached from ``begins``, by pointer jumping: each round doubles how far the known ones reach."""
+    n = len(start) - 1
+    reached = np.zeros(n + 1, bool)
+    reached[begins] = True
+    while True:
+        before = reached.sum()
+        reached[start[np.flatnonzero(reached)]] = True
+        if reached.sum() == before or (start == n).all():
+            return np.flatnonzero(reached[:n])
+        start = start[start]
 
 
 def chunks(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """(doc_id, chunk_index, text) of (doc_id, text); the cut points depend on each other, so a task walks each text."""
+    """(doc_id, chunk_index, text) of (doc_id, text): white space around a chunk goes, and chunks that are nothing else.
+
+    Each cut depends on the one before. All texts of a block are cut together: where the next chunk would begin is computed for
+    every place at once, and the places that are begun at are then found by pointer jumping.
+    """
     schema = T.StructType([docs.schema["doc_id"], T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())])
 
     def run(batches):
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if found := cut_points(text or "", size, overlap):
-                    index, texts = zip(*found)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), b.column(0).type), pa.array(index, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "chunk_index", "text"])
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
+            total, first = np.cumsum(lengths), 0
+            while first < len(texts):
+                base = total[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(total, base + CHARS, "right")))
+                sizes = lengths[first:last]
+                row = "".join([t or "" for t in texts[first:last]])
+                if row:
+                    points = np.frombuffer(row.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    bounds = np.cumsum(sizes)
+                    stop, start = next_starts(points, np.repeat(bounds, sizes), size, overlap)
+                    begins = chunk_starts((bounds - sizes)[sizes > 0], start)
+                    doc = np.searchsorted(bounds, begins, "right")
+                    found = [(i, row[x:y].strip()) for i, x, y in zip(doc.tolist(), begins.tolist(), stop[begins].tolist(), strict=True)]
+                    found = [x for x in found if x[1]]
+                    place = np.array([x[0] for x in found], np.int64)
+                    index = np.arange(len(place)) - np.searchsorted(place, place)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(place + first)), pa.array(index.astype(np.int32)), pa.array([x[1] for x in found], pa.string())], ["doc_id", "chunk_index", "text"])
+                first = last
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -10,9 +10,14 @@ from caseloom.plans.projection import SQL, table
 from caseloom.plans.registry import register
 
 
-@register("x1_chunks")
+@register("x1_chunks", """WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+cut AS (SELECT doc_id, text, n, 0::BIGINT AS start, 0::BIGINT AS k FROM d
+UNION ALL SELECT doc_id, text, n, start + CASE WHEN mark > 251 THEN mark ELSE 500 END - 50, k + 1 FROM (SELECT *, length(regexp_extract(substr(text, start + 1, 500), '(?s)^.*[.\n]')) AS mark FROM cut WHERE start + 500 < n)),
+piece AS (SELECT doc_id, k, CASE WHEN start + 500 < n AND mark > 251 THEN substr(text, start + 1, mark) ELSE substr(text, start + 1, 500) END AS piece FROM (SELECT *, length(regexp_extract(substr(text, start + 1, 500), '(?s)^.*[.\n]')) AS mark FROM cut)),
+trimmed AS (SELECT doc_id, k, trim(piece, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS piece FROM piece)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, piece AS text FROM trimmed WHERE piece <> ''""")
 def chunks(spark, d):
-    """Chunks cut at sentence ends (no SQL: each cut depends on the one before)."""
+    """Chunks cut at sentence ends."""
     return x.chunks(table(spark, d, "documents"))
 
 
