@@ -36,32 +36,51 @@ def _highest_before(e: DataFrame, rounds: int) -> DataFrame:
     raise RuntimeError(f"colors did not settle in {rounds} rounds")
 
 
+def _reached(e: DataFrame, front: DataFrame, rounds: int, back: bool = False) -> DataFrame:
+    """(v, color): what front(v, color) reaches over edges(src, dst), or with ``back`` what reaches it; each color on its own edges only."""
+    near, far = ("dst", "src") if back else ("src", "dst")
+    found = front = staged(front)
+    for _ in range(rounds):
+        new = front.withColumnRenamed("v", near).join(e, near).select(F.col(far).alias("v"), "color").distinct()
+        front = staged(new.join(found.select("v"), "v", "left_anti"))
+        if front.isEmpty():
+            return staged(found)
+        found = found.unionAll(front)
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _around_pivot(e: DataFrame, rounds: int) -> DataFrame:
+    """(v, color): the component of the vertex with most edges in and out, which is the large one if there is a large one."""
+    ends = e.select(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(e.select(F.col("dst").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    pivot = ends.groupBy("v").agg((F.sum("o") * F.sum("i")).alias("n")).orderBy(F.desc("n"), "v").limit(1).select("v", F.col("v").alias("color"))
+    ahead = _reached(e, pivot, rounds)
+    return staged(_reached(e, pivot, rounds, back=True).join(ahead.select("v"), "v", "left_semi"))
+
+
+def _colored(e: DataFrame, rounds: int) -> DataFrame:
+    """(v, color): of every color the component of the vertex that it is named after."""
+    color = _highest_before(e, rounds)
+    a, b = (color.select(F.col("v").alias(c), F.col("color").alias(f"{c}_color")) for c in ("src", "dst"))
+    inside = staged(e.join(a, "src").join(b, "dst").filter("src_color = dst_color").select("src", "dst"))
+    return _reached(inside, color.filter("v = color"), rounds, back=True)
+
+
 def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(v_id, component): of every vertex of edges(src, dst) the smallest vertex that it reaches and is reached from.
 
-    Vertices outside of every cycle are trimmed off. Each other vertex takes the largest vertex before it as its color; the
-    vertices of a color that reach that vertex are a component, and the edges that are left between others go round again.
+    Vertices outside of every cycle are trimmed off. The component of the best linked vertex comes next, by what it reaches and what reaches it.
+    After that each vertex takes the largest vertex before it as its color; the vertices of a color that reach that vertex are a
+    component, and the edges that are left between others go round again.
     """
     e = all_edges = staged(edges.select("src", "dst").filter("src <> dst").distinct())
     found = None
-    for _ in range(rounds):
+    for n in range(rounds):
         e = _trimmed(e, rounds)
         if e.isEmpty():
             break
-        color = _highest_before(e, rounds)
-        a, b = (color.select(F.col("v").alias(c), F.col("color").alias(f"{c}_color")) for c in ("src", "dst"))
-        inside = staged(e.join(a, "src").join(b, "dst").filter("src_color = dst_color").select("src", "dst"))
-        front = back = staged(color.filter("v = color"))
-        for _ in range(rounds):
-            front = staged(front.select(F.col("v").alias("dst"), "color").join(inside, "dst").select(F.col("src").alias("v"), "color").distinct().join(back.select("v"), "v", "left_anti"))
-            if front.isEmpty():
-                break
-            back = back.unionAll(front)
-        else:
-            raise RuntimeError(f"components did not settle in {rounds} rounds")
-        back = staged(back)
-        found = back if found is None else found.unionAll(back)
-        gone = back.select(F.col("v").alias("src"))
+        part = _colored(e, rounds) if n else _around_pivot(e, rounds)
+        found = part if found is None else found.unionAll(part)
+        gone = part.select(F.col("v").alias("src"))
         e = staged(e.join(gone, "src", "left_anti").join(gone.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst"))
     vertices = all_edges.select(F.explode(F.array("src", "dst")).alias("v_id")).distinct()
     if found is None:

@@ -64,6 +64,12 @@ def shortest(edges: DataFrame, pairs: DataFrame, hops: int = 6) -> DataFrame:
     return met.groupBy("a", "b").agg(least).select("a", "b", "x.hops", "x.path")
 
 
+def from_seeds(edges: DataFrame, seeds: DataFrame, hops: int = 6) -> DataFrame:
+    """(a, b, hops, path) from each of seeds(seed) to every vertex within ``hops`` undirected steps, of equal paths the smallest."""
+    step = staged(undirected(edges).select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
+    return half_paths(step, seeds, hops).filter("hops > 0").select(F.col("seed").alias("a"), F.col("at").alias("b"), "hops", "path")
+
+
 def walks(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, at, via, steps) ends of undirected walks of exactly ``depth`` edges that repeat no edge.
 

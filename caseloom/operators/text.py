@@ -95,36 +95,37 @@ def entity_text(label: Column, props: Column, names: list[str]) -> Column:
     return F.concat_ws(", ", F.concat(F.lit("["), label, F.lit("]")), *parts)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: tuple[int, int] = (8192, 16_384)) -> DataFrame:
     """(query_id, vec_id, score, rank): exact top k by cosine of every query against every vector.
 
-    Both sides are cut into blocks; each pair of blocks is one matrix product, and only its best k per
-    query go on, so the rows shuffled are queries x blocks x k, never queries x vectors.
+    Both sides are dealt into parts of about ``block`` rows, queries and vectors; each pair of parts is one group of a cogroup and
+    one matrix product, and only its best k per query go on, so what is shuffled afterwards is queries x parts x k rows.
     """
-    def blocks(df, a, b):
-        n = max(1, -(-df.count() // block))
-        df = df.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(a), F.struct("vec_id", "embedding").alias("row"))
-        return df.groupBy(a).agg(F.collect_list("row").alias(b))
-
-    pairs = blocks(queries, "q", "qs").crossJoin(blocks(vectors, "v", "vs"))
-
-    def unit(rows):
-        m = np.array([r["embedding"] for r in rows], np.float64)
-        return np.array([r["vec_id"] for r in rows]), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for b in batches:
-            for qs, vs in zip(b.column("qs").to_pylist(), b.column("vs").to_pylist()):
-                (qi, q), (vi, v) = unit(qs), unit(vs)
-                score = q @ v.T
-                score[qi[:, None] == vi[None, :]] = -np.inf  # not itself
-                keep = min(k, len(vi))
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                s = np.take_along_axis(score, best, 1).ravel()
-                ok = np.isfinite(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, keep)[ok]), pa.array(vi[best.ravel()][ok]), pa.array(s[ok])], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("qs", "vs").mapInArrow(run, "query_id long, vec_id long, score double")
+    nq, nv = (max(1, -(-df.count() // size)) for df, size in ((queries, block[0]), (vectors, block[1])))
+
+    def side(df, own, n_own, other, n_other):
+        part = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_own)).cast("int").alias(own)
+        return df.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"), part, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)).groupBy("q_part", "v_part")
+
+    def unit(t):
+        m = np.stack(t.column("e").to_numpy()) if t.num_rows else np.zeros((0, 1))
+        return t.column("vec_id").to_numpy(), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def score(_, a: pa.Table, b: pa.Table) -> pa.Table:
+        (qi, q), (vi, v) = unit(a), unit(b)
+        if not len(qi) or not len(vi):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        keep, out = min(k, len(vi)), []
+        for at in range(0, len(qi), 512):
+            s = q[at : at + 512] @ v.T
+            s[qi[at : at + 512, None] == vi[None, :]] = -np.inf  # not itself
+            best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+            out.append((np.repeat(qi[at : at + 512], keep), vi[best.ravel()], np.take_along_axis(s, best, 1).ravel()))
+        ids, found, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        ok = np.isfinite(s)
+        return pa.table({"query_id": ids[ok], "vec_id": found[ok], "score": s[ok]})
+
+    found = side(queries, "q_part", nq, "v_part", nv).cogroup(side(vectors, "v_part", nv, "q_part", nq)).applyInArrow(score, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

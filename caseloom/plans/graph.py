@@ -45,7 +45,6 @@ def undirected(spark, d):
     return g.undirected(p.edges(spark, d, "has_account")).drop("label")
 
 
-PAIRS_SQL = "pairs AS (SELECT 'vt_psn:' || c_custkey::VARCHAR AS a, 'vt_psn:' || (c_custkey + 10)::VARCHAR AS b FROM customer WHERE c_custkey % 100 < 10)"
 LINKS_SQL = f"{p.edges_sql('has_account')}, step AS (SELECT src AS pt, dst AS nxt FROM edges UNION SELECT dst, src FROM edges UNION SELECT 'vt_bacnt:' || s_suppkey::VARCHAR, 'vt_bacnt:' || (s_suppkey + 1)::VARCHAR FROM supplier UNION SELECT 'vt_bacnt:' || (s_suppkey + 1)::VARCHAR, 'vt_bacnt:' || s_suppkey::VARCHAR FROM supplier)"
 
 
@@ -56,22 +55,36 @@ def account_graph(spark, d):
     return p.edges(spark, d, "has_account").unionAll(near)
 
 
-@register("g18_shortest_paths", f"""WITH RECURSIVE {LINKS_SQL}, {PAIRS_SQL}, walk AS (SELECT a, b, a AS pt, 0 AS hops FROM pairs UNION SELECT a, b, nxt, hops + 1 FROM walk JOIN step USING (pt) WHERE hops < 6 AND pt <> b)
-SELECT a, b, min(hops) AS hops FROM walk WHERE pt = b GROUP BY a, b""")
+def _levels_sql(hops):
+    """Rounds of shortest walks from the seeds, each with the smallest path to every vertex that no earlier round reached."""
+    out = ["l0 AS (SELECT 'vt_psn:' || c_custkey::VARCHAR AS a, 'vt_psn:' || c_custkey::VARCHAR AS pt, ['vt_psn:' || c_custkey::VARCHAR] AS path FROM customer WHERE c_custkey % 100 = 0)"]
+    for n in range(1, hops + 1):
+        seen = " UNION ALL ".join(f"SELECT a, pt FROM l{k}" for k in range(n))
+        out.append(f"l{n} AS (SELECT a, nxt AS pt, min(list_append(path, nxt)) AS path FROM l{n - 1} JOIN step USING (pt) WHERE (a, nxt) NOT IN ({seen}) GROUP BY a, nxt)")
+    found = " UNION ALL ".join(f"SELECT a, pt AS b, {n} AS hops, path FROM l{n}" for n in range(1, hops + 1))
+    return ", ".join(out) + f", found AS (SELECT * FROM ({found}) WHERE starts_with(b, 'vt_psn:'))"
+
+
+def _to_persons(spark, d):
+    """(a, b, hops, path): from every person whose number ends in 00 to all persons within six steps."""
+    seeds = table(spark, d, "customer").filter("c_custkey % 100 = 0").select(F.concat(F.lit("vt_psn:"), F.col("c_custkey").cast("string")).alias("seed"))
+    return paths.from_seeds(account_graph(spark, d), seeds, 6).filter(F.col("b").startswith("vt_psn:"))
+
+
+@register("g18_shortest_paths", f"WITH {LINKS_SQL}, {_levels_sql(6)} SELECT a, b, hops FROM found")
 def shortest_paths(spark, d):
-    """Least count of steps, up to six, between pairs of persons."""
-    k = F.col("c_custkey")
-    pairs = table(spark, d, "customer").filter("c_custkey % 100 < 10").select(F.concat(F.lit("vt_psn:"), k.cast("string")).alias("a"), F.concat(F.lit("vt_psn:"), (k + 10).cast("string")).alias("b"))
-    return paths.shortest(account_graph(spark, d), pairs).select("a", "b", "hops")
+    """Least count of steps, up to six, from every person whose number ends in 00 to all persons."""
+    return _to_persons(spark, d).select("a", "b", "hops")
 
 
-@register("g19_path_edges")
+@register("g19_path_edges", f"""WITH {LINKS_SQL}, {_levels_sql(6)}, names AS (SELECT x, y, min(label) AS label FROM (SELECT src AS x, dst AS y, label FROM edges UNION ALL SELECT dst, src, label FROM edges
+  UNION ALL SELECT 'vt_bacnt:' || s_suppkey::VARCHAR, 'vt_bacnt:' || (s_suppkey + 1)::VARCHAR, 'next_account' FROM supplier UNION ALL SELECT 'vt_bacnt:' || (s_suppkey + 1)::VARCHAR, 'vt_bacnt:' || s_suppkey::VARCHAR, 'next_account' FROM supplier) GROUP BY x, y),
+steps AS (SELECT a, b, i - 1 AS step, path[i] AS x, path[i + 1] AS y FROM (SELECT *, unnest(range(1, len(path))) AS i FROM found))
+SELECT a, b, step::INT AS step, x, y, coalesce(label, 'Same Info') AS label FROM steps LEFT JOIN names USING (x, y)""")
 def path_edges(spark, d):
-    """The paths of G18 as one row per step, with the edge's label or a virtual one (no SQL: the smallest of equal paths)."""
+    """The paths of G18, of equal ones the smallest, as one row per step, with the edge's label or a virtual one."""
     e = account_graph(spark, d)
-    k = F.col("c_custkey")
-    pairs = table(spark, d, "customer").filter("c_custkey % 100 < 10").select(F.concat(F.lit("vt_psn:"), k.cast("string")).alias("a"), F.concat(F.lit("vt_psn:"), (k + 10).cast("string")).alias("b"))
-    steps = paths.shortest(e, pairs).select("a", "b", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("x"), F.slice("path", 2, F.size("path") - 1).alias("y"))).alias("step", "s")).select("a", "b", "step", "s.x", "s.y")
+    steps = _to_persons(spark, d).select("a", "b", F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("x"), F.slice("path", 2, F.size("path") - 1).alias("y"))).alias("step", "s")).select("a", "b", "step", "s.x", "s.y")
     names = g.undirected(e).groupBy(F.col("src").alias("x"), F.col("dst").alias("y")).agg(F.min("label").alias("label"))
     return steps.join(names, ["x", "y"], "left").select("a", "b", "step", "x", "y", F.coalesce("label", F.lit("Same Info")).alias("label"))
 

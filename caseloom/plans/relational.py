@@ -72,12 +72,6 @@ def degree_centrality(spark, d):
     return out
 
 
-@register("a7_distinct_collections", cte("used_account", body="SELECT account, count(DISTINCT case_id) AS cases, array_to_string(list_sort(list(case_id::VARCHAR)), ',') AS case_list FROM used_account GROUP BY account"))
-def distinct_collections(spark, d):
-    """Distinct counts and collections."""
-    return p.used_account(spark, d).groupBy("account").agg(F.countDistinct("case_id").alias("cases"), F.array_join(F.sort_array(F.collect_set(F.col("case_id").cast("string"))), ",").alias("case_list"))
-
-
 def first_five(pairs, key, member, name):
     """The five smallest members of each key, joined; ``pairs`` has each pair once, and no more than five of a key are collected."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(member))
@@ -85,6 +79,15 @@ def first_five(pairs, key, member, name):
     return few.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias(name))
 
 
+@register("a7_distinct_collections", cte("used_account", body=""", x AS (SELECT account, case_id, row_number() OVER (PARTITION BY account ORDER BY case_id) AS r FROM used_account)
+SELECT account, count(*) AS cases, array_to_string(list(case_id ORDER BY case_id) FILTER (r <= 5), ',') AS first_cases FROM x GROUP BY account"""))
+def distinct_collections(spark, d):
+    """Distinct counts, and the five smallest of what is counted; no more of a key are ever collected."""
+    u = p.used_account(spark, d)
+    return u.groupBy("account").agg(F.count("*").alias("cases")).join(first_five(u, "account", "case_id", "first_cases"), "account")
+
+
+
 @register("a8_hub_phones", cte("calls", body="""SELECT dst AS phone, count(DISTINCT src) AS members, count(*) AS calls, array_to_string(list_sort(list(DISTINCT src))[1:5], ',') AS sample
 FROM calls GROUP BY dst HAVING count(*) >= 5 ORDER BY calls DESC, phone LIMIT 10"""))
 def hub_phones(spark, d):

@@ -14,13 +14,16 @@ from caseloom.plans.projection import SQL, table
 from caseloom.plans.registry import register
 from caseloom.plans.relational import cte
 
-# A case's evidence: accounts and phones from its lines, addresses by the customer's events, sites and files by the host of a page with the case's number.
-CASE_EDGES_SQL = f"""{SQL['used_account']}, {SQL['used_phone']}, {SQL['used_ip']}, case_edges AS (
-SELECT case_id, 'eg_used_account' AS edge, 'vt_bacnt' AS label, 'vt_bacnt:' || account::VARCHAR AS node FROM used_account WHERE account % 3 > 0
-UNION ALL SELECT case_id, 'eg_used_phone', 'vt_telno', 'vt_telno:' || phone::VARCHAR FROM used_phone WHERE phone % 4 > 0
+# A case's evidence: accounts of its returned or accepted lines, phones of its finished lines, addresses by the customer's events, sites and files by the host of
+# a page with the case's number, a file being a page that is one.
+EVIDENCE_SQL = """ev_account AS (SELECT DISTINCT l_orderkey AS case_id, l_suppkey AS account FROM lineitem WHERE l_returnflag <> 'N'),
+ev_phone AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS phone FROM lineitem WHERE l_linestatus = 'F')"""
+CASE_EDGES_SQL = f"""{EVIDENCE_SQL}, {SQL['used_ip']}, case_edges AS (
+SELECT case_id, 'eg_used_account' AS edge, 'vt_bacnt' AS label, 'vt_bacnt:' || account::VARCHAR AS node FROM ev_account
+UNION ALL SELECT case_id, 'eg_used_phone', 'vt_telno', 'vt_telno:' || phone::VARCHAR FROM ev_phone
 UNION ALL SELECT DISTINCT o_orderkey, 'used_ip', 'vt_ip', 'vt_ip:' || ip FROM orders JOIN used_ip ON o_custkey = person
 UNION ALL SELECT page_id, 'digital_trace', 'vt_site', 'vt_site:' || split_part(url, '/', 3) FROM pages
-UNION ALL SELECT page_id, 'related_to', 'vt_file', 'vt_file:' || page_id::VARCHAR FROM pages WHERE page_id % 2 = 0)"""
+UNION ALL SELECT page_id, 'related_to', 'vt_file', 'vt_file:' || page_id::VARCHAR FROM pages WHERE contains(url, '.html'))"""
 
 
 def case_edges(spark, d):
@@ -29,12 +32,14 @@ def case_edges(spark, d):
         return df.select("case_id", F.lit(edge).alias("edge"), F.lit(label).alias("label"), F.concat(F.lit(label + ":"), F.col(key).cast("string")).alias("node"))
 
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("person"))
-    pages = table(spark, d, "pages").select(F.col("page_id").alias("case_id"), F.get(F.split("url", "/"), 2).alias("site"))
-    out = some(p.used_account(spark, d).filter("account % 3 > 0"), "eg_used_account", "vt_bacnt", "account")
-    out = out.unionAll(some(p.used_phone(spark, d).filter("phone % 4 > 0"), "eg_used_phone", "vt_telno", "phone"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("case_id"), F.get(F.split("url", "/"), 2).alias("site"), F.contains("url", F.lit(".html")).alias("is_file"))
+    lines = table(spark, d, "lineitem")
+    accounts = lines.filter("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("account")).distinct()
+    phones = lines.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("phone")).distinct()
+    out = some(accounts, "eg_used_account", "vt_bacnt", "account").unionAll(some(phones, "eg_used_phone", "vt_telno", "phone"))
     out = out.unionAll(some(o.join(p.used_ip(spark, d), "person"), "used_ip", "vt_ip", "ip"))
     out = out.unionAll(some(pages, "digital_trace", "vt_site", "site"))
-    return out.unionAll(some(pages.filter("case_id % 2 = 0"), "related_to", "vt_file", "case_id"))
+    return out.unionAll(some(pages.filter("is_file"), "related_to", "vt_file", "case_id"))
 
 
 SCORES_SQL = f"""{CASE_EDGES_SQL}, {dim_sql('patterns')}, {dim_sql('pattern_edges')}, {dim_sql('pattern_optional')},
@@ -115,14 +120,14 @@ def readiness(spark, d):
     return c.readiness(case_edges(spark, d), dim(spark, "crime_evidence"))
 
 
-@register("r2_voice_phishing", f"WITH {SQL['used_account']}, {SQL['used_phone']}, a AS (SELECT case_id, 'vt_bacnt:' || account::VARCHAR AS node FROM used_account WHERE account % 3 > 0), t AS (SELECT case_id, 'vt_telno:' || phone::VARCHAR AS node FROM used_phone WHERE phone % 4 > 0) SELECT a.case_id, a.node AS account, t.node AS phone FROM a JOIN t USING (case_id)")
+@register("r2_voice_phishing", f"WITH {EVIDENCE_SQL}, a AS (SELECT case_id, 'vt_bacnt:' || account::VARCHAR AS node FROM ev_account), t AS (SELECT case_id, 'vt_telno:' || phone::VARCHAR AS node FROM ev_phone) SELECT a.case_id, a.node AS account, t.node AS phone FROM a JOIN t USING (case_id)")
 def voice_phishing(spark, d):
     """Cases with a phone and an account, one row per pair."""
     e = case_edges(spark, d)
     return e.filter("edge = 'eg_used_account'").select("case_id", F.col("node").alias("account")).join(e.filter("edge = 'eg_used_phone'").select("case_id", F.col("node").alias("phone")), "case_id")
 
 
-@register("r3_two_accounts", f"WITH {SQL['used_account']}, {SQL['used_phone']}, a AS (SELECT case_id, 'vt_bacnt:' || account::VARCHAR AS node FROM used_account WHERE account % 3 > 0), t AS (SELECT case_id, 'vt_telno:' || phone::VARCHAR AS node FROM used_phone WHERE phone % 4 > 0) SELECT a.case_id, a.node AS account, b.node AS other FROM a JOIN a b USING (case_id) WHERE a.node < b.node AND a.case_id IN (SELECT case_id FROM t)")
+@register("r3_two_accounts", f"WITH {EVIDENCE_SQL}, a AS (SELECT case_id, 'vt_bacnt:' || account::VARCHAR AS node FROM ev_account), t AS (SELECT case_id, 'vt_telno:' || phone::VARCHAR AS node FROM ev_phone) SELECT a.case_id, a.node AS account, b.node AS other FROM a JOIN a b USING (case_id) WHERE a.node < b.node AND a.case_id IN (SELECT case_id FROM t)")
 def two_accounts(spark, d):
     """Cases with a phone and two different accounts."""
     e = case_edges(spark, d)
@@ -184,10 +189,12 @@ def alert_summary(spark, d):
     return x.withColumn("band", F.when(F.col("total") >= 80, "high").when(F.col("total") >= 50, "caution").otherwise("normal"))
 
 
-@register("r17_organized_crime", cte("used_phone", body="SELECT phone, count(*) AS cases, array_to_string(list_sort(list(case_id)), ',') AS case_list, 0.8::DOUBLE AS confidence FROM used_phone GROUP BY phone HAVING count(*) >= 3"))
+@register("r17_organized_crime", cte("used_phone", body="SELECT phone, case_id, count(*) OVER (PARTITION BY phone) AS cases, 0.8::DOUBLE AS confidence FROM used_phone QUALIFY count(*) OVER (PARTITION BY phone) >= 3"))
 def organized_crime(spark, d):
-    """Phones of three or more cases, with the cases."""
-    return p.used_phone(spark, d).groupBy("phone").agg(F.count("*").alias("cases"), F.array_join(F.sort_array(F.collect_set("case_id")), ",").alias("case_list"), F.lit(0.8).alias("confidence")).filter("cases >= 3")
+    """Phones of three or more cases, with the cases as rows, so that no phone's cases are gathered in one place."""
+    u = p.used_phone(spark, d)
+    hot = u.groupBy("phone").agg(F.count("*").alias("cases")).filter("cases >= 3")
+    return u.join(hot, "phone").select("phone", "case_id", "cases", F.lit(0.8).alias("confidence"))
 
 
 @register("r18_money_laundering", cte("transfers", body="""SELECT account, ins * outs AS pairs, 0.75::DOUBLE AS confidence FROM (SELECT account, sum(i)::BIGINT AS ins, sum(o)::BIGINT AS outs FROM (SELECT dst AS account, 1 AS i, 0 AS o FROM transfers UNION ALL SELECT src, 0, 1 FROM transfers) GROUP BY account) WHERE ins * outs >= 3"""))
@@ -214,10 +221,25 @@ def night_activity(spark, d):
     return table(spark, d, "events").filter(F.hour("ts") < 6).groupBy("user_id").agg(F.count("*").alias("n")).filter("n >= 3").withColumn("confidence", F.lit(0.65))
 
 
-@register("r21_cross_domain", cte("used_ip", "has_account", body="SELECT ip, count(DISTINCT account) AS accounts, 0.8::DOUBLE AS confidence FROM used_ip JOIN has_account USING (person) GROUP BY ip HAVING count(DISTINCT account) >= 2"))
+#: The person that a phone was first used by: who it is registered for.
+OWNED_SQL = "owned_phone AS (SELECT l_partkey AS phone, arg_min(o_custkey, (o_orderdate, o_orderkey, o_custkey)) AS person FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey)"
+
+
+def owned_phone(spark, d):
+    li, o = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("phone")), table(spark, d, "orders")
+    first = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy("phone").agg(F.min(F.struct("o_orderdate", "o_orderkey", "o_custkey")).alias("x"))
+    return first.select("phone", F.col("x.o_custkey").alias("person"))
+
+
+@register("r21_cross_domain", cte("used_ip", "has_account", body=f""", {OWNED_SQL}, r AS (SELECT ip, 'a' AS kind, account AS id FROM used_ip JOIN has_account USING (person) UNION SELECT ip, 'p', phone FROM used_ip JOIN owned_phone USING (person))
+SELECT ip, count(*) FILTER (kind = 'a') AS accounts, count(*) FILTER (kind = 'p') AS phones, 0.8::DOUBLE AS confidence FROM r GROUP BY ip HAVING count(*) >= 2"""))
 def cross_domain(spark, d):
-    """Addresses from which two or more accounts are reached."""
-    return p.used_ip(spark, d).join(p.has_account(spark, d), "person").groupBy("ip").agg(F.countDistinct("account").alias("accounts")).filter("accounts >= 2").withColumn("confidence", F.lit(0.8))
+    """Addresses from which two or more accounts and phones are reached."""
+    kind = lambda df, name, key: df.select("person", F.lit(name).alias("kind"), F.col(key).alias("id"))
+    own = kind(p.has_account(spark, d), "a", "account").unionAll(kind(owned_phone(spark, d), "p", "phone"))
+    r = p.used_ip(spark, d).join(own, "person").select("ip", "kind", "id").distinct()
+    count = lambda k: F.count_if(F.col("kind") == k)
+    return r.groupBy("ip").agg(count("a").alias("accounts"), count("p").alias("phones")).filter("accounts + phones >= 2").withColumn("confidence", F.lit(0.8))
 
 
 @register("r22_same_location", cte("used_ip", body="SELECT a.person AS src, b.person AS dst, 'same_location' AS label, true AS is_virtual, min(ip) AS reason, count(*) AS weight FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person > b.person GROUP BY ALL"))
@@ -250,11 +272,39 @@ def role_labels(spark, d):
     return x.select("account", role.alias("role"))
 
 
-@register("r28_co_use", "SELECT a.user_id AS a, b.user_id AS b, count(*) AS weight FROM (SELECT DISTINCT user_id, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS ip, date_trunc('day', ts) AS t FROM events) a JOIN (SELECT DISTINCT user_id, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS ip, date_trunc('day', ts) AS t FROM events) b USING (ip, t) WHERE a.user_id < b.user_id GROUP BY ALL HAVING count(*) >= 2")
+@register("r24_shared_device", """WITH u AS (SELECT DISTINCT l_partkey AS phone, o_orderdate AS day, o_custkey AS person FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT a.person AS a, b.person AS b, count(*) AS times FROM u a JOIN u b USING (phone, day) WHERE a.person < b.person GROUP BY ALL""")
+def shared_device(spark, d):
+    """Pairs of persons that used one phone on one day."""
+    li, o = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("phone")), table(spark, d, "orders")
+    u = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select("phone", F.col("o_orderdate").alias("day"), F.col("o_custkey").alias("person")).distinct()
+    return linked(u, ["phone", "day"], "person").groupBy("a", "b").agg(F.count("*").alias("times"))
+
+
+@register("r24_timed_transfer", cte("transfers", body="""SELECT DISTINCT a.src AS src, b.dst AS dst, a.dst AS via FROM transfers a JOIN transfers b ON a.case_id = b.case_id AND a.dst = b.src AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 90 DAY
+WHERE a.src <> b.dst AND a.seq <> b.seq AND abs(a.amount - b.amount) * 10 <= a.amount"""))
+def timed_transfer(spark, d):
+    """Hidden transfers through an account that passes nearly the same amount on within a time."""
+    t = p.transfers(spark, d)
+    x = t.select("case_id", F.col("seq").alias("s1"), "src", F.col("dst").alias("via"), F.col("amount").alias("a1"), F.col("ts").alias("t1"))
+    y = t.select("case_id", F.col("seq").alias("s2"), F.col("src").alias("via"), "dst", F.col("amount").alias("a2"), F.col("ts").alias("t2"))
+    both = x.join(y, ["case_id", "via"]).filter("src <> dst and s1 <> s2 and abs(a1 - a2) * 10 <= a1 and t2 >= t1 and t2 <= t1 + interval 90 days")
+    return both.select("src", "dst", "via").distinct()
+
+
+#: Two persons use an address together if their uses lie at most so many seconds apart.
+TOGETHER = 6 * 3600
+_USES = "SELECT user_id, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS ip, epoch(date_trunc('second', ts))::BIGINT AS s FROM events"
+
+
+@register("r28_co_use", f"WITH u AS ({_USES}) SELECT a.user_id AS a, b.user_id AS b, count(*) AS weight FROM u a JOIN u b USING (ip) WHERE a.user_id < b.user_id AND abs(a.s - b.s) <= {TOGETHER} GROUP BY ALL HAVING count(*) >= 2")
 def co_use(spark, d):
-    """Pairs of persons often at one address on one day, with the count of days as weight."""
-    e = table(spark, d, "events").select("user_id", F.regexp_extract("props", '"k": *([0-9]+)', 1).alias("ip"), F.date_trunc("day", "ts").alias("t")).distinct()
-    return linked(e, ["ip", "t"], "user_id", 2).groupBy("a", "b").agg(F.count("*").alias("weight")).filter("weight >= 2")
+    """Pairs of persons that often use an address within six hours of each other, with the count as weight; a use meets those of its own stretch of time and of both beside it."""
+    u = table(spark, d, "events").select(F.col("user_id").alias("a"), F.regexp_extract("props", '"k": *([0-9]+)', 1).alias("ip"), F.unix_timestamp("ts").alias("s"))
+    u = u.withColumn("bucket", F.floor(F.col("s") / TOGETHER))
+    other = u.select(F.col("a").alias("b"), "ip", F.col("s").alias("s2"), F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    both = u.join(other, ["ip", "bucket"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("s") - F.col("s2")) <= TOGETHER))
+    return both.groupBy("a", "b").agg(F.count("*").alias("weight")).filter("weight >= 2")
 
 
 @register("r29_mismatch_owner", """WITH u AS (SELECT l_partkey AS phone, o_custkey AS person, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), m AS (SELECT phone, person AS user, row_number() OVER (PARTITION BY phone ORDER BY n DESC, person) AS r FROM u)
@@ -274,11 +324,15 @@ def role_edges(spark, d):
     return o.select(F.col("o_orderkey").alias("case_id"), F.col("o_custkey").alias("person"), F.when(F.col("o_orderstatus") == "F", "investigates").when(F.col("o_orderstatus") == "O", "targets").otherwise("witnesses").alias("label"))
 
 
-@register("r31_merged_identities", "SELECT CASE WHEN o_custkey % 7 = 0 AND o_custkey > 0 THEN o_custkey - 1 ELSE o_custkey END AS person, count(*) AS cases FROM orders GROUP BY 1")
+@register("r31_merged_identities", """WITH same AS (SELECT c_custkey AS person, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, floor(c_acctbal)) AS into_person FROM customer)
+SELECT into_person AS person, count(*) AS cases FROM orders JOIN same ON o_custkey = person GROUP BY 1""")
 def merged_identities(spark, d):
-    """Persons after certain matches (here every seventh key and the one before) are merged and their edges moved."""
-    cust = table(spark, d, "customer").filter("c_custkey % 7 = 0 and c_custkey > 0").select(F.col("c_custkey").alias("person"), (F.col("c_custkey") - 1).alias("same_as"))
-    return p.involves(spark, d).join(cust, "person", "left").groupBy(F.coalesce("same_as", "person").alias("person")).agg(F.count("*").alias("cases"))
+    """Persons that agree in nation, segment and whole balance are merged into the smallest of them and their edges moved."""
+    same = ["c_nationkey", "c_mktsegment", F.floor("c_acctbal").alias("balance")]
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("person"), *same)
+    low = c.groupBy("c_nationkey", "c_mktsegment", "balance").agg(F.min("person").alias("into"))
+    into = c.join(low, ["c_nationkey", "c_mktsegment", "balance"]).select("person", "into")
+    return p.involves(spark, d).join(into, "person").groupBy(F.col("into").alias("person")).agg(F.count("*").alias("cases"))
 
 
 @register("r26_semantic_summary", f"WITH {p.edges_sql()}, {dim_sql('relations')} SELECT label, domain, \"range\", count(*) AS n, count(DISTINCT dst) AS resources FROM edges JOIN relations ON label = relation GROUP BY ALL")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from caseloom.operators import identity, search, validate
+from caseloom.operators import identity, inference, search, validate
 from caseloom.operators.paths import shared_path
 from caseloom.plans import projection as p
+from caseloom.plans.dims import dim
 from caseloom.plans.projection import table
 from caseloom.plans.registry import register
 from caseloom.plans.relational import cte
+from caseloom.plans.rules import OWNED_SQL, owned_phone
 
 # --- search -------------------------------------------------------------------------------------
 
@@ -121,3 +123,34 @@ def valid_rows(spark, d):
 def rejected_rows(spark, d):
     """Rows that are set aside, each with the rules that it breaks."""
     return validate.split(landed(spark, d), RULES)[1].withColumn("errors", F.array_join("errors", ","))
+
+
+# --- inference ----------------------------------------------------------------------------------
+
+
+def timed_graph(spark, d):
+    """(vertices, edges) with the labels and times that the inference rules read."""
+    v = lambda label, c: F.concat(F.lit(label + ":"), F.col(c).cast("string"))
+    none = F.lit(None).cast("timestamp")
+    edge = lambda df, src, dst, label, ts: df.select(src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), ts.cast("timestamp").alias("ts"))
+    edges = p.edges(spark, d, "eg_used_phone", "has_account", "used_ip").select("src", "dst", "label", none.alias("ts"))
+    edges = edges.unionAll(edge(p.transfers(spark, d), v("vt_bacnt", "src"), v("vt_bacnt", "dst"), "transferred_to", F.col("ts")))
+    edges = edges.unionAll(edge(p.calls(spark, d), v("vt_psn", "src"), v("vt_psn", "dst"), "contacted", F.col("ts")))
+    edges = edges.unionAll(edge(owned_phone(spark, d), v("vt_psn", "person"), v("vt_telno", "phone"), "owns_phone", none))
+    ips = p.used_ip(spark, d).select(v("vt_ip", "ip").alias("v_id"), F.lit("vt_ip").alias("label")).distinct()
+    return p.vertices(spark, d).select("v_id", "label").unionAll(ips), edges
+
+
+@register("d1_inference", cte("used_phone", "transfers", "calls", "used_ip", "has_account", body=f""", {OWNED_SQL}, c AS (SELECT DISTINCT src, dst FROM calls), ends AS (SELECT dst AS v, 1 AS i, 0 AS o FROM transfers UNION ALL SELECT src, 0, 1 FROM transfers),
+timed AS (SELECT 'vt_bacnt:' || src::VARCHAR AS v, ts FROM transfers UNION ALL SELECT 'vt_psn:' || src::VARCHAR, ts FROM calls),
+things AS (SELECT DISTINCT ip, thing FROM used_ip JOIN (SELECT person, 'a' || account::VARCHAR AS thing FROM has_account UNION ALL SELECT person, 'p' || phone::VARCHAR FROM owned_phone) USING (person)),
+f AS (SELECT 'OrganizedCrime' AS rule, 'vt_telno:' || phone::VARCHAR AS v_id, NULL AS other, count(*) AS n, 0.8::DOUBLE AS confidence FROM used_phone GROUP BY phone HAVING count(*) >= 3
+UNION ALL SELECT 'MoneyLaundering', 'vt_bacnt:' || v::VARCHAR, NULL, (sum(i) * sum(o))::BIGINT, 0.75 FROM ends GROUP BY v HAVING sum(i) * sum(o) >= 3
+UNION ALL SELECT 'Accomplice', least(x, y), greatest(x, y), n, 0.7 FROM (SELECT 'vt_psn:' || a.src::VARCHAR AS x, 'vt_psn:' || b.src::VARCHAR AS y, count(*) AS n FROM c a JOIN c b USING (dst) WHERE a.src < b.src GROUP BY ALL HAVING count(*) >= 5)
+UNION ALL SELECT 'RapidTransfer', 'vt_bacnt:' || src::VARCHAR, NULL, max(k), 0.85 FROM (SELECT src, count(*) OVER (PARTITION BY src ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS k FROM transfers) GROUP BY src HAVING max(k) >= 10
+UNION ALL SELECT 'NightActivity', v, NULL, count(*), 0.65 FROM timed WHERE extract(hour FROM ts) < 6 GROUP BY v HAVING count(*) >= 3
+UNION ALL SELECT 'CrossDomainLink', 'vt_ip:' || ip, NULL, count(*), 0.8 FROM things GROUP BY ip HAVING count(*) >= 2)
+SELECT * FROM f WHERE v_id IN (SELECT 'vt_telno:' || p_partkey::VARCHAR FROM part UNION ALL SELECT 'vt_bacnt:' || s_suppkey::VARCHAR FROM supplier UNION ALL SELECT 'vt_psn:' || c_custkey::VARCHAR FROM customer UNION ALL SELECT 'vt_ip:' || ip FROM used_ip)"""))
+def inference_findings(spark, d):
+    """The findings of all six inference rules over one graph."""
+    return inference.infer(*timed_graph(spark, d), dim(spark, "rules"))

@@ -40,11 +40,11 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def profile(df: DataFrame, name: str) -> DataFrame:
-    """One row per column of a table with its type and how many values it has."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    """One row per column of a table with its type, and how many values and how many nulls it has."""
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), F.struct(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).alias("of"))
     kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
-    pairs = F.explode(F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`"))])).alias("column", "n")
-    return counts.select(pairs).select(F.lit(name).alias("table_name"), "column", kinds[F.col("column")].alias("type"), "n")
+    pairs = F.explode(F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col("of")[c])])).alias("column", "n")
+    return counts.select("rows", pairs).select(F.lit(name).alias("table_name"), "column", kinds[F.col("column")].alias("type"), "n", (F.col("rows") - F.col("n")).alias("nulls"))
 
 
 def serial(*parts: Column) -> Column:
