@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +91,28 @@ def chunk_id(source: Column, index: Column) -> Column:
     return F.concat_ws("_", F.substring(F.md5(source), 1, 8), index.cast("string"))
 
 
+class ChunkStore:
+    """Chunks (source, doc_id, chunk_index, text) below ``path``, a folder for each source, so that a source goes without the others being read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def write(self, chunks: DataFrame) -> ChunkStore:
+        """Replaces what is there. A folder is named by the source's digest, since a source may have any name."""
+        d = chunks.select("source", "doc_id", "chunk_index", "text").withColumn("folder", F.md5(F.coalesce("source", F.lit(""))))
+        d.write.mode("overwrite").partitionBy("folder").parquet(self.path)
+        self.schema = d.schema
+        return self
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("folder")
+
+    def delete(self, source: str) -> bool:
+        """Removes a source's chunks; whether there were any."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/folder={hashlib.md5(source.encode()).hexdigest()}")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def entity_text(label: Column, props: Column, names: list[str]) -> Column:
     """Label and the non-empty listed properties, as 'name: value' parts."""
     parts = [F.when(F.coalesce(props[n], F.lit("")) != "", F.concat(F.lit(f"{n}: "), props[n])) for n in names]

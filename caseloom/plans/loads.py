@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import cases as c
 from caseloom.operators import mapped_load as m
+from caseloom.operators import text as x
+from caseloom.operators.paths import shared_path
 from caseloom.plans import projection as p
 from caseloom.plans.dims import dim, dim_sql
 from caseloom.plans.projection import table
@@ -72,10 +74,17 @@ def query_expansion(spark, d):
     return x.select("case_id", F.concat_ws(" ", F.array_join("labels", " "), F.array_join("laws", " ")).alias("query"))
 
 
-@register("x5_delete_chunks", "SELECT source, count(*) AS documents FROM documents WHERE source <> 'src0' GROUP BY source")
+@register("x5_delete_chunks", """WITH big AS (SELECT min(source) AS s FROM (SELECT source, rank() OVER (ORDER BY count(*) DESC) AS r FROM documents GROUP BY source) WHERE r = 1),
+d AS (SELECT doc_id, source, unnest(range(0, greatest(0, length(text) - 51) + 1, 450)) AS start FROM documents WHERE length(text) > 0)
+SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM d WHERE source <> (SELECT s FROM big) GROUP BY source""")
 def delete_chunks(spark, d):
-    """What is left after a source's documents go."""
-    return table(spark, d, "documents").filter("source <> 'src0'").groupBy("source").agg(F.count("*").alias("documents"))
+    """What is left of a stored chunk table after the source with most documents is deleted from it."""
+    docs = table(spark, d, "documents")
+    most = docs.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").first()["source"]
+    chunks = x.fixed_chunks(docs).join(docs.select("doc_id", "source"), "doc_id")
+    store = x.ChunkStore(spark, shared_path(spark)).write(chunks)
+    store.delete(most)
+    return store.read().groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
 
 
 @register("f29_edge_sentences", "SELECT o_orderkey AS case_id, 'vt_case:' || o_orderkey::VARCHAR || ' -[involves: priority=' || o_orderpriority || ', status=' || o_orderstatus || ']-> vt_psn:' || o_custkey::VARCHAR AS sentence FROM orders")

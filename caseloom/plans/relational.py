@@ -121,10 +121,10 @@ def edge_census(spark, d):
     return g.census(p.edges(spark, d))
 
 
-@register("a15_duplicate_transfers", cte("transfers", body="SELECT src, dst, amount, count(*) AS n FROM transfers GROUP BY src, dst, amount HAVING count(*) > 1"))
+@register("a15_duplicate_transfers", cte("transfers", body="SELECT src, dst, qty, count(*) AS n FROM transfers GROUP BY src, dst, qty HAVING count(*) > 1"))
 def duplicate_transfers(spark, d):
-    """Transfers that repeat sender, receiver and amount."""
-    return p.transfers(spark, d).groupBy("src", "dst", "amount").agg(F.count("*").alias("n")).filter("n > 1")
+    """Transfers that repeat sender, receiver and the quantity sent."""
+    return p.transfers(spark, d).groupBy("src", "dst", "qty").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @register("a16_completeness", cte("used_account", "used_phone", "involves", body="""SELECT 'vt_bacnt' AS label, (SELECT count(*) FROM supplier) AS table_rows, (SELECT count(DISTINCT account) FROM used_account) AS in_graph
@@ -138,7 +138,7 @@ def completeness(spark, d):
     return out
 
 
-@register("a18_label_keys", "SELECT label, keys FROM (VALUES ('vt_case','flnm,priority,status'),('vt_psn','name,segment'),('vt_bacnt','actno,dpstr'),('vt_telno','brand,model,telno'),('vt_org','org_nm')) t(label, keys)")
+@register("a18_label_keys", f"WITH {p.vertices_sql()} SELECT label, array_to_string(list_sort(list(DISTINCT k)), ',') AS keys FROM (SELECT label, split_part(unnest(string_split(props, ';')), '=', 1) AS k FROM vertices) GROUP BY label")
 def label_keys(spark, d):
     """Property names of each label, from all vertices."""
     return g.schema_of(p.vertices(spark, d))
@@ -475,6 +475,23 @@ def unsafe_text(spark, d):
     return t.filter(F.size("f") > 0).select("doc_id", F.array_join("f", ",").alias("found"))
 
 
+#: What users of an event's kind ask the graph.
+_LOG_SQL = """SELECT event_id, CASE event_type WHEN 'error' THEN 'MATCH (n {id: ' || user_id::VARCHAR || '}) DETACH DELETE n' WHEN 'click' THEN 'match (n) set n.seen = ' || user_id::VARCHAR || ' return n'
+WHEN 'view' THEN 'show the dataset of ' || user_id::VARCHAR WHEN 'signup' THEN 'CREATE (n); DROP GRAPH g' ELSE 'MATCH (n)-[r]-(m) RETURN n, r, m' END AS query FROM events"""
+
+
+@register("p10_query_log", f"""WITH q AS ({_LOG_SQL}) SELECT event_id, array_to_string(list_filter(['CREATE', 'DELETE', 'DROP', 'MERGE', 'REMOVE', 'SET'], lambda k: regexp_matches(upper(query), '\\b' || k || '\\b')), ',') AS found,
+NOT contains(upper(query), 'MATCH') AND NOT contains(upper(query), 'RETURN') AS no_read FROM q""")
+def query_log(spark, d):
+    """P10: a log of query texts, each with its write keywords, and whether it reads nothing."""
+    user = F.col("user_id").cast("string")
+    kind = F.col("event_type")
+    text = F.when(kind == "error", F.concat(F.lit("MATCH (n {id: "), user, F.lit("}) DETACH DELETE n"))).when(kind == "click", F.concat(F.lit("match (n) set n.seen = "), user, F.lit(" return n")))
+    text = text.when(kind == "view", F.concat(F.lit("show the dataset of "), user)).when(kind == "signup", "CREATE (n); DROP GRAPH g").otherwise("MATCH (n)-[r]-(m) RETURN n, r, m")
+    q = table(spark, d, "events").select("event_id", text.alias("query"))
+    return q.select("event_id", F.array_join(st.write_keywords(F.col("query")), ",").alias("found"), (~F.upper("query").contains("MATCH") & ~F.upper("query").contains("RETURN")).alias("no_read"))
+
+
 @register("p12_validation", """SELECT event_type, count(*) AS n, count(*) FILTER (value > 0) AS positive, count(*) FILTER (abs(value * 100 - round(value * 100)) < 1e-6) AS cents, count(*) FILTER (regexp_matches(props, '^\\{"k": [0-9]+\\}$')) AS well_formed FROM events GROUP BY event_type""")
 def validation(spark, d):
     """Rows that pass each quality check."""
