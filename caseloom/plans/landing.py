@@ -90,6 +90,33 @@ def all_targets(spark, d):
     return out
 
 
+#: Columns of target tables whose values are compared, and the same of ``w`` in SQL.
+VALUES_SQL = {
+    "TB_INCDNT_MST": (("INCDNT_NO", "INCDNT_NM", "INCDNT_TYP_CD"), "\"case\", crime, left(crime, 6)", "\"case\" IS NOT NULL"),
+    "TB_FIN_BACNT_DLNG": (("BACNT_NO", "TRRC_BACNT_NO"), "src, dst", "src <> dst"),
+    "TB_TELNO_CALL_DTL": (("DSPTCH_TELNO", "RCPTN_TELNO"), "caller, callee", "caller IS NOT NULL AND callee IS NOT NULL"),
+    "TB_TELNO_JOIN": (("TELNO", "JOIN_PSNNM"), "phone, person", "phone IS NOT NULL AND person IS NOT NULL"),
+    "TB_TELNO_SMS_MSG": (("DSPTCH_TELNO", "RCPTN_TELNO", "MSG_CN"), "msg_from, msg_to, message", "message IS NOT NULL AND msg_from <> msg_to"),
+    "TB_CHAT_MSG": (("DSPTCH_USER_ID", "MSG_CN"), "nickname, message", "message IS NOT NULL AND nickname IS NOT NULL"),
+    "TB_SYS_LGN_EVT": (("USER_ID", "CNNT_IP_ADDR"), "coalesce(person, 'UNKNOWN_USER'), ip", "ip IS NOT NULL"),
+    "TB_DGTL_FILE_INVNT": (("FILE_NM", "FILE_EXTSN_NM"), "file, 'apk'", "file IS NOT NULL"),
+    "TB_GEO_MBL_LOC_EVT": (("TELNO",), "phone", "phone IS NOT NULL AND la IS NOT NULL AND lo IS NOT NULL"),
+    "TB_VHCL_LPR_EVT": (("VHCLNO",), "vehicle", "vehicle IS NOT NULL AND la IS NOT NULL AND lo IS NOT NULL"),
+    "TB_FRD_VCTM_RPT": (("DAM_CN", "SUSPCT_BACNT_NO", "SUSPCT_TELNO"), "'사건참조:' || \"case\", account, phone", "person IS NOT NULL OR account IS NOT NULL OR phone IS NOT NULL"),
+}
+
+
+@register("s4_target_values", f"WITH {WIDE_SQL} " + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n, sum(('0x' || left(md5(concat_ws('|', {row})), 8))::BIGINT)::BIGINT AS digest FROM w WHERE {where}" for t, (_, row, where) in VALUES_SQL.items()))
+def target_values(spark, d):
+    """Of the target tables with a row for each row of the file, the sum of the digests of all their values."""
+    load, out = wide_load(spark, d), None
+    for name, (columns, _, _) in VALUES_SQL.items():
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8), 16, 10).cast("long")
+        x = load[name].agg(F.count("*").alias("n"), F.sum(digest).alias("digest")).select(F.lit(name).alias("table_name"), "n", "digest")
+        out = x if out is None else out.unionAll(x)
+    return out
+
+
 #: Edges of each label that the wide file's graph has, as a scalar over ``w``.
 EDGES_SQL = {
     "sent_msg": TARGETS_SQL["TB_TELNO_SMS_MSG"],
