@@ -71,6 +71,17 @@ def pattern_scores(spark, d):
     return scores(spark, d).filter("score >= least").drop("least", "labels")
 
 
+@register("r9_pattern_lookup", f"""WITH {SCORES_SQL}, n AS (SELECT pattern, count(*) AS cases FROM best WHERE place = 1 GROUP BY pattern), req AS (SELECT pattern, array_to_string(list_sort(list(DISTINCT label)), ',') AS required FROM pattern_edges GROUP BY pattern)
+SELECT p.pattern, p.name, required, p.least, coalesce(cases, 0) AS cases FROM patterns p JOIN req USING (pattern) LEFT JOIN n USING (pattern) WHERE contains(p.name, '사기') OR pattern IN (SELECT pattern FROM pattern_edges WHERE label = 'vt_site')""")
+def pattern_lookup(spark, d):
+    """Patterns found by a part of their name or by a label that they need, with what they need and the cases whose primary pattern they are."""
+    edges = dim(spark, "pattern_edges")
+    found = dim(spark, "patterns").join(F.broadcast(edges.filter("label = 'vt_site'").select("pattern", F.lit(True).alias("by_label")).distinct()), "pattern", "left").filter(F.contains("name", F.lit("사기")) | F.col("by_label"))
+    required = edges.groupBy("pattern").agg(F.array_join(F.sort_array(F.collect_set("label")), ",").alias("required"))  # a fixed table
+    n = c.best_patterns(scores(spark, d)).filter("primary").groupBy("pattern").agg(F.count("*").alias("cases"))
+    return found.join(required, "pattern").join(n, "pattern", "left").select("pattern", "name", "required", "least", F.coalesce("cases", F.lit(0)).alias("cases"))
+
+
 @register("w7_primary_pattern", f"WITH {SCORES_SQL} SELECT case_id, pattern, score FROM best WHERE place = 1")
 def primary_pattern(spark, d):
     """The primary pattern of each case."""
