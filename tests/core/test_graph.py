@@ -92,9 +92,8 @@ def test_merges(spark):
     assert again.count() == 3 and graph.upsert_ignore(again, new.drop("at"), ["k"]).count() == 3
 
 
-def test_chunks():
-    assert text.cut_points("", 500, 50) == []
-    assert text.cut_points("a" * 500, 500, 50)[0] == (0, "a" * 500)
+def test_chunks(spark):
     long = ("b" * 299 + ".") + "c" * 600
-    found = text.cut_points(long, 500, 50)
-    assert found[0][1] == "b" * 299 + "." and found[1][1].startswith("b")
+    found = text.chunks(spark.createDataFrame([(1, ""), (2, "a" * 500), (3, long)], "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["chunk_index"]): r["text"] for r in found}
+    assert (1, 0) not in got and got[2, 0] == "a" * 500 and got[3, 0] == "b" * 299 + "." and got[3, 1].startswith("b")
