@@ -70,7 +70,24 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = spark._caseloom_shared = "file://" + tempfile.mkdtemp(prefix="caseloom-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    made(spark).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """The folders that this session has made below the shared one and not discarded."""
+    if not hasattr(spark, "_caseloom_made"):
+        spark._caseloom_made = []
+    return spark._caseloom_made
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders of ``made``. What still reads them must have been written before."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        made(spark).remove(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

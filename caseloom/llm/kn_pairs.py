@@ -12,7 +12,7 @@ A pair of frequent words goes to its part by both, so a word that a third of all
 over all parts; what all its pairs have in common, its count and discounted mass, is in the broadcast table. Other pairs go by their
 rare word, the first if both are. All counts, sums and joins are Spark's; a part holds about PART_BYTES of text, and parts are doubled as the
 text grows. A part is a range of scrambled keys, so its keys lie as close together whether there are few parts or many, and cost as many bytes;
-blocks grow with the parts up to BLOCK_BYTES. The documents' own rows are one group for each block. The most frequent pairs of frequent words, at most
+a block sends a row to a part only if it has a pair of it, so there are never more rows than pairs. The documents' own rows are one group for each block. The most frequent pairs of frequent words, at most
 HOT_PAIRS of them, are in a broadcast table too, so a block adds their gains itself and sends only the others.
 """
 
@@ -36,9 +36,9 @@ U = np.uint64
 RARE, HASHED = 1 << 16, 2 << 16
 BEGIN_ID = RARE - 1
 #: Bytes and documents of a block, bytes and places in a block of a word that can be frequent, bits of the parts at least, bytes of text of a part.
-PAIR_BLOCK, BLOCK_DOCS, WORD_BYTES, WORD_PLACES, PART_BITS, PART_BYTES = 4 << 20, 1 << 12, 64, 4, 4, 128 << 20
+PAIR_BLOCK, BLOCK_DOCS, WORD_BYTES, WORD_PLACES, PART_BITS, PART_BYTES = 3 << 20, 1 << 12, 64, 4, 4, 128 << 20
 #: Bytes of a block when there are many parts; pairs of frequent words in the broadcast table at most, and the count from which all are alike for that.
-BLOCK_BYTES, HOT_PAIRS, MANY = 16 << 20, 1 << 21, 1 << 16
+BLOCK_BYTES, HOT_PAIRS, MANY = 4 << 20, 1 << 21, 1 << 16
 DEALT = "part long, block long, payload binary"
 #: Odd numbers that scramble 32 bits, and their inverses.
 SCRAMBLE = (0x9E3779B1, 0x85EBCA77)

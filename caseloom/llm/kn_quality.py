@@ -225,12 +225,12 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     def level(df, value, share):
         """``value`` at ``share`` of the held-out documents, of each language and of all."""
         at = lambda name: F.percentile_approx(value, share, 100_000).alias(name)
-        return df.groupBy("lang").agg(at("own"), F.count("*").alias("docs")), df.agg(at("all_langs"))
+        return staged(df.groupBy("lang").agg(at("own"), F.count("*").alias("docs")), "levels"), df.agg(at("all_langs"))
 
     def with_level(df, levels, name):
         """A language's level counts the more, the more documents it is from."""
         each, overall = levels
-        d = df.join(F.broadcast(each), "lang", "left").crossJoin(F.broadcast(overall))  # one row, and one a language
+        d = df.join(each, "lang", "left").crossJoin(F.broadcast(overall))  # one row; the other is a table of known size, broadcast if it is small
         return d.withColumn(name, F.coalesce(own * F.col("own") + (1 - own) * F.col("all_langs"), "all_langs")).drop("own", "docs", "all_langs")
 
     middle = level(fair, F.col("size"), 0.5)

@@ -56,3 +56,19 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("lang is not null").select("doc_id", "lang")
     n, right = got.filter("held_out").join(docs, "doc_id").agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert n > 200 and right >= 0.98 * n
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    """Texts beyond a quarter of the dictionary give a run of their words from somewhere inside, and no cut words."""
+    words = {"en": "river stone night walk light house water".split(), "xx": "zaqor vuplit jemmo kridda wysh ulfo".split()}
+    long = lambda lang, k: " ".join(words[lang][(i * i + k) % len(words[lang])] for i in range(9000))
+    rows = [(i, "en", " ".join(words["en"][(i + j) % 7] for j in range(40))) for i in range(30)] + [(i, "xx", long("xx", i)) for i in range(30, 70)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    dicts = langid.dictionaries(docs.filter(~langid.held_out(F.col("doc_id"))))
+    assert set(dicts) == {"en", "xx"} and all(0 < len(x) <= langid.DICT_BYTES for x in dicts.values())
+    assert set(dicts["xx"].decode().split()) == set(words["xx"])
+    assert len(dicts["xx"]) > langid.DICT_BYTES // 2
+    got = langid.identify(docs, dicts).collect()
+    assert all(r["lang_pred"] == ("en" if r["doc_id"] < 30 else "xx") for r in got)
+    one = spark.createDataFrame([(1, "en", "é" * 300_000)], "doc_id long, lang string, text string")
+    assert len(langid.dictionaries(one)["en"]) <= langid.DICT_BYTES
