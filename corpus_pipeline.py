@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import bpe, decontaminate, kn_quality, line_dedup, simhash
-from caseloom.llm.common import staged
+from caseloom.llm.common import discard, made, staged
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Once a stage is written, the tables that it made on its way, and its input, are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars"))
+    before = len(made(spark))
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
+        discard(spark, made(spark)[before:-1])  # the last is the stage's own
     return STAGES[-1][1](spark, docs, sf_dir)
