@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from caseloom.llm import bpe, kn_quality
+from caseloom.llm.common import made
 from tests.llm import brute
 
 random.seed(11)
@@ -34,7 +35,9 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "Q w E r t y u i o p"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = len(made(spark))
     got = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert len(made(spark)) == before + 1  # of all tables made on the way the last stage's input is left
 
     d, labels = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
     kept = {r["doc_id"] for r in kn_quality.classify(d, labels).filter("kept").collect()}
