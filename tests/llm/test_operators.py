@@ -190,7 +190,7 @@ def test_language_id(docs, empty):
     assert {r["x"] for r in docs.filter("doc_id is not null").select(F.col("doc_id"), langid.held_out(F.col("doc_id")).alias("x")).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2} == {True}
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     items = [(1, "River, STONE walk"), (2, "a b c d e f g h i j k"), (3, None), (4, "--"), (5, "b c d e f g h i j k l"), (6, BASE), (6, BASE)]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("gram", F.lit(0))
     windows = [(i, w[k : k + n]) for i, t in set(items) if t for w in [brute.PLAIN.findall(t.translate(brute.UP))] if w for n in [min(10, len(w))] for k in range(len(w) - n + 1)]
@@ -200,7 +200,8 @@ def test_decontamination(spark, docs, empty):
         at = [(i, k, len(g)) for i, g in windows for k in range(len(w) - len(g) + 1) if w[k : k + len(g)] == g]
         return len(w), len({x for _, k, n in at for x in range(k, k + n)}), sorted({str(i) for i, _, _ in at})
 
-    for kw in ({}, {"broadcast_rows": 0}):
+    for kw in ({}, {"broadcast_rows": 0}, {"leads": 2}):
+        monkeypatch.setattr(decontaminate, "LEADS", kw.pop("leads", 20_000))
         found = decontaminate.contamination(docs, bench, **kw).collect()
         assert len(found) == N
         for r in found:
