@@ -264,6 +264,16 @@ def same_location(spark, d):
     return x.select("src", "dst", F.lit("same_location").alias("label"), F.lit(True).alias("is_virtual"), "reason", "weight")
 
 
+@register("r22_strongest_links", cte("used_ip", body=""", x AS (SELECT a.person AS a, b.person AS b, count(*) AS weight FROM used_ip a JOIN used_ip b USING (ip) WHERE a.person <> b.person GROUP BY ALL)
+SELECT a, b, weight, (row_number() OVER (PARTITION BY a ORDER BY weight DESC, b))::INT AS place FROM x QUALIFY row_number() OVER (PARTITION BY a ORDER BY weight DESC, b) <= 5"""))
+def strongest_links(spark, d):
+    """For each person the five others with most shared addresses."""
+    x = linked(p.used_ip(spark, d), ["ip"], "person").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    both = x.unionAll(x.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
+    return both.withColumn("place", place).filter("place <= 5")
+
+
 @register("r23_indirect_transfer", cte("transfers", body="SELECT DISTINCT a.src AS src, b.dst AS dst, a.dst AS via FROM transfers a JOIN transfers b ON a.case_id = b.case_id AND a.dst = b.src AND a.qty = b.qty WHERE a.src <> b.dst"))
 def indirect_transfer(spark, d):
     """Hidden transfers through an account that passes the same quantity on."""
