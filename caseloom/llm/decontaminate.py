@@ -97,5 +97,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFram
     names = {c: kw[c] for c in ("id_col", "text_col") if c in kw}
     known, few = windows(benchmark, **{k: v for k, v in kw.items() if k not in names})
     bad = hits(places(docs, known, **names), known, few).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    bad = staged(bad, "bad")  # of known size: if it is small Spark sends it to the documents and leaves their texts where they are
     own_id, text = (F.col(f"`{kw.get(c, of)}`") for c, of in (("id_col", "doc_id"), ("text_col", "text")))
     return docs.join(bad, own_id.eqNullSafe(F.col(id_)) & (F.xxhash64(text.cast("string")) == F.col(key)), "left_anti")

@@ -244,5 +244,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
     id_, key = fresh_names(docs, "id", "key")
     bad = classify(docs, labels, **kw).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
+    bad = staged(bad, "bad")  # of known size: if it is small Spark sends it to the documents and leaves their texts where they are
     own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (own == F.col(key)), "left_anti")
