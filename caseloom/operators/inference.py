@@ -68,10 +68,13 @@ def night_activity(vertices: DataFrame, edges: DataFrame, threshold: int) -> Dat
 
 @rule("CrossDomainLink")
 def cross_domain(vertices: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
-    """Addresses from which ``threshold`` accounts and phones or more are reached over the persons that use them."""
+    """Addresses from which ``threshold`` accounts and phones or more are reached over the persons that use them, or over what those are members of."""
     used = edges.filter("label = 'used_ip'").select(F.col("src").alias("person"), F.col("dst").alias("ip")).distinct()
     own = edges.filter("label in ('has_account', 'owns_phone')").select(F.col("src").alias("person"), F.col("dst").alias("thing"))
-    reached = used.join(own, "person").select("ip", "thing").distinct()
+    group = edges.filter("label = 'member_of'").select(F.col("src").alias("person"), F.col("dst").alias("group"))
+    held = edges.filter("label = 'holds'").select(F.col("src").alias("group"), F.col("dst").alias("thing"))
+    over = used.join(group, "person").select("ip", "group").distinct().join(held, "group").select("ip", "thing")
+    reached = used.join(own, "person").select("ip", "thing").unionAll(over).distinct()
     return _found(reached.groupBy("ip").agg(F.count("*").alias("n")).filter(F.col("n") >= threshold), "ip")
 
 
