@@ -57,8 +57,25 @@ items AS (SELECT DISTINCT pattern, 'required' AS kind, label, 1.0 AS weight FROM
 checklist AS (SELECT s.case_id, s.pattern, kind, label, weight, n.node IS NOT NULL AS done FROM best s JOIN items USING (pattern) LEFT JOIN node n USING (case_id, label) WHERE place = 1)"""
 
 
+def case_slots(spark, d):
+    """(case_id, edge, label, node) of every case, with the smallest vertex of each kind only: all that patterns are matched with.
+
+    The smallest address is that of the person, found before persons meet their cases.
+    """
+    def some(df, edge, label, key):
+        return df.select("case_id", F.lit(edge).alias("edge"), F.lit(label).alias("label"), F.concat(F.lit(label + ":"), key).alias("node"))
+
+    lines = table(spark, d, "lineitem")
+    least = lambda condition, key: lines.filter(condition).groupBy(F.col("l_orderkey").alias("case_id")).agg(F.min(F.col(key).cast("string")).alias("x"))
+    ips = table(spark, d, "events").select(F.col("user_id").alias("person"), F.regexp_extract("props", '"k": *([0-9]+)', 1).alias("ip")).groupBy("person").agg(F.min("ip").alias("ip"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("case_id"), F.get(F.split("url", "/"), 2).alias("site"), F.contains("url", F.lit(".html")).alias("is_file"))
+    out = some(least("l_returnflag <> 'N'", "l_suppkey"), "eg_used_account", "vt_bacnt", F.col("x")).unionAll(some(least("l_linestatus = 'F'", "l_partkey"), "eg_used_phone", "vt_telno", F.col("x")))
+    out = out.unionAll(some(p.involves(spark, d).join(ips, "person"), "used_ip", "vt_ip", F.col("ip")))
+    return out.unionAll(some(pages, "digital_trace", "vt_site", F.col("site"))).unionAll(some(pages.filter("is_file"), "related_to", "vt_file", F.col("case_id").cast("string")))
+
+
 def scores(spark, d):
-    return c.pattern_scores(case_edges(spark, d), dim(spark, "patterns"), dim(spark, "pattern_edges"), dim(spark, "pattern_optional"))
+    return c.pattern_scores(case_slots(spark, d), dim(spark, "patterns"), dim(spark, "pattern_edges"), dim(spark, "pattern_optional"))
 
 
 def _checklist(spark, d):
