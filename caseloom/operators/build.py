@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import standardize as st
-from caseloom.operators.pairs import linked
+from caseloom.operators.pairs import linked, sharing_two
 
 
 def v_id(label: str, key: Column) -> Column:
@@ -146,6 +146,9 @@ def build(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
 def related_cases(edges: DataFrame, confidence: float = 0.75, least: int = 1) -> DataFrame:
     """Case pairs that share ``least`` pieces of evidence, in both directions; evidence is known by its vertex, so kinds never mix."""
     used = edges.filter(F.col("label").isin("eg_used_account", "eg_used_phone")).select(F.col("src").alias("case_v"), F.col("dst").alias("evidence")).distinct()
-    pairs = linked(used, ["evidence"], "case_v", least).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    if least >= 2:
+        pairs = sharing_two(used, "evidence", "case_v").filter(F.col("shared") >= least)
+    else:
+        pairs = linked(used, ["evidence"], "case_v", least).groupBy("a", "b").agg(F.count("*").alias("shared"))
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("related_case").alias("label"), "shared", F.lit(confidence).alias("confidence"))

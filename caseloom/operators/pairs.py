@@ -40,3 +40,23 @@ def linked(df: DataFrame, keys: list[str], member: str, least: int = 1, carry: t
         for c in (F.when(straight, F.col(f"_{k}_x")).otherwise(F.col(f"_{k}_y")).alias(f"{k}_a"), F.when(straight, F.col(f"_{k}_y")).otherwise(F.col(f"_{k}_x")).alias(f"{k}_b"))
     ]
     return both.select(*keys, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), *carried)
+
+
+def sharing_two(df: DataFrame, key: str, member: str, most: int = 32) -> DataFrame:
+    """(a, b, shared): pairs of members, a < b, that share two or more keys of the distinct rows ``df``, with the count of shared keys.
+
+    Members meet on pairs of keys, so that pairs with one key in common are never made: k common keys are k (k - 1) / 2 common pairs.
+    Members with over ``most`` keys have too many pairs of them, and meet the others on single keys.
+    """
+    u = df.select(key, member).dropna()
+    u = u.join(u.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key), key, "left_semi")
+    u = staged(u.join(u.groupBy(member).agg(F.count("*").alias("_keys")).filter("_keys > 1"), member))
+    keys = u.filter(F.col("_keys") <= most).groupBy(member).agg(F.sort_array(F.collect_list(key)).alias("_k"))
+    first = keys.select(member, "_k", F.posexplode("_k").alias("_i", "_k1"))
+    pairs = first.select(member, "_k1", F.explode(F.slice("_k", F.col("_i") + 2, F.size("_k"))).alias("_k2"))
+    light = linked(pairs, ["_k1", "_k2"], member).groupBy("a", "b").agg(F.count("*").alias("_c"))
+    light = light.select("a", "b", F.round((1 + F.sqrt(1 + 8 * F.col("_c"))) / 2).cast("long").alias("shared"))
+    x = u.filter(F.col("_keys") > most).select(key, F.col(member).alias("_x"))
+    y = u.select(key, F.col(member).alias("_y"), (F.col("_keys") > most).alias("_both"))
+    met = x.join(y, key).filter("_x <> _y and (not _both or _x < _y)").groupBy(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+    return light.unionAll(met.agg(F.count("*").alias("shared")).filter("shared >= 2"))
