@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import standardize as st
+from caseloom.operators import sides
 from caseloom.sources import records
 
 
@@ -29,14 +30,43 @@ def write_graph_csv(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     vertices.select("v_id", F.explode("props").alias("name", "value")).write.mode("overwrite").option("header", True).csv(f"{path}/attribute")
 
 
-def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """The graph as Parquet, partitioned by label so that a label is a folder to prune."""
+def write_graph(vertices: DataFrame, edges: DataFrame, path: str, complete: tuple[DataFrame, DataFrame] | None = None) -> None:
+    """The graph as Parquet, partitioned by label so that a label is a folder to prune.
+
+    ``complete``: further edges, as left(src, label, keys) and right(dst, label, keys) of relations that are complete between the two; they are stored like this.
+    """
     vertices.write.mode("overwrite").partitionBy("label").parquet(f"{path}/vertices")
     edges.write.mode("overwrite").partitionBy("label").parquet(f"{path}/edges")
 
 
+    for end, df in zip(("left", "right"), complete or ()):
+        df.write.mode("overwrite").partitionBy("label").parquet(f"{path}/edges_{end}")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")
+    """Vertices and all edges."""
+    edges, ends = spark.read.parquet(f"{path}/edges"), read_sides(spark, path)
+    if ends:
+        edges = edges.unionByName(sides.labelled(*ends))
+    return spark.read.parquet(f"{path}/vertices"), edges
+
+
+def read_sides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """The two sides of the edges that are stored as such; None if there are none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/edges_left")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(f"{path}/edges_left"), spark.read.parquet(f"{path}/edges_right")
+
+
+def edge_summary(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """(label, n, least, most): of a label's stored edges the count, the smallest src and the largest dst. Only its folders are read, and no pair of sides is made."""
+    own = spark.read.parquet(f"{path}/edges").filter(F.col("label") == label)
+    found = own.groupBy("label").agg(F.count("*").alias("n"), F.min("src").alias("least"), F.max("dst").alias("most"))
+    ends = read_sides(spark, path)
+    if ends:
+        found = found.unionByName(sides.label_summary(*[x.filter(F.col("label") == label) for x in ends]))
+    return found.groupBy("label").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 def profile(df: DataFrame, name: str) -> DataFrame:
