@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators import sides
 from caseloom.operators.paths import staged
 
 
@@ -89,26 +90,73 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     return vertices.join(named, "v_id", "left").select("v_id", F.coalesce("component", "v_id").alias("component"))
 
 
-def closure(edges: DataFrame, most_hops: int | None = None, rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(members, reach) of the transitive relation edges(src, dst).
+def _hub(step: DataFrame) -> DataFrame:
+    """(v): the vertex of step(at, to) with most steps in and out, the large component if there is one; none if no vertex has both."""
+    ends = step.select(F.col("at").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(step.select(F.col("to").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    return staged(ends.groupBy("v").agg((F.sum("o") * F.sum("i")).alias("n")).filter("n > 0").orderBy(F.desc("n"), "v").limit(1).select("v"))
 
-    members(v_id, component); reach(src, dst, hops): components of which the first reaches the second, with the least count of steps
-    from one component to the next; a component of several vertices reaches itself with 0. Semi-naive: a round extends only what
-    the round before found, and drops pairs that are known.
-    """
-    members = staged(strong_components(edges, rounds))
-    a, b = (members.select(F.col("v_id").alias(c), F.col("component").alias(f"{c}_c")) for c in ("src", "dst"))
-    step = staged(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("src_c <> dst_c").select(F.col("src_c").alias("at"), F.col("dst_c").alias("to")).distinct())
-    cycles = members.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("component").alias("src"), F.col("component").alias("dst"), F.lit(0).alias("hops"))
+
+def _distances(step: DataFrame, start: DataFrame, near: str, far: str, rounds: int, all_: bool) -> DataFrame:
+    """(v, hops): what start(v) leads to from ``near`` to ``far``, with the least count of steps; start itself is left out."""
+    front = start.select("v", F.lit(0).alias("hops"))
+    found = front
+    for n in range(1, rounds + 1):
+        new = front.select(F.col("v").alias(near)).join(step, near).select(F.col(far).alias("v")).distinct()
+        front = staged(new.join(found.select("v"), "v", "left_anti").select("v", F.lit(n).alias("hops")))
+        if front.isEmpty():
+            break
+        found = found.unionAll(front)
+    else:
+        if all_:
+            raise RuntimeError(f"distances did not settle in {rounds} rounds")
+    return staged(found.filter("hops > 0"))
+
+
+def _pairs(step: DataFrame, rounds: int, all_: bool) -> DataFrame:
+    """(src, dst, hops) over step(at, to), semi-naive: a round extends only what the round before found, and drops pairs that are known."""
     front = staged(step.select(F.col("at").alias("src"), F.col("to").alias("dst"), F.lit(1).alias("hops")))
     found = front
-    for n in range(2, (most_hops or rounds) + 1):
+    for n in range(2, rounds + 1):
         new = front.withColumnRenamed("dst", "at").join(step, "at").select("src", F.col("to").alias("dst")).distinct()
         front = staged(new.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(n).alias("hops")))
         if front.isEmpty():
             break
         found = found.unionAll(front)
     else:
-        if not most_hops:
+        if all_:
             raise RuntimeError(f"the closure did not settle in {rounds} rounds")
-    return members, cycles.unionAll(found)
+    return found
+
+
+def closure(edges: DataFrame, most_hops: int | None = None, rounds: int = 200, parts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(members, reach) of the transitive relation edges(src, dst).
+
+    members(v_id, component); reach(src, dst, hops): components of which the first reaches the second, with the least count of steps
+    from one component to the next; a component of several vertices reaches itself with 0.
+
+    Nearly all pairs of a large relation lead over its large component, the hub: all that reaches it with all that it reaches. The distances to and
+    from the hub are found by themselves, pairs around it are walked round by round, and the others are a product dealt to ``parts`` tasks, which is
+    never shuffled: what a start reaches around the hub lies beside it, and is left out of the product and merged with its distance over the hub.
+    """
+    most, all_ = most_hops or rounds, not most_hops
+    edges = staged(edges.select("src", "dst").filter("src <> dst").distinct())
+    members = staged(strong_components(edges, rounds))
+    a, b = (members.select(F.col("v_id").alias(c), F.col("component").alias(f"{c}_c")) for c in ("src", "dst"))
+    step = staged(edges.join(a, "src").join(b, "dst").filter("src_c <> dst_c").select(F.col("src_c").alias("at"), F.col("dst_c").alias("to")).distinct())
+    cycles = members.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("component").alias("src"), F.col("component").alias("dst"), F.lit(0).alias("hops"))
+    hub = _hub(step)
+    to_hub = _distances(step, hub, "to", "at", most, all_).select(F.col("v").alias("src"), F.col("hops").alias("h1"))
+    from_hub = _distances(step, hub, "at", "to", most, all_).select(F.col("v").alias("dst"), F.col("hops").alias("h2"))
+    direct = to_hub.crossJoin(hub).select("src", F.col("v").alias("dst"), F.col("h1").alias("hops"))
+    direct = direct.unionAll(hub.crossJoin(from_hub).select(F.col("v").alias("src"), "dst", F.col("h2").alias("hops")))
+
+    rest = staged(step.join(hub.select(F.col("v").alias("at")), "at", "left_anti").join(hub.select(F.col("v").alias("to")), "to", "left_anti").select("at", "to"))
+    around = staged(_pairs(rest, most, all_).join(to_hub, "src", "left").join(from_hub, "dst", "left"))
+    known = around.filter("h1 is not null and h2 is not null").groupBy("src").agg(F.collect_list("dst").alias("known"))
+    left = staged(to_hub.join(known, "src", "left").select("src", "h1", "known", F.lit(0).alias("k")))
+    product = sides.expanded(left, from_hub.withColumn("k", F.lit(0)), ["k"], parts)
+    over = product.filter("known is null or not array_contains(known, dst)").select("src", "dst", (F.col("h1") + F.col("h2")).alias("hops"))
+    if most_hops:
+        over = over.filter(F.col("hops") <= most_hops)
+    around = around.select("src", "dst", F.least("hops", F.col("h1") + F.col("h2")).alias("hops"))  # least() skips nulls
+    return members, cycles.unionAll(direct).unionAll(around).unionAll(over)
