@@ -37,3 +37,13 @@ def test_classes_and_walks(both):
     want = {(x, z) for x in of for y in of[x] for w in at[y] - {x} for z in of[w] - {y}}
     got = [tuple(r) for r in sides.third_ends(members, "person", table, "account").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_are_not_broadcast(spark, both, tmp_path):
+    """The right side is copied to all parts, which Spark does not count when it takes a table for small enough to go through the driver."""
+    left, right, pairs = both
+    for name, side in (("left", left), ("right", right)):
+        side.write.parquet(f"{tmp_path}/{name}")
+    d = sides.expanded(spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right"), ["n"])
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+    assert Counter(tuple(r) for r in d.select("person", "account").collect()) == Counter(pairs)
