@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.operators import sides
 from caseloom.operators.paths import components, staged
 
 
@@ -33,11 +34,25 @@ def merged_ids(links: DataFrame) -> DataFrame:
     return components(certain).select("v_id", F.col("component").alias("into")).filter("v_id <> into")
 
 
+def _put(edges: DataFrame, end: str, merged: DataFrame) -> DataFrame:
+    to = merged.select(F.col("v_id").alias(end), F.col("into").alias("_into"))
+    return edges.join(to, end, "left").withColumn(end, F.coalesce("_into", end)).drop("_into")
+
+
 def repointed(edges: DataFrame, merged: DataFrame) -> DataFrame:
     """(src, dst, label, n): edges with merged ends put to what they were merged into; equal ones are folded, and those within one vertex go."""
-    m = staged(merged)
-    out = edges
-    for end in ("src", "dst"):
-        to = m.select(F.col("v_id").alias(end), F.col("into").alias("_into"))
-        out = out.join(to, end, "left").withColumn(end, F.coalesce("_into", end)).drop("_into")
-    return out.filter("src <> dst").groupBy("src", "dst", "label").agg(F.count("*").alias("n"))
+    m = sides.small(staged(merged))
+    return _put(_put(edges, "src", m), "dst", m).filter("src <> dst").groupBy("src", "dst", "label").agg(F.count("*").alias("n"))
+
+
+def repointed_sides(left: DataFrame, right: DataFrame, keys: list[str], label: str, merged: DataFrame) -> DataFrame:
+    """``repointed`` for all pairs of left(src, keys) and right(dst, keys): both sides are merged and counted, and no pair is shuffled.
+
+    Only the ends of the right side that are in several groups can make equal pairs, so that only their pairs are folded.
+    """
+    m = sides.small(staged(merged))
+    count = lambda df, end, n: _put(df.dropna(subset=[end, *keys]), end, m).groupBy(end, *keys).agg(F.count("*").alias(n))
+    a = staged(count(left, "src", "_a"))
+    b = staged(count(right, "dst", "_b").groupBy("dst").agg(F.collect_list(F.struct(*keys, "_b")).alias("_at")))
+    pairs = lambda of: sides.expanded(a, of.select("dst", F.explode("_at").alias("_g")).select("dst", "_g.*"), keys).filter("src <> dst").select("src", "dst", F.lit(label).alias("label"), (F.col("_a") * F.col("_b")).alias("n"))
+    return pairs(b.filter(F.size("_at") == 1)).unionAll(pairs(b.filter(F.size("_at") > 1)).groupBy("src", "dst", "label").agg(F.sum("n").alias("n")))
