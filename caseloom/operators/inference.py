@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.operators.pairs import linked
+from caseloom.operators import grid
+from caseloom.operators.paths import staged
 
 #: rule -> function (vertices, edges, threshold) -> (v_id, other, n)
 RULES: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {}
@@ -46,10 +47,13 @@ def money_laundering(vertices: DataFrame, edges: DataFrame, threshold: int) -> D
 
 @rule("Accomplice")
 def accomplice(vertices: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:
-    """Pairs that call ``threshold`` or more of the same phones."""
-    n = edges.filter("label = 'contacted'").select("src", "dst").distinct()
-    pairs = linked(n, ["dst"], "src", threshold).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= threshold)
-    return _found(pairs, "a", other="b")
+    """Pairs that call ``threshold`` or more of the same phones; callers are numbered in their order, and counted in a grid."""
+    n = staged(edges.filter("label = 'contacted'").select("src", "dst").distinct())
+    n = n.join(n.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") >= threshold).select("src"), "src", "left_semi")
+    order = grid.numbered(n, "src")
+    name = lambda c: order.select(F.col("place").alias(c), F.col("src").alias(f"{c}_id"))
+    pairs = grid.often(n.join(order, "src"), "dst", "place", threshold).withColumnRenamed("shared", "n")
+    return _found(pairs.join(name("a"), "a").join(name("b"), "b"), "a_id", other="b_id")
 
 
 @rule("RapidTransfer")
